@@ -129,8 +129,8 @@ def check_hypothesis(data: Table, a: str, b: str) -> DataFrame:
 def pair_chi_square(df: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
     """Chi-square of several column pairs at once, from one melted count table.
 
-    Empty cells need no rows: the sum over all cells of (O-E)^2/E equals
-    sum(O^2/E) - N. For a 2x2 table the continuity-corrected value is formed from the
+    Empty cells need no rows: each adds its expected count, and all expected counts
+    sum to N. For a 2x2 table the continuity-corrected value is formed from the
     four counts.
     """
     cells = [F.struct(F.lit(i).alias("pair"), F.lit(a).alias("feature1"), F.lit(b).alias("feature2"),
@@ -148,10 +148,15 @@ def pair_chi_square(df: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
         col_sums.groupBy("pair").agg(F.count(F.lit(1)).alias("levels2"), F.min("cb").alias("c1")), "pair").join(totals, "pair")
     raw = (
         counts.join(row_sums, ["pair", "a"]).join(col_sums, ["pair", "b"])
-        .groupBy(*keys).agg(F.sum(F.col("o") * F.col("o") / (F.col("ra") * F.col("cb"))).alias("s"))
+        .join(totals.withColumnRenamed("n", "_n"), "pair")
+        .withColumn("e", F.col("ra").cast("double") * F.col("cb") / F.col("_n"))
+        .groupBy(*keys).agg(
+            F.sum((F.col("o") - F.col("e")) * (F.col("o") - F.col("e")) / F.col("e")).alias("s"),
+            F.sum("e").alias("seen"), F.count(F.lit(1)).alias("cells"))
         .join(shape, "pair")
     )
-    plain = F.col("n") * (F.col("s") - 1)
+    unseen = F.when(F.col("cells") < F.col("levels1") * F.col("levels2"), F.col("n") - F.col("seen")).otherwise(0.0)
+    plain = F.col("s") + unseen
     # 2x2: every |O-E| is the same d, and sum(1/E) = n^3 / (r1 r2 c1 c2).
     n, r1, c1 = (F.col(x).cast("double") for x in ("n", "r1", "c1"))
     inverse = n * n * n / (r1 * (n - r1) * c1 * (n - c1))
