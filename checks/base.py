@@ -54,14 +54,15 @@ LABELLED = "labelled AS (SELECT doc_id, lang, source, n_chars, quality, toxic FR
 
 
 def nine_digits(df: DataFrame) -> DataFrame:
-    """Doubles to nine significant digits and whole numbers to bigint, so that the summation
-    order of the two engines does not show."""
+    """Doubles to nine significant digits (below 1e-12 to zero) and whole numbers to bigint, so
+    that the summation order of the two engines does not show."""
     out = []
     for f in df.schema:
         c = F.col(f"`{f.name}`")
         if isinstance(f.dataType, (T.DoubleType, T.FloatType)):
-            text = F.format_string("%.8e", F.round(c.cast("double"), 10) + F.lit(0.0))
-            c = F.when(c.isNull(), None).when(F.isnan(c) | (F.abs(c) == float("inf")), c).otherwise(text.try_cast("double"))
+            text = F.format_string("%.8e", c.cast("double"))
+            plain = c.isNull() | F.isnan(c) | (F.abs(c) == float("inf"))
+            c = F.when(plain, c.cast("double")).when(F.abs(c) < 1e-12, F.lit(0.0)).otherwise(text.try_cast("double"))
         elif isinstance(f.dataType, (T.ByteType, T.ShortType, T.IntegerType)):
             c = c.cast("bigint")
         out.append(c.alias(f.name))
@@ -69,7 +70,7 @@ def nine_digits(df: DataFrame) -> DataFrame:
 
 
 def nine_digits_sql(sql: str, doubles: str, ints: str) -> str:
-    swaps = [f"CAST(printf('%.8e', round(CAST(\"{c}\" AS DOUBLE), 10) + 0.0) AS DOUBLE) AS \"{c}\"" for c in doubles.split()]
+    swaps = [f"CASE WHEN abs(\"{c}\") < 1e-12 THEN 0.0::DOUBLE ELSE CAST(printf('%.8e', CAST(\"{c}\" AS DOUBLE)) AS DOUBLE) END AS \"{c}\"" for c in doubles.split()]
     swaps += [f'CAST("{c}" AS BIGINT) AS "{c}"' for c in ints.split()]
     return f"SELECT * REPLACE ({', '.join(swaps)}) FROM ({sql})" if swaps else sql
 

@@ -319,7 +319,7 @@ def _(t):
 
 
 @check("clean_summary_orders_dirty", f"""WITH {DIRTY_ORDERS}, k AS (SELECT DISTINCT {_all} FROM orders_dirty WHERE o_totalprice IS NOT NULL AND o_orderpriority <> '')
-SELECT (SELECT count(*) FROM orders_dirty) AS rows_before, (SELECT count(*) FROM k) AS rows_after, rows_before - rows_after AS removed_rows,
+SELECT (SELECT count(*) FROM orders_dirty) AS rows_before, (SELECT count(*) FROM k) AS rows_after, (SELECT count(*) FROM orders_dirty) - (SELECT count(*) FROM k) AS removed_rows,
  (SELECT count(*) FILTER (WHERE o_totalprice IS NULL) + count(*) FILTER (WHERE o_orderpriority = '') FROM orders_dirty) AS missing_before, 0 AS missing_after""", "", "removed_rows missing_after")
 def _(t):
     before = t.orders_dirty

@@ -457,8 +457,8 @@ def cleaning_counts(df: DataFrame) -> DataFrame:
 
 def _differences(before: DataFrame, after: DataFrame, id_col: str) -> DataFrame:
     shared = [c for c in before.columns if c in after.columns and c != id_col]
-    b = before.select(C.quoted(id_col).alias("_id"), F.struct(*[C.quoted(c).cast("string") for c in shared]).alias("_b"))
-    a = after.select(C.quoted(id_col).alias("_id"), F.struct(*[C.quoted(c).cast("string") for c in shared]).alias("_a"))
+    b = before.select(C.quoted(id_col).alias("_id"), F.struct(*[C.quoted(c).cast("string").alias(c) for c in shared]).alias("_b"))
+    a = after.select(C.quoted(id_col).alias("_id"), F.struct(*[C.quoted(c).cast("string").alias(c) for c in shared]).alias("_a"))
     cells = F.array(*[F.struct(F.lit(c).alias("column"), F.coalesce(F.col("_b")[c], F.lit("")).alias("before"),
                                F.coalesce(F.col("_a")[c], F.lit("")).alias("after")) for c in shared])
     return b.join(a, "_id").select("_id", F.explode(cells).alias("m")).select("_id", "m.*").where("before <> after")
