@@ -217,10 +217,10 @@ def _(t):
 
 @check("preprocessor_orders_dirty", f"""WITH {DIRTY_ORDERS}, m AS (SELECT quantile_cont(o_totalprice, 0.5) AS m FROM orders_dirty), i AS (SELECT o_orderkey, o_orderstatus, coalesce(o_totalprice, m) AS p FROM orders_dirty, m),
 q AS (SELECT quantile_cont(p, 0.25) AS a, quantile_cont(p, 0.75) AS b FROM i), c AS (SELECT o_orderkey, o_orderstatus, least(greatest(p, a - 1.5 * (b - a)), b + 1.5 * (b - a)) AS p FROM i, q)
-SELECT o_orderkey, (p - (SELECT avg(p) FROM c)) / (SELECT stddev_pop(p) FROM c) AS o_totalprice, CAST(o_orderstatus = 'F' AS BIGINT) AS "o_orderstatus_F", CAST(o_orderstatus = 'O' AS BIGINT) AS "o_orderstatus_O", CAST(o_orderstatus = 'P' AS BIGINT) AS "o_orderstatus_P" FROM c""", "o_totalprice")
+SELECT o_orderkey, round((p - (SELECT avg(p) FROM c)) / (SELECT stddev_pop(p) FROM c), 6) AS o_totalprice, CAST(o_orderstatus = 'F' AS BIGINT) AS "o_orderstatus_F", CAST(o_orderstatus = 'O' AS BIGINT) AS "o_orderstatus_O", CAST(o_orderstatus = 'P' AS BIGINT) AS "o_orderstatus_P" FROM c""", "o_totalprice")
 def _(t):
     view = t.orders_dirty.select("o_orderkey", "o_totalprice", "o_orderstatus")
-    return preprocessing.fit_preprocessor(view, "o_orderkey").transform(view)
+    return preprocessing.fit_preprocessor(view, "o_orderkey").transform(view).withColumn("o_totalprice", F.round("o_totalprice", 6))
 
 
 @check("preprocessor_report_orders_dirty")

@@ -6,6 +6,7 @@ import re
 
 from pyspark.ml.clustering import BisectingKMeans, KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
+from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -26,7 +27,8 @@ def cluster(df: DataFrame, cols: list[str], algorithm: str = "kmeans", k: int =
     noise as -1.
     """
     prep = feature_pipeline(df, cols, fill="zero").fit(df)
-    vectors = prep.transform(df).select(C.quoted(id_col), "features").persist()
+    kept = prep.transform(df).select(C.quoted(id_col), "features").persist()
+    vectors = kept
     try:
         inertia = None
         if algorithm == "dbscan":
@@ -42,7 +44,11 @@ def cluster(df: DataFrame, cols: list[str], algorithm: str = "kmeans", k: int =
                 models = [KMeans(k=count, seed=seed + i).fit(vectors) for i in range(restarts)]
                 model = min(models, key=lambda m: m.summary.trainingCost)
             elif algorithm == "agglomerative":
-                model = BisectingKMeans(k=count, seed=seed).fit(vectors)
+                # The estimator splits a centre by noise in proportion to its norm, which is zero
+                # for centred data; a constant coordinate gives it a norm and changes no distance.
+                raised = VectorAssembler(inputCols=["features", "_one"], outputCol="_raised").transform(vectors.withColumn("_one", F.lit(1.0)))
+                model = BisectingKMeans(k=count, seed=seed, featuresCol="_raised").fit(raised)
+                vectors = raised
             else:
                 raise ValueError(f"unknown algorithm {algorithm!r}")
             inertia = float(model.summary.trainingCost)
@@ -50,7 +56,7 @@ def cluster(df: DataFrame, cols: list[str], algorithm: str = "kmeans", k: int =
         quality = cluster_quality(scored, inertia, algorithm)
         out = df.join(scored.select(C.quoted(id_col), "cluster"), id_col, "left")
     finally:
-        vectors.unpersist()
+        kept.unpersist()
     return out, quality
 
 
