@@ -307,7 +307,7 @@ def entropy(data: Table) -> DataFrame:
     t = _totals(profiled(data).value_counts())
     h = F.log2("total") - F.col("nlogn") / F.col("total")
     top = F.log2(F.col("distinct_values").cast("double"))
-    share = F.coalesce(F.try_divide(h, top), F.lit(0.0))
+    share = F.least(F.coalesce(F.try_divide(h, top), F.lit(0.0)), F.lit(1.0))
     return t.select(
         "column", h.alias("entropy"), top.alias("max_entropy"), share.alias("normalized_entropy"),
         F.when(share > 0.7, "balanced").otherwise("imbalanced").alias("interpretation"),
