@@ -99,8 +99,7 @@ def dbscan(df: DataFrame, cols: list[str], eps: float, min_samples: int = 5, dri
     sparse_core = counted.where(total >= min_samples).select(F.col("acell").alias("cell"), *[F.col(f"a{c}").alias(c) for c in cols], F.col("aw").alias("w"))
     core = cut_lineage(points.join(dense, "cell").select("cell", *cols, "w").unionByName(sparse_core))
 
-    edges = cut_lineage(_core_edges(core, cols, eps, min_samples))
-    labels = cut_lineage(_components(core.select("cell").distinct(), edges, driver_edges))
+    labels = _core_labels(core, cols, eps, min_samples, driver_edges)
 
     # Other points: a core point of the own cell is within reach; else look into near cells.
     core_label = core.join(labels, "cell")
@@ -120,33 +119,39 @@ def dbscan(df: DataFrame, cols: list[str], eps: float, min_samples: int = 5, dri
     return df.alias("p").join(done.alias("q"), same, "left").select("p.*", F.coalesce("q.cluster", F.lit(-1)).alias("cluster"))
 
 
-def _core_edges(core: DataFrame, cols: list[str], eps: float, min_samples: int) -> DataFrame:
-    """(a, b) cell pairs, a < b, that hold core points within eps of each other."""
+def _core_labels(core: DataFrame, cols: list[str], eps: float, min_samples: int, driver_edges: int) -> DataFrame:
+    """(cell, label) of the cells with core points, joined where core points are within eps.
+
+    Boxes decide first: of whole cells, then of sub-cells of dense pairs. Points are paired
+    only between cells those edges have not connected already.
+    """
     e2 = eps * eps
-    boxes = _boxes(core, ["cell"], cols)
-    pairs = _near_cells(boxes, cols, eps).where("acell < bcell")
+    pairs = cut_lineage(_near_cells(_boxes(core, ["cell"], cols), cols, eps).where("acell < bcell"))
     sure = pairs.where("whole").select("acell", "bcell")
-    open_pairs = pairs.where(~F.col("whole"))
-    a, b = _prefixed(core, "a"), _prefixed(core, "b")
-
-    def met(which: DataFrame) -> DataFrame:
-        return which.select("acell", "bcell").join(a, "acell").join(b, "bcell").where(_gap2(cols, "a", "b") <= e2).select("acell", "bcell").distinct()
+    open_pairs = pairs.where(~F.col("whole")).select("acell", "bcell", ((F.col("an") >= min_samples) & (F.col("bn") >= min_samples)).alias("heavy"))
 
-    light = met(open_pairs.where((F.col("an") < min_samples) | (F.col("bn") < min_samples)))
-    heavy = open_pairs.where((F.col("an") >= min_samples) & (F.col("bn") >= min_samples)).select("acell", "bcell")
-
-    # Two dense cells: sub-cells of a quarter of the side, at most SUB^d (three columns) boxes each.
+    # Sub-cells of a quarter of the side: at most SUB^d boxes per cell over the first three columns.
     fine = [F.floor(F.col(c) / (eps / math.sqrt(len(cols)) / SUB)).cast("string") for c in cols[:3]]
     parted = core.withColumn("sub", F.concat_ws(",", *fine))
     subs = _boxes(parted, ["cell", "sub"], cols)
-    sub_pairs = heavy.join(_prefixed(subs, "a"), "acell").join(_prefixed(subs, "b"), "bcell").where(_box_gap(cols, "a", "b", far=False) <= e2)
-    decided = sub_pairs.where(_box_gap(cols, "a", "b", far=True) <= e2).select("acell", "bcell").distinct()
-    unclear = sub_pairs.join(decided, ["acell", "bcell"], "left_anti").select("acell", "asub", "bcell", "bsub")
-    rims = (
-        unclear.join(_prefixed(parted, "a"), ["acell", "asub"]).join(_prefixed(parted, "b"), ["bcell", "bsub"])
-        .where(_gap2(cols, "a", "b") <= e2).select("acell", "bcell").distinct()
-    )
-    return sure.unionByName(light).unionByName(decided).unionByName(rims).distinct()
+
+    def sub_pairs(which: DataFrame) -> DataFrame:
+        joined = which.join(_prefixed(subs, "a"), "acell").join(_prefixed(subs, "b"), "bcell")
+        return joined.where(_box_gap(cols, "a", "b", far=False) <= e2)
+
+    decided = sub_pairs(open_pairs.where("heavy").drop("heavy")).where(_box_gap(cols, "a", "b", far=True) <= e2).select("acell", "bcell").distinct()
+    nodes = core.select("cell").distinct()
+    known = cut_lineage(sure.unionByName(decided))
+    labels = cut_lineage(_components(nodes, known, driver_edges))
+    apart = open_pairs.join(labels.select(F.col("cell").alias("acell"), F.col("label").alias("la")), "acell").join(
+        labels.select(F.col("cell").alias("bcell"), F.col("label").alias("lb")), "bcell").where("la <> lb").drop("la", "lb")
+    apart = cut_lineage(apart)
+    light = apart.where(~F.col("heavy")).drop("heavy").join(_prefixed(core, "a"), "acell").join(_prefixed(core, "b"), "bcell")
+    rims = sub_pairs(apart.where("heavy").drop("heavy")).select("acell", "asub", "bcell", "bsub").join(
+        _prefixed(parted, "a"), ["acell", "asub"]).join(_prefixed(parted, "b"), ["bcell", "bsub"])
+    met = [t.where(_gap2(cols, "a", "b") <= e2).select("acell", "bcell").distinct() for t in (light, rims)]
+    found = cut_lineage(met[0].unionByName(met[1]))
+    return cut_lineage(_components(nodes, known.unionByName(found), driver_edges))
 
 
 def _components(nodes: DataFrame, edges: DataFrame, driver_edges: int) -> DataFrame:

@@ -33,25 +33,35 @@ class Profile:
 
     @cached_property
     def _base(self) -> dict:
-        """Rows, missing cells and moments of all columns; fifty columns per scan."""
+        """Rows, missing cells and moments.
+
+        A scan takes as many columns as keep its aggregation buffers within one
+        generated loop: five numeric ones at 17 buffer fields each, others at one. Each
+        column is read once in all.
+        """
         out: dict = {"missing": {}, "moments": {}, "rows": None}
-        for part in chunks(self.columns):
+        others = [c for c in self.columns if c not in self.numeric]
+        parts = [(n, []) for n in chunks(self.numeric, 5)] or [([], [])]
+        for k, extra in enumerate(chunks(others, 8)):
+            if k < len(parts):
+                parts[k][1].extend(extra)
+            else:
+                parts.append(([], extra))
+        for numeric, extra in parts:
             aggs = [F.count(F.lit(1)).alias("rows")]
-            for i, c in enumerate(part):
-                aggs.append(F.count_if(C.is_null(self.df, c)).alias(f"m{i}"))
-                if c in self.numeric:
-                    x = self.number(c)
-                    aggs.append(F.struct(
-                        F.count(x).alias("n"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"),
-                        F.stddev_pop(x).alias("std_pop"), F.min(x).alias("min"), F.max(x).alias("max"),
-                        F.skewness(x).alias("g1"), F.kurtosis(x).alias("g2"),
-                    ).alias(f"s{i}"))
+            for i, c in enumerate(numeric):
+                x = self.number(c)
+                aggs += [F.count(x).alias(f"n{i}"), F.avg(x).alias(f"mean{i}"), F.stddev_pop(x).alias(f"std{i}"), F.min(x).alias(f"min{i}"),
+                         F.max(x).alias(f"max{i}"), F.skewness(x).alias(f"g1{i}"), F.kurtosis(x).alias(f"g2{i}")]
+            aggs += [F.count(F.when(~C.is_null(self.df, c), F.lit(1))).alias(f"k{i}") for i, c in enumerate(extra)]
             row = self.df.agg(*aggs).first()
             out["rows"] = row["rows"]
-            for i, c in enumerate(part):
-                out["missing"][c] = row[f"m{i}"]
-                if c in self.numeric:
-                    out["moments"][c] = _corrected(row[f"s{i}"].asDict())
+            for i, c in enumerate(numeric):
+                out["moments"][c] = _corrected({f: row[f"{f}{i}"] for f in ("n", "mean", "std", "min", "max", "g1", "g2")})
+                out["missing"][c] = row["rows"] - row[f"n{i}"]
+            for i, c in enumerate(extra):
+                out["missing"][c] = row["rows"] - row[f"k{i}"]
+        out["missing"] = {c: out["missing"][c] for c in self.columns}
         return out
 
     @property
@@ -109,17 +119,15 @@ class Profile:
     def outliers(self) -> dict[str, dict]:
         """Per column: values outside the fences, and mean and std of those inside."""
         out = {}
-        for part in chunks(self.filled):
+        for part in chunks(self.filled, 15):
             aggs = []
             for i, c in enumerate(part):
                 x, (lo, hi) = self.number(c), self.fences[c]
                 inside = F.when(x.between(lo, hi), x)
-                aggs.append(F.struct(
-                    F.count_if((x < lo) | (x > hi)).alias("n"),
-                    F.avg(inside).alias("mean_inside"), F.stddev_samp(inside).alias("std_inside"),
-                ).alias(f"o{i}"))
-            row = self.df.agg(*aggs).first()
-            out.update({c: row[f"o{i}"].asDict() for i, c in enumerate(part)})
+                aggs += [F.count_if((x < lo) | (x > hi)), F.avg(inside), F.stddev_samp(inside)]
+            row = self.df.agg(*[a.alias(f"o{i}") for i, a in enumerate(aggs)]).first()
+            for i, c in enumerate(part):
+                out[c] = dict(zip(("n", "mean_inside", "std_inside"), row[3 * i : 3 * i + 3]))
         return out
 
     @property
@@ -135,14 +143,35 @@ class Profile:
 
     @cached_property
     def correlations(self) -> dict[tuple[str, str], float | None]:
-        """Pairwise-complete Pearson r of every pair of numeric columns."""
-        found = {}
-        for part in chunks(list(combinations(self.numeric, 2)), 200):
-            row = self.df.agg(*[
-                C.pairwise_corr(self.number(a), self.number(b)).alias(f"r{i}")
-                for i, (a, b) in enumerate(part)
-            ]).first()
-            found.update({pair: row[i] for i, pair in enumerate(part)})
+        """Pairwise-complete Pearson r of every pair of numeric columns.
+
+        Columns are centred on their known means first. Among columns without gaps a pair
+        then costs one sum of products; a pair with gaps sums its own complete rows.
+        """
+        found: dict[tuple[str, str], float | None] = {p: None for p in combinations(self.numeric, 2)}
+        varied = [c for c in self.filled if self.moments[c]["min"] != self.moments[c]["max"]]
+        centred = {c: self.number(c) - F.lit(self.moments[c]["mean"]) for c in varied}
+        whole = [c for c in varied if not self.missing[c]]
+        for part in chunks(list(combinations(whole, 2)), 80):
+            row = self.df.agg(*[F.sum(centred[a] * centred[b]).alias(f"s{i}") for i, (a, b) in enumerate(part)]).first()
+            for (a, b), s in zip(part, row):
+                r = s / self.rows / (self.moments[a]["std_pop"] * self.moments[b]["std_pop"])
+                found[(a, b)] = max(-1.0, min(1.0, r))
+        gaps = [p for p in combinations(varied, 2) if self.missing[p[0]] or self.missing[p[1]]]
+        for part in chunks(gaps, 15):
+            aggs = []
+            for i, (a, b) in enumerate(part):
+                both = centred[a].isNotNull() & centred[b].isNotNull()
+                x, y = F.when(both, centred[a]), F.when(both, centred[b])
+                aggs += [F.count(x).alias(f"n{i}"), F.sum(x).alias(f"x{i}"), F.sum(y).alias(f"y{i}"), F.sum(x * x).alias(f"xx{i}"),
+                         F.sum(y * y).alias(f"yy{i}"), F.sum(x * y).alias(f"xy{i}"), F.min(x).alias(f"a{i}"), F.max(x).alias(f"b{i}"),
+                         F.min(y).alias(f"c{i}"), F.max(y).alias(f"d{i}")]
+            row = self.df.agg(*aggs).first()
+            for i, pair in enumerate(part):
+                n, x, y, xx, yy, xy, a, b, c, d = row[10 * i : 10 * i + 10]
+                if n > 1 and a != b and c != d:
+                    r = (xy - x * y / n) / ((xx - x * x / n) * (yy - y * y / n)) ** 0.5
+                    found[pair] = max(-1.0, min(1.0, r))
         return found
 
     def value_counts(self, names: list[str] | None = None) -> DataFrame:
@@ -176,10 +205,13 @@ class Profile:
 
 
 def _corrected(m: dict) -> dict:
-    n, g1, g2 = m["n"], m.pop("g1"), m.pop("g2")
+    """Sample versions of the population moments; a constant column has no skew."""
+    n, g1, g2, spread = m["n"], m.pop("g1"), m.pop("g2"), m.pop("std")
     constant = not n or m["min"] == m["max"]
     g1 = 0.0 if constant or g1 is None or g1 != g1 else g1
     g2 = None if constant or g2 is None or g2 != g2 else g2
+    m["std_pop"] = spread
+    m["std"] = spread * (n / (n - 1)) ** 0.5 if n > 1 else None
     m["skew_pop"], m["kurt_pop"] = g1, g2
     m["skew"] = g1 * (n * (n - 1)) ** 0.5 / (n - 2) if n >= 3 else 0.0
     m["kurt"] = (

@@ -1,168 +1,203 @@
 """Exact quantiles without gathering a column in one task.
 
-Spark's ``percentile`` keeps a value -> count map of a whole group in one task.
-It is used only when the table is known to be small. Beyond that, every wanted
-rank is enclosed between two sketch quantiles, the rows below the bracket are
-counted and the bracket is narrowed until its distinct values are few enough to
-be sorted. Each round is one scan with a tiny shuffle and the answer is exact.
+Spark's ``percentile`` keeps a value -> count map of a whole group in one task, so it
+is used only for a known small number of values. Beyond that a sample guesses a bracket
+around every wanted rank, one scan counts the rows below and inside the bracket, and once a
+bracket holds few enough rows only those are sorted. A bracket that misses its rank, or
+does not shrink, is halved instead. The sample decides where to look, never the answer.
 """
 
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from plumbline.functions.columns import as_number, quoted
-from plumbline.plans.frames import chunks
+from plumbline.plans.frames import chunks, rows_frame
 
-SMALL_ROWS = 2_000_000
+SMALL_VALUES = 5_000_000
 BRACKET_ROWS = 200_000
-ACCURACY = 10_000
+SAMPLE_ROWS = 100_000
 
 
 def exact_quantiles(
     df: DataFrame, cols: list[str], probs: list[float], rows: int | None = None,
-    small_rows: int = SMALL_ROWS, bracket_rows: int = BRACKET_ROWS,
+    small_values: int = SMALL_VALUES, bracket_rows: int = BRACKET_ROWS, sample_rows: int = SAMPLE_ROWS,
 ) -> dict[str, list[float | None]]:
     """Linear-interpolation quantiles of numeric columns, nulls and NaN left out."""
     if not cols:
         return {}
     rows = df.count() if rows is None else rows
-    if rows <= small_rows:
-        found: dict[str, list] = {}
-        for part in chunks(cols):
-            row = df.agg(*[
-                F.percentile(as_number(df, c), F.array(*[F.lit(float(p)) for p in probs])).alias(f"q{i}")
-                for i, c in enumerate(part)
-            ]).first()
-            for i, c in enumerate(part):
-                found[c] = list(row[i]) if row[i] is not None else [None] * len(probs)
-        return found
-    long = df.select(F.explode(F.array(*[
-        F.struct(F.lit(c).alias("key"), as_number(df, c).alias("x")) for c in cols
-    ])).alias("m")).select("m.key", "m.x").where("x is not null")
-    by_key = _narrow(long, probs, bracket_rows)
-    return {c: by_key.get(c, [None] * len(probs)) for c in cols}
+    if rows * len(cols) > small_values:
+        return _by_brackets(df, {c: as_number(df, c) for c in cols}, probs, rows, bracket_rows, sample_rows)
+    array = F.array(*[F.lit(float(p)) for p in probs])
+    row = df.agg(*[F.percentile(as_number(df, c), array).alias(f"q{i}") for i, c in enumerate(cols)]).first()
+    return {c: list(row[i]) if row[i] is not None else [None] * len(probs) for i, c in enumerate(cols)}
 
 
 def grouped_quantiles(
     df: DataFrame, key: str, col: str, probs: list[float], rows: int | None = None,
-    small_rows: int = SMALL_ROWS, bracket_rows: int = BRACKET_ROWS,
+    small_values: int = SMALL_VALUES, bracket_rows: int = BRACKET_ROWS, sample_rows: int = SAMPLE_ROWS,
 ) -> dict[str, list[float]]:
     """Exact quantiles of one column per value of a low-cardinality key."""
-    long = df.select(quoted(key).cast("string").alias("key"), as_number(df, col).alias("x"))
-    long = long.where("key is not null and x is not null")
-    rows = long.count() if rows is None else rows
-    if rows <= small_rows:
+    label, x = quoted(key).cast("string"), as_number(df, col)
+    rows = df.count() if rows is None else rows
+    if rows <= small_values:
         array = F.array(*[F.lit(float(p)) for p in probs])
-        got = long.groupBy("key").agg(F.percentile("x", array).alias("q")).collect()
+        got = df.where(label.isNotNull() & x.isNotNull()).groupBy(label.alias("key")).agg(F.percentile(x, array).alias("q")).collect()
         return {r["key"]: list(r["q"]) for r in got}
-    return _narrow(long, probs, bracket_rows)
+    levels = [r[0] for r in df.where(label.isNotNull() & x.isNotNull()).select(label).distinct().collect()]
+    found: dict[str, list[float]] = {}
+    for part in chunks(levels, 50):
+        exprs = {v: F.when(label == F.lit(v), x) for v in part}
+        found.update(_by_brackets(df, exprs, probs, rows, bracket_rows, sample_rows))
+    return found
 
 
-def _narrow(long: DataFrame, probs: list[float], bracket_rows: int) -> dict[str, list[float]]:
-    """Order statistics of (key, x) rows by successive brackets around each rank."""
-    spark = long.sparkSession
-    counts = {r["key"]: r["n"] for r in long.groupBy("key").agg(F.count("x").alias("n")).collect()}
-    wanted = {}
-    for key, n in counts.items():
-        for p in probs:
-            at = p * (n - 1)
-            for rank in {math.floor(at), math.ceil(at)}:
-                wanted[(key, rank)] = None
-    # key, rank -> (low, high, rows below low, rows inside)
-    open_ranks = {k: (-math.inf, math.inf, 0, counts[k[0]]) for k in wanted}
-    while open_ranks:
-        brackets = spark.createDataFrame(
-            [(k, r, lo, hi) for (k, r), (lo, hi, _, _) in open_ranks.items()],
-            "key string, rank long, lo double, hi double",
-        )
-        inside = long.join(F.broadcast(brackets), "key").where("x >= lo and x <= hi")
-        finished = {t: b for t, b in open_ranks.items() if b[3] <= bracket_rows}
-        if finished:
-            done = spark.createDataFrame(
-                [(k, r, r - b[2]) for (k, r), b in finished.items()], "key string, rank long, at long"
-            )
-            cumulative = W.partitionBy("key", "rank").orderBy("x")
-            picked = (
-                inside.groupBy("key", "rank", "x").agg(F.count("*").alias("n"))
-                .join(F.broadcast(done), ["key", "rank"])
-                .withColumn("upto", F.sum("n").over(cumulative))
-                .where("upto > at and upto - n <= at").select("key", "rank", "x").collect()
-            )
-            for r in picked:
-                wanted[(r["key"], r["rank"])] = r["x"]
-        remaining = {t: b for t, b in open_ranks.items() if t not in finished}
-        if not remaining:
-            break
-        targets = spark.createDataFrame(
-            [(k, r, (r - b[2]) / max(b[3] - 1, 1)) for (k, r), b in remaining.items()],
-            "key string, rank long, share double",
-        )
-        grid = [i / 512 for i in range(513)]
-        sketch = inside.join(F.broadcast(targets.select("key", "rank")), ["key", "rank"]).groupBy(
-            "key", "rank"
-        ).agg(F.percentile_approx("x", F.array(*[F.lit(g) for g in grid]), F.lit(ACCURACY)).alias("s"))
-        # A sketch quantile may be off by one in ACCURACY; two grid steps cover it.
-        cuts = {(r["key"], r["rank"]): r["s"] for r in sketch.collect()}
-        tightened = []
-        for (k, r), (lo, hi, below, n) in remaining.items():
-            share = (r - below) / max(n - 1, 1)
-            i = int(share * 512)
-            s = cuts[(k, r)]
-            new_lo = max(lo, s[i - 2]) if i >= 2 else lo
-            new_hi = min(hi, s[i + 3]) if i + 3 <= 512 else hi
-            tightened.append((k, r, new_lo, new_hi))
-        frame = spark.createDataFrame(tightened, "key string, rank long, lo double, hi double")
-        tallies = (
-            long.join(F.broadcast(frame), "key").groupBy("key", "rank").agg(
-                F.count_if(F.col("x") < F.col("lo")).alias("below"),
-                F.count_if((F.col("x") >= F.col("lo")) & (F.col("x") <= F.col("hi"))).alias("n"),
-                F.min(F.when((F.col("x") >= F.col("lo")) & (F.col("x") <= F.col("hi")), F.col("x"))).alias("least"),
-                F.max(F.when((F.col("x") >= F.col("lo")) & (F.col("x") <= F.col("hi")), F.col("x"))).alias("most"),
-            ).collect()
-        )
-        open_ranks = {}
-        for t in tallies:
-            target = (t["key"], t["rank"])
-            before = remaining[target]
-            held = t["below"] <= t["rank"] < t["below"] + t["n"]
-            bracket = (t["least"], t["most"], t["below"], t["n"]) if held else before
-            if not held or t["n"] == before[3]:
-                # The sketch missed, or heavy ties kept the bracket as it was: halve it.
-                bracket = _halve(long, target, bracket)
-            if bracket[0] == bracket[1]:
-                wanted[target] = bracket[0]
+@dataclass
+class Bracket:
+    """Values lo..hi hold ``inside`` rows, ``below`` rows are smaller; ranks are first..last."""
+
+    name: str
+    first: int
+    last: int
+    lo: float
+    hi: float
+    below: int
+    inside: int
+
+
+def _by_brackets(df: DataFrame, exprs: dict[str, Column], probs: list[float], rows: int, bracket_rows: int, sample_rows: int) -> dict:
+    sizes: dict[str, tuple] = {}
+    for part in chunks(list(exprs), 20):
+        row = df.agg(*[F.struct(F.count(exprs[c]), F.min(exprs[c]), F.max(exprs[c])).alias(f"s{i}") for i, c in enumerate(part)]).first()
+        sizes.update({c: tuple(row[i]) for i, c in enumerate(part)})
+    wanted: dict[tuple[str, int], float] = {}
+    todo = []
+    for c, (n, least, most) in sizes.items():
+        for p in probs if n else []:
+            first, last = math.floor(p * (n - 1)), math.ceil(p * (n - 1))
+            if least == most:
+                wanted[(c, first)] = wanted[(c, last)] = least
+            elif (c, first, last) not in {(b.name, b.first, b.last) for b in todo}:
+                todo.append(Bracket(c, first, last, least, most, 0, n))
+    guesses = True
+    while todo:
+        # Eight brackets at a time keep each scan within one generated loop.
+        small = [b for b in todo if b.inside <= bracket_rows]
+        for part in chunks(small, 8):
+            wanted.update(_sorted_ranks(df, exprs, part))
+        todo = [b for b in todo if b.inside > bracket_rows]
+        spans = _guess(df, exprs, todo, bracket_rows, sample_rows) if guesses else {}
+        closer: list[Bracket] = []
+        for part in chunks(list(range(len(todo))), 8):
+            cut = [spans.get(i) or (todo[i].lo, todo[i].lo + (todo[i].hi - todo[i].lo) / 2) for i in part]
+            closer += _tally(df, exprs, [todo[i] for i in part], cut)
+        before = sum(b.inside for b in todo)
+        todo = []
+        for b in closer:
+            if b.lo == b.hi:
+                wanted[(b.name, b.first)] = wanted[(b.name, b.last)] = b.lo
             else:
-                open_ranks[target] = bracket
-    answer = {}
-    for key, n in counts.items():
-        values = []
+                todo.append(b)
+        guesses = sum(b.inside for b in todo) < 0.7 * before
+    out = {}
+    for c, (n, _, _) in sizes.items():
+        if not n:
+            out[c] = [None] * len(probs)
+            continue
+        out[c] = []
         for p in probs:
             at = p * (n - 1)
-            a, b = wanted[(key, math.floor(at))], wanted[(key, math.ceil(at))]
-            values.append(a + (b - a) * (at - math.floor(at)))
-        answer[key] = values
-    return answer
-
-
-def _halve(long: DataFrame, target: tuple, bracket: tuple) -> tuple:
-    """Cut the bracket at its middle value and keep the half that holds the rank."""
-    key, rank = target
-    lo, hi, below, n = bracket
-    x = F.col("x")
-    if math.isinf(lo) or math.isinf(hi):
-        ends = long.where(F.col("key") == key).agg(F.min("x").alias("lo"), F.max("x").alias("hi")).first()
-        lo, hi = max(lo, ends["lo"]), min(hi, ends["hi"])
-    mid = lo + (hi - lo) / 2
-    row = long.where((F.col("key") == key) & (x >= lo) & (x <= hi)).agg(
-        F.count_if(x <= mid).alias("left"),
-        F.max(F.when(x <= mid, x)).alias("left_max"),
-        F.min(F.when(x > mid, x)).alias("right_min"),
-    ).first()
-    if rank < below + row["left"]:
-        return lo, row["left_max"], below, row["left"]
-    return row["right_min"], hi, below + row["left"], n - row["left"]
+            a, b = wanted[(c, math.floor(at))], wanted[(c, math.ceil(at))]
+            out[c].append(a + (b - a) * (at - math.floor(at)))
+    return out
+
+
+def _guess(df: DataFrame, exprs: dict[str, Column], todo: list[Bracket], bracket_rows: int, sample_rows: int) -> dict[int, tuple]:
+    """A span around each rank from sample quantiles of its bracket; six deviations wide each way."""
+    spans: dict[int, tuple] = {}
+    shared: dict[tuple, list[int]] = {}
+    for i, b in enumerate(todo):
+        shared.setdefault((b.name, b.lo, b.hi, b.inside), []).append(i)
+    for part in chunks(list(shared), 12):
+        least = min(k[3] for k in part)
+        most = max(k[3] for k in part)
+        # No larger a sample than the next bracket needs.
+        size = min(sample_rows, max(10_000, int((6 * most / bracket_rows) ** 2)))
+        share = min(1.0, size / least)
+        sample = df if share >= 1 else df.sample(fraction=share, seed=17)
+        aggs, sides = [], []
+        for key in part:
+            name, lo, hi, inside = key
+            held = []
+            for i in shared[key]:
+                b = todo[i]
+                at = [(r - b.below) / max(inside - 1, 1) for r in (b.first, b.last)]
+                width = [6 * math.sqrt(q * (1 - q) / (inside * share)) + 20 / (inside * share) for q in at]
+                held += [at[0] - width[0], at[1] + width[1]]
+            sides.append(held)
+            x = F.when(exprs[name].between(lo, hi), exprs[name])
+            aggs.append(F.percentile(x, F.array(*[F.lit(min(max(h, 0.0), 1.0)) for h in held])))
+        row = sample.agg(*[a.alias(f"g{i}") for i, a in enumerate(aggs)]).first()
+        for key, held, got in zip(part, sides, row):
+            for n, i in enumerate(shared[key] if got is not None else []):
+                b = todo[i]
+                lo = b.lo if held[2 * n] <= 0 else got[2 * n]
+                hi = b.hi if held[2 * n + 1] >= 1 else got[2 * n + 1]
+                if (lo, hi) != (b.lo, b.hi):
+                    spans[i] = (lo, hi)
+    return spans
+
+
+def _tally(df: DataFrame, exprs: dict[str, Column], part: list[Bracket], spans: list[tuple]) -> list[Bracket]:
+    """The piece of each bracket that holds its ranks: the span, or what lies on one side of it."""
+    aggs = []
+    for i, (b, (lo, hi)) in enumerate(zip(part, spans)):
+        x = exprs[b.name]
+        inside = F.when(x.between(lo, hi), x)
+        aggs += [F.count_if((x >= b.lo) & (x < lo)), F.count(inside), F.min(inside), F.max(inside)]
+    row = df.agg(*[a.alias(f"t{i}") for i, a in enumerate(aggs)]).first()
+    out = []
+    for i, (b, (lo, hi)) in enumerate(zip(part, spans)):
+        before, n, least, most = row[4 * i : 4 * i + 4]
+        start = b.below + before
+        pieces = [
+            (b.lo, math.nextafter(lo, -math.inf), b.below, before), (least, most, start, n),
+            (math.nextafter(hi, math.inf), b.hi, start + n, b.inside - before - n),
+        ]
+        together = any(p[2] <= b.first and b.last < p[2] + p[3] for p in pieces)
+        # Two neighbouring ranks may fall into different pieces: each then goes on alone.
+        for first, last in {(b.first, b.last)} if together else {(b.first, b.first), (b.last, b.last)}:
+            for low, high, below, inside in pieces:
+                if below <= first and last < below + inside:
+                    out.append(Bracket(b.name, first, last, low, high, below, inside))
+    return out
+
+
+def _sorted_ranks(df: DataFrame, exprs: dict[str, Column], part: list[Bracket]) -> dict[tuple[str, int], float]:
+    """Values at the ranks of small brackets: only rows inside some bracket are shuffled."""
+    hits = [F.when(exprs[b.name].between(b.lo, b.hi), F.struct(F.lit(i).alias("id"), exprs[b.name].alias("x"))) for i, b in enumerate(part)]
+    any_hit = F.lit(False)
+    for h in hits:
+        any_hit = any_hit | h.isNotNull()
+    counts = (
+        df.where(any_hit).select(F.explode(F.array(*hits)).alias("m")).where("m is not null")
+        .select("m.id", "m.x").groupBy("id", "x").agg(F.count(F.lit(1)).alias("n"))
+    )
+    ranks = rows_frame(df.sparkSession, [{"id": i, "first": b.first - b.below, "last": b.last - b.below} for i, b in enumerate(part)],
+                       "id int, first long, last long")
+    up = counts.withColumn("up", F.sum("n").over(W.partitionBy("id").orderBy("x"))).join(F.broadcast(ranks), "id")
+    chosen = up.where("(up > first and up - n <= first) or (up > last and up - n <= last)").collect()
+    found = {}
+    for r in chosen:
+        b = part[r["id"]]
+        if r["up"] > r["first"] >= r["up"] - r["n"]:
+            found[(b.name, b.first)] = r["x"]
+        if r["up"] > r["last"] >= r["up"] - r["n"]:
+            found[(b.name, b.last)] = r["x"]
+    return found
