@@ -15,7 +15,7 @@ from plumbline.functions import columns as C
 from plumbline.ml.dbscan import dbscan
 from plumbline.ml.training import feature_pipeline
 from plumbline.operators.merging import infer_roles
-from plumbline.plans.frames import rows_frame
+from plumbline.plans.frames import cut_lineage, rows_frame
 
 
 def cluster(df: DataFrame, cols: list[str], algorithm: str = "kmeans", k: int = 3, eps: float = 0.5, min_samples: int = 5,
@@ -36,7 +36,7 @@ def cluster(df: DataFrame, cols: list[str], algorithm: str = "kmeans", k: int =
             flat = vectors.select(C.quoted(id_col), vector_to_array("features").alias("a"))
             names = [f"x{i}" for i in range(width)]
             points = flat.select(C.quoted(id_col), *[F.col("a")[i].alias(n) for i, n in enumerate(names)])
-            labels = dbscan(points, names, eps, min_samples).select(C.quoted(id_col), "cluster")
+            labels = cut_lineage(dbscan(points, names, eps, min_samples).select(C.quoted(id_col), "cluster"))
             scored = vectors.join(labels, id_col)
         else:
             count = max(2, k)

@@ -183,10 +183,12 @@ def _components(nodes: DataFrame, edges: DataFrame, driver_edges: int) -> DataFr
         edges.select(F.col("bcell").alias("src"), F.col("acell").alias("cell"))))
     labels = cut_lineage(nodes.withColumn("label", F.col("cell")))
     while True:
-        offered = both.join(labels.select(F.col("cell").alias("src"), F.col("label").alias("other")), "src").groupBy("cell").agg(F.min("other").alias("other"))
-        lower = labels.join(offered, "cell", "left").select("cell", F.col("label").alias("old"), F.least("label", F.coalesce("other", "label")).alias("label"))
-        jump = lower.select(F.col("cell").alias("label"), F.col("label").alias("further"))
-        after = cut_lineage(lower.join(jump, "label", "left").select("cell", "old", F.coalesce("further", "label").alias("label")))
-        if not after.where("old <> label").limit(1).count():
-            return after.select("cell", "label")
-        labels = after.select("cell", "label")
+        offered = both.join(labels.select(F.col("cell").alias("src"), "label"), "src").select("cell", "label")
+        lower = labels.unionByName(offered).groupBy("cell").agg(F.min("label").alias("label"))
+        # A label is itself a cell: take over the label that cell has by now.
+        jump = lower.select(F.col("cell").alias("via"), F.col("label").alias("further"))
+        after = cut_lineage(lower.join(jump, lower["label"] == jump["via"]).select("cell", F.col("further").alias("label")))
+        moved = after.join(labels.select("cell", F.col("label").alias("old")), "cell").where("label <> old")
+        if not moved.limit(1).count():
+            return after
+        labels = after
