@@ -235,6 +235,8 @@ def fit_ransac(df: DataFrame, trials: int = 100, seed: int = 42) -> MatrixModel:
     limit = exact_quantiles(spread, ["d"], [0.5])["d"][0]
     base = df.select(vector_to_array("features").alias("x"), F.col("label").cast("double").alias("label"))
     width = len(base.first()["x"])
+    if width > 500:
+        raise ValueError("too many features for candidate lines; use the huber model")
     need = trials * (width + 1)
     drawn = base.orderBy(F.xxhash64("x", "label", F.lit(seed))).limit(need).collect()
     x = np.array([r["x"] for r in drawn])

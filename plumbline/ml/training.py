@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from plumbline.functions import columns as C
 from plumbline.ml import metrics as M
 from plumbline.ml.catalog import CATALOG, Context, models_for
-from plumbline.plans.frames import hash_share, rows_frame
+from plumbline.plans.frames import distinct_upto, hash_share, rows_frame
 from plumbline.plans.quantiles import exact_quantiles
 from plumbline.plans.sampling import mark_per_class
 
@@ -34,7 +34,7 @@ def detect_task_name(df: DataFrame, target: str, rule: str = "numeric20") -> str
     """``share``: text, or at most 20 values and below 5 % of rows, is a class. ``numeric20``: a number
     with more than 20 values is regression. ``few``: fewer than 20 values is a class."""
     numeric = target in C.numeric_columns(df)
-    few = df.where(C.quoted(target).isNotNull()).select(C.quoted(target)).distinct().limit(21).count()
+    few = distinct_upto(df, {target: C.quoted(target)}, 21)[target]
     if rule == "share":
         rows = df.count()
         return "classification" if not numeric or (few <= 20 and few < 0.05 * rows) else "regression"
@@ -83,8 +83,7 @@ def feature_pipeline(df: DataFrame, features: list[str], fill: str = "median", e
             inputs.append(f"_n{i}")
         else:
             selected.append(f"coalesce(cast({name} as string), '<missing>') as _s{i}")
-            few = df.select(C.quoted(c)).distinct().limit(MAX_ONEHOT + 1).count()
-            if few > MAX_ONEHOT:
+            if distinct_upto(df, {c: C.quoted(c)}, MAX_ONEHOT + 1)[c] > MAX_ONEHOT:
                 hashed.append(f"_s{i}")
             else:
                 stages.append(StringIndexer(inputCol=f"_s{i}", outputCol=f"_i{i}", handleInvalid="keep", stringOrderType="alphabetAsc"))

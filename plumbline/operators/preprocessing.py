@@ -19,7 +19,7 @@ from plumbline.functions.distributions import normal_ppf
 from plumbline.operators.association import covariance
 from plumbline.operators.cleaning import _set, iqr_fences, most_frequent, treat_outliers
 from plumbline.operators.features import safe_name, value_codes
-from plumbline.plans.frames import cut_lineage, rows_frame
+from plumbline.plans.frames import cut_lineage, distinct_upto, rows_frame
 from plumbline.plans.lookups import lookup_join
 from plumbline.plans.profiling import Profile, profiled
 from plumbline.plans.quantiles import exact_quantiles
@@ -163,7 +163,7 @@ def fit_encode(df: DataFrame, cols: list[str], method: str = "auto", target: str
     for c in cols:
         kind = method
         if method == "auto":
-            few = df.where(C.quoted(c).isNotNull()).select(C.quoted(c)).distinct().limit(max_onehot + 1).count()
+            few = distinct_upto(df, {c: C.quoted(c)}, max_onehot + 1)[c]
             kind = "onehot" if few <= max_onehot else "label"
         if kind == "onehot":
             steps.append(_fit_onehot(df, c))

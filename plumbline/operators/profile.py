@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 from plumbline.functions import columns as C
-from plumbline.plans.frames import rows_frame
+from plumbline.plans.frames import distinct_upto, rows_frame
 from plumbline.plans.profiling import Profile, profiled
 from plumbline.plans.quantiles import exact_quantiles
 from plumbline.plans.ranks import cumulative
@@ -172,8 +172,7 @@ def histogram(data: Table, col: str, bins: int = 10, by: str | None = None) -> D
         return rows_frame(p.spark, [], "bin int, low double, high double, n long")
     x = p.number(col)
     # The number of distinct values matters only below the requested bins.
-    few = p.df.select(x.alias("x")).where("x is not null").distinct().limit(bins).count()
-    k = max(1, min(bins, few))
+    k = max(1, distinct_upto(p.df, {col: x}, bins)[col])
     lo, hi = (m["min"] - 0.5, m["max"] + 0.5) if m["min"] == m["max"] else (m["min"], m["max"])
     edges = [lo + (hi - lo) * i / k for i in range(k + 1)]
     edges[-1] = hi
@@ -191,7 +190,8 @@ def histogram(data: Table, col: str, bins: int = 10, by: str | None = None) -> D
 def modality(data: Table) -> DataFrame:
     """Unimodal or multimodal by interior peaks of a histogram of at most 30 bins."""
     p = profiled(data)
-    wide = {c: min(30, p.distinct[c]) for c in p.filled if p.distinct[c] >= 20}
+    few = distinct_upto(p.df, {c: p.number(c) for c in p.filled}, 30) if p.filled else {}
+    wide = {c: k for c, k in few.items() if k >= 20}
     shapes = p.histograms(wide)
     rows = []
     for c in p.filled:

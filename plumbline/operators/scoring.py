@@ -11,7 +11,7 @@ from plumbline.operators.hypothesis import anova
 from plumbline.operators.profile import Table, pct
 from plumbline.operators import profile as P
 from plumbline.operators.quality import letter
-from plumbline.plans.frames import rows_frame
+from plumbline.plans.frames import distinct_upto, rows_frame
 from plumbline.plans.profiling import Profile, profiled
 from plumbline.plans.quantiles import exact_quantiles
 
@@ -32,7 +32,7 @@ def mutual_info(df: DataFrame, cols: list[str], target: str, bins: int = 20, cla
     """
     p = profiled(df)
     if classes is None:
-        classes = target not in p.numeric or df.select(C.quoted(target)).distinct().limit(21).count() <= 20
+        classes = target not in p.numeric or distinct_upto(df, {target: C.quoted(target)}, 21)[target] <= 20
     binned = cols if classes else [*cols, target]
     inner = [i / bins for i in range(1, bins)]
     edges = {c: sorted(set(q)) if q[0] is not None else [] for c, q in exact_quantiles(df, binned, inner).items()}
@@ -69,7 +69,7 @@ def anova_scores(df: DataFrame, cols: list[str], target: str) -> DataFrame:
 
 def feature_scores(df: DataFrame, target: str, k: int = 10, bins: int = 20) -> DataFrame:
     """The k best columns: mutual information for numbers, V or F score for texts."""
-    classes = df.select(C.quoted(target)).distinct().limit(20).count() < 20
+    classes = distinct_upto(df, {target: C.quoted(target)}, 20)[target] < 20
     numeric = [c for c in C.numeric_columns(df) if c != target]
     text = [c for c in C.text_columns(df) if c != target]
     parts = []

@@ -12,6 +12,7 @@ from plumbline.plans.frames import hash_share
 from plumbline.plans.quantiles import grouped_quantiles
 
 NULL_CLASS = "\u0000null"
+MAX_CLASSES = 10_000
 
 
 def mark_per_class(
@@ -24,7 +25,11 @@ def mark_per_class(
     """
     label = F.lit("all") if target is None else F.coalesce(quoted(target).cast("string"), F.lit(NULL_CLASS))
     marked = df.withColumn("_class", label).withColumn("_share", hash_share(quoted(id_col), seed=seed))
-    sizes = {r["_class"]: r["count"] for r in marked.groupBy("_class").count().collect()}
+    counted = marked.groupBy("_class").count().limit(MAX_CLASSES + 1).collect()
+    if len(counted) > MAX_CLASSES:
+        # Too many values to be classes: one random sample of the whole table.
+        return mark_per_class(df, None, take, id_col, seed)
+    sizes = {r["_class"]: r["count"] for r in counted}
     wanted = {c: min(take(n), n) for c, n in sizes.items()}
     # The cut lies half way between the last taken hash and the next one.
     probs = {c: (k - 0.5) / (sizes[c] - 1) for c, k in wanted.items() if 0 < k < sizes[c]}
