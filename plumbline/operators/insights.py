@@ -57,7 +57,7 @@ def _segmentation(p: Profile) -> list[dict]:
         for c in p.text:
             if c in top and pct(top[c]["n"], p.rows) > 70:
                 rows.append(_row("segmentation", "imbalance", "dominant category", f"{c} = {top[c]['value']}", pct(top[c]["n"], p.rows)))
-            if p.distinct[c] > 50 and p.rows < 1000:
+            if p.rows < 1000 and p.distinct[c] > 50:
                 rows.append(_row("segmentation", "sparse", "sparse labels", c, float(p.distinct[c])))
     return rows or [_row("segmentation", "info", "balanced segmentation")]
 
