@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from plumbline.plans.frames import cut_lineage, shared_folder
 
-__all__ = ["arrow_batches", "cut_lineage", "keep_rows", "power_of_two", "row_key", "salted_lookup", "shared_table", "shuffle_partitions", "table", "worker_cache"]
+__all__ = ["arrow_batches", "cut_lineage", "keep_rows", "power_of_two", "row_key", "salted_lookup", "shared_table", "shuffle_partitions", "split_crowded", "table", "worker_cache"]
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -47,6 +47,26 @@ def salted_lookup(rows: DataFrame, lookup: DataFrame, keys: list[str], spread: C
     return salted.join(answers, [*keys, "_salt"], "left").drop("_salt")
 
 
+def split_crowded(rows: DataFrame, keys: list[str], block: int, spread: Column) -> DataFrame:
+    """Adds p, q, left and right, so that all pairs of a key's rows meet without a key growing past two blocks.
+
+    A key of up to ``block`` rows stays whole (p = q = 0, both sides true). The rows of a larger one are dealt into
+    blocks by ``spread``, and a copy of each goes to every pair of blocks it belongs to; a pair of rows meets
+    where one is ``left`` and the other ``right``.
+    """
+    crowd = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > block)
+    whole = rows.select("*", F.lit(0).alias("p"), F.lit(0).alias("q"), F.lit(True).alias("left"), F.lit(True).alias("right"))
+    crowd = cut_lineage(crowd)
+    if crowd.isEmpty():
+        return whole
+    blocks = F.ceil(F.col("_n") / block).cast("int")
+    dealt = rows.join(crowd, keys).withColumn("_own", F.pmod(F.xxhash64(spread), blocks).cast("int")).withColumn(
+        "_other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    return whole.join(crowd, keys, "left_anti").unionByName(dealt.select(
+        *rows.columns, F.least("_own", "_other").alias("p"), F.greatest("_own", "_other").alias("q"),
+        (F.col("_own") <= F.col("_other")).alias("left"), (F.col("_own") >= F.col("_other")).alias("right")))
+
+
 def row_key(text: Column) -> Column:
     """Tells rows with the same id and different texts apart."""
     return F.xxhash64(text)

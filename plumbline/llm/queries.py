@@ -8,10 +8,14 @@ from pyspark.sql import functions as F
 
 from plumbline.llm import toxicity as tox
 from plumbline.llm.best_fit_packing import best_fit_packing
+from plumbline.llm.bpe import bpe_digests
 from plumbline.llm.common import table
+from plumbline.llm.embedding_dedup import embedding_dedup
 from plumbline.llm.exact_dedup import exact_dedup
+from plumbline.llm.line_dedup import line_dedup
 from plumbline.llm.secret_scan import secret_scan
 from plumbline.llm.simhash_dedup import simhash_dedup
+from plumbline.llm.token_output import token_output
 from plumbline.llm.url_filter import Rule, url_filter
 
 RULES = [Rule("block", "net", "/"), Rule("allow", "example.net", "/en/"), Rule("block", "example.com", "/de/"), Rule("allow", "org", "/fr/")]
@@ -40,11 +44,29 @@ def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter(table(spark, sf_dir, "pages"), RULES)
 
 
+def op6_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_output(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, end=50256)
+
+
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan(table(spark, sf_dir, "documents")).drop("text_key", "live")
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_best_fit_packing, op3_exact_dedup, op4_simhash_dedup, op5_url_filter, op7_secret_scan)}
+def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup(table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_dropped", "dropped")
+
+
+def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {f.__name__: f for f in (
+    op1_toxicity, op2_best_fit_packing, op3_exact_dedup, op4_simhash_dedup, op5_url_filter, op6_token_output, op7_secret_scan, op8_bpe, op9_line_dedup,
+    op10_embedding_dedup)}
 
 ORACLES = {
     "op3_exact_dedup": r"""
@@ -61,6 +83,13 @@ r AS (SELECT *, CASE
   WHEN (host = 'org' OR host LIKE '%.org') AND starts_with(path, '/fr/') THEN 'org/fr/'
   WHEN (host = 'net' OR host LIKE '%.net') AND starts_with(path, '/') THEN 'net/' END AS rule FROM p)
 SELECT page_id, host, path, rule, CASE WHEN rule IN ('net/', 'example.com/de/') THEN 'block' ELSE 'allow' END AS verdict FROM r""",
+    "op10_embedding_dedup": r"""
+WITH RECURSIVE v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings),
+ok AS (SELECT * FROM v WHERE label IS NOT NULL AND e IS NOT NULL AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
+link AS (SELECT a.vec_id AS x, b.vec_id AS y FROM ok a JOIN ok b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e) WHERE list_cosine_similarity(a.e, b.e) >= 0.98),
+reach(vec_id, r) AS (SELECT vec_id, vec_id FROM v UNION SELECT reach.vec_id, link.y FROM reach JOIN link ON link.x = reach.r),
+c AS (SELECT vec_id, min(r) AS component_id FROM reach GROUP BY vec_id)
+SELECT vec_id, (SELECT count(*) FROM link WHERE link.x = c.vec_id) AS n_links, component_id, vec_id = component_id AS kept FROM c""",
     "op7_secret_scan": r"""
 WITH d AS (SELECT doc_id, coalesce(source, chr(0)) AS owner, coalesce(source, chr(0)) || chr(31) || coalesce(lang, chr(0)) AS repo, coalesce(text, '') AS t FROM documents),
 k AS (SELECT * FROM (VALUES
