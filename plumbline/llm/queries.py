@@ -14,7 +14,7 @@ from plumbline.llm.embedding_dedup import embedding_dedup
 from plumbline.llm.exact_dedup import exact_dedup
 from plumbline.llm.line_dedup import line_dedup
 from plumbline.llm.secret_scan import secret_scan
-from plumbline.llm.simhash_dedup import simhash_dedup
+from plumbline.llm.simhash_dedup import CLOSE, simhash_dedup
 from plumbline.llm.token_output import token_output
 from plumbline.llm.url_filter import Rule, url_filter
 
@@ -37,7 +37,7 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return simhash_dedup(table(spark, sf_dir, "documents"), width=4, errors=4).select("doc_id", "fingerprint", "component_id")
+    return simhash_dedup(table(spark, sf_dir, "documents"), width=4, tries=CLOSE).select("doc_id", "fingerprint", "component_id")
 
 
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:

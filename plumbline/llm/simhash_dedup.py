@@ -2,10 +2,10 @@
 
 A trie's node is the range of fingerprints with one prefix. Two nodes of one depth are visited
 together; the bits in which their prefixes differ add up, and a pair of nodes is dropped once that
-exceeds its budget. Of ``errors`` differing bits spread over three parts of the fingerprint, one part holds
-``errors // 3`` at most, so three tries, each with another part in front, are walked with that small
-budget down to the end of the part and with the whole budget below it: no pair within the
-budget is lost, and nearly all pairs of nodes die early.
+exceeds its budget. Several tries are walked, each with another part of the fingerprint in front, with a small
+budget down to the end of that part and with the whole budget below it, so nearly all pairs of nodes die
+early. Fingerprints that differ in up to ``parts * (part_errors + 1) - 1`` bits are within the small budget in
+one part at least: none of those pairs is lost. Of pairs beyond that and within ``errors`` most are found.
 
 The upper levels are dealt out by Spark: a fingerprint goes to the node of its own prefix, and as a
 visitor to each node whose prefix it exceeds by few enough bits. Nodes with too many members go deeper
@@ -16,6 +16,7 @@ what a task emits is a forest of links, at most one per member, never all pairs.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -26,139 +27,151 @@ from pyspark.sql import functions as F
 from plumbline.llm.common import cut_lineage, keep_rows, row_key, salted_lookup
 from plumbline.llm.components import components, merge_labels
 
-PARTS = (21, 21, 22)
 SALTS = 256
-#: Average residents of a node when dealing starts, members of a node beyond which it goes deeper, and
-#: members walked at a time. They shape the work and not the result.
-NODE, NODE_MAX, CHUNK = 4_096, 60_000, 40_000
-STEP = 4
+#: Members of a node beyond which it goes deeper, members walked at a time, bits of a step down. They shape the work
+#: and not the result.
+NODE_MAX, CHUNK, STEP = 150_000, 40_000, 4
 LEAF_PAIRS = 64
-PAIRS_AT_ONCE = 2_000_000
+PAIRS_AT_ONCE = FRONTIER = 500_000
 
 
-def fingerprint(text: str | None, width: int, seed: int = 42) -> int:
-    """SimHash of the word shingles of a text; words are split at ASCII white space, A-Z lower-cased."""
-    words = (text or "").encode().lower().split()
-    if not words:
-        return 0
-    joined = b" ".join(words)
-    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
-    starts = np.concatenate([[0], ends[:-1] + 1])
-    n = max(1, len(words) - width + 1)
-    last = ends[min(width, len(words)) - 1:]
-    digest = xxhash.xxh64_intdigest
-    hashes = np.fromiter((digest(joined[s:e], seed) for s, e in zip(starts[:n].tolist(), last.tolist())), np.uint64, n)
-    ones = np.zeros(64, np.int64)
-    for i in range(0, n, 65_536):
-        ones += np.unpackbits(hashes[i:i + 65_536].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * ones > n, bitorder="little").view(np.uint64)[0])
+@dataclass(frozen=True)
+class Tries:
+    """Fingerprints of ``words`` times 64 bits, linked at ``errors`` or fewer differing bits, found through
+    ``parts`` tries that allow ``part_errors`` in their own part. ``node``: average residents of a node when dealing starts."""
 
+    words: int = 1
+    parts: int = 3
+    part_errors: int = 1
+    errors: int = 4
+    node: int = 4_096
 
-def fingerprints(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
-    """doc_id, text_key, fp (the fingerprint's bits as bigint) of every row."""
-    plain = docs.select(docs[id_col].cast("bigint").alias("doc_id"), row_key(docs[text_col]).alias("text_key"), docs[text_col].alias("text"))
+    @property
+    def bounds(self) -> np.ndarray:
+        return np.arange(self.parts + 1) * 64 * self.words // self.parts
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            fp = np.array([fingerprint(t, width) for t in batch.column(2).to_pylist()], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fp)], names=["doc_id", "text_key", "fp"])
-
-    return plain.mapInArrow(work, "doc_id bigint, text_key bigint, fp bigint")
+    def turned(self, high: np.ndarray, low: np.ndarray, trie) -> np.ndarray:
+        """The 64 bits that begin with the trie's part, around the end of the fingerprint."""
+        start = self.bounds[trie]
+        second = low if self.words == 2 else high
+        swap, by = start >= 64, (start % 64).astype(np.uint64)
+        first, second = np.where(swap, second, high), np.where(swap, high, second)
+        return np.where(by == 0, first, (first << by) | (second >> ((np.uint64(64) - by) % np.uint64(64))))
 
+    def allowed(self, trie, depth):
+        """Differing bits that two prefixes of this depth may have."""
+        return np.where(np.diff(self.bounds)[trie] >= depth, self.part_errors, self.errors)
 
-def turned(fp: np.ndarray, trie) -> np.ndarray:
-    """Fingerprints rotated so that the trie's part comes first."""
-    by = np.asarray([0, PARTS[0], PARTS[0] + PARTS[1]], np.uint64)[trie]
-    return np.where(by == 0, fp, (fp << by) | (fp >> ((np.uint64(64) - by) % np.uint64(64))))
+    def depth(self, n: int) -> int:
+        return min(int(np.diff(self.bounds).min()) - 1, max(4, (max(1, n // self.node) - 1).bit_length()))
 
 
-def allowed(trie, depth, errors: int):
-    """Differing bits that two prefixes of this depth may have."""
-    return np.where(np.asarray(PARTS)[trie] >= depth, errors // len(PARTS), errors)
+#: Four or fewer of 64 bits: every such pair is linked.
+CLOSE = Tries()
+#: 24 or fewer of 128 bits, a Jaccard similarity of word shingles of about 0.8 (19 bits expected; all pairs up to there are linked).
+SIMILAR = Tries(words=2, parts=5, part_errors=3, errors=24, node=16_384)
 
 
-def deal(depth: int, errors: int):
-    """From fp: its nodes (trie, depth, prefix) at ``depth``, which lies inside every part."""
+def fingerprint(text: str | None, width: int, seeds: tuple[int, ...] = (42,)) -> list[int]:
+    """SimHash words, one per seed, of the word shingles of a text; words are split at ASCII white space, A-Z lower-cased."""
+    words = (text or "").encode().lower().split()
+    if not words:
+        return [0] * len(seeds)
+    joined = b" ".join(words)
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
+    n = max(1, len(words) - width + 1)
+    starts = np.concatenate([[0], ends[:-1] + 1])[:n].tolist()
+    last = ends[min(width, len(words)) - 1:].tolist()
+    digest, out = xxhash.xxh64_intdigest, []
+    for seed in seeds:
+        ones = np.zeros(64, np.int64)
+        for i in range(0, n, 65_536):
+            size = min(65_536, n - i)
+            hashes = np.fromiter((digest(joined[s:e], seed) for s, e in zip(starts[i:i + size], last[i:i + size])), np.uint64, size)
+            ones += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        out.append(int(np.packbits(2 * ones > n, bitorder="little").view(np.uint64)[0]))
+    return out
+
+
+def fingerprints(docs: DataFrame, id_col: str, text_col: str, width: int, words: int) -> DataFrame:
+    """doc_id, text_key, fp and low (the fingerprint's bits as bigint; low is 0 with one word) of every row."""
+    plain = docs.select(docs[id_col].cast("bigint").alias("doc_id"), row_key(docs[text_col]).alias("text_key"), docs[text_col].alias("text"))
+    seeds = tuple(range(42, 42 + words))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fp = batch.column(0).to_numpy().view(np.uint64)
-            for trie in range(len(PARTS)):
-                own = turned(fp, trie) >> np.uint64(64 - depth)
-                yield _members(trie, depth, own, fp, True)
-                yield from _visits(trie, depth, own, fp, errors // len(PARTS), depth - 1)
+            found = np.zeros((batch.num_rows, 2), np.uint64)
+            for i, text in enumerate(batch.column(2).to_pylist()):
+                found[i, :words] = fingerprint(text, width, seeds)
+            fp, low = np.ascontiguousarray(found.T).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fp), pa.array(low)], names=["doc_id", "text_key", "fp", "low"])
 
-    return work
+    return plain.mapInArrow(work, "doc_id bigint, text_key bigint, fp bigint, low bigint")
 
 
-def _visits(trie: int, depth: int, prefix: np.ndarray, fp: np.ndarray, budget: int, top: int) -> Iterator[pa.RecordBatch]:
-    """Nodes whose prefix lacks up to ``budget`` bits; the highest differing bit is one of the visitor's."""
-    if budget < 1:
-        return
-    for bit in range(top + 1):
-        has = (prefix >> np.uint64(bit)) & np.uint64(1) == 1
-        base, own = prefix[has] ^ np.uint64(1 << bit), fp[has]
-        yield _members(trie, depth, base, own, False)
-        yield from _flips(trie, depth, base, own, budget - 1, bit - 1)
+def deal(tries: Tries, depth: int):
+    """From (id, fp, low): its nodes (trie, depth, prefix) at ``depth``, which lies inside every part."""
 
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [batch.column(i).to_numpy() for i in range(3)]
+            for trie in range(tries.parts):
+                own = tries.turned(rows[1].view(np.uint64), rows[2].view(np.uint64), trie) >> np.uint64(64 - depth)
+                yield _members(trie, depth, own, rows, True)
+                for mask in range(1, 1 << depth):
+                    if mask.bit_count() <= tries.part_errors:
+                        # The highest differing bit is one of the visitor's, so that two prefixes meet at one of them.
+                        has = (own >> np.uint64(mask.bit_length() - 1)) & np.uint64(1) == 1
+                        yield _members(trie, depth, own[has] ^ np.uint64(mask), [r[has] for r in rows], False)
 
-def _flips(trie: int, depth: int, prefix: np.ndarray, fp: np.ndarray, budget: int, top: int) -> Iterator[pa.RecordBatch]:
-    if budget < 1:
-        return
-    for bit in range(top + 1):
-        base = prefix ^ np.uint64(1 << bit)
-        yield _members(trie, depth, base, fp, False)
-        yield from _flips(trie, depth, base, fp, budget - 1, bit - 1)
+    return work
 
 
-def _members(trie, depth, prefix: np.ndarray, fp: np.ndarray, home) -> pa.RecordBatch:
-    n = len(fp)
+def _members(trie, depth, prefix: np.ndarray, rows: list[np.ndarray], home) -> pa.RecordBatch:
+    n = len(prefix)
     return pa.RecordBatch.from_arrays([
-        pa.array(np.broadcast_to(np.asarray(trie, np.int32), n)), pa.array(np.broadcast_to(np.asarray(depth, np.int32), n)),
-        pa.array(prefix.view(np.int64)), pa.array(fp.view(np.int64)), pa.array(np.broadcast_to(np.asarray(home), n))], names=["trie", "depth", "prefix", "fp", "home"])
+        pa.array(np.broadcast_to(np.asarray(trie, np.int32), n)), pa.array(np.broadcast_to(np.asarray(depth, np.int32), n)), pa.array(prefix.view(np.int64)),
+        *[pa.array(r) for r in rows], pa.array(np.broadcast_to(np.asarray(home), n))], names=["trie", "depth", "prefix", "id", "fp", "low", "home"])
 
 
 #: ``home`` marks a fingerprint in the node of its own prefix.
-MEMBER = "trie int, depth int, prefix bigint, fp bigint, home boolean"
+MEMBER = "trie int, depth int, prefix bigint, id bigint, fp bigint, low bigint, home boolean"
 
 
-def deepen(errors: int):
+def deepen(tries: Tries):
     """The members of nodes that are too large, dealt to nodes ``STEP`` bits deeper."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             trie, depth = (batch.column(i).to_numpy().astype(np.int64) for i in (0, 1))
-            prefix, fp = (batch.column(i).to_numpy().view(np.uint64) for i in (2, 3))
+            prefix, rows = batch.column(2).to_numpy().view(np.uint64), [batch.column(i).to_numpy() for i in (3, 4, 5)]
             below = np.minimum(depth + STEP, 64)
-            own = turned(fp, trie) >> (64 - below).astype(np.uint64)
-            parent = own >> (below - depth).astype(np.uint64)
-            spent = np.bitwise_count(parent ^ prefix)
-            budget = allowed(trie, below, errors)
+            by = (below - depth).astype(np.uint64)
+            own = tries.turned(rows[1].view(np.uint64), rows[2].view(np.uint64), trie) >> (64 - below).astype(np.uint64)
+            spent = np.bitwise_count((own >> by) ^ prefix).astype(np.int64)
+            budget = tries.allowed(trie, below)
             for mask in range(1 << STEP):
-                lower = mask < (1 << (below - depth))
                 top = np.uint64(1 << max(0, mask.bit_length() - 1))
-                fits = lower & (spent + mask.bit_count() <= budget) & ((mask == 0) | (spent > 0) | (own & top != 0))
-                low = (own[fits] ^ np.uint64(mask)) & ((np.uint64(1) << (below - depth)[fits].astype(np.uint64)) - np.uint64(1))
-                node = (prefix[fits] << (below - depth)[fits].astype(np.uint64)) | low
-                yield _members(trie[fits].astype(np.int32), below[fits].astype(np.int32), node, fp[fits], (spent[fits] == 0) & (mask == 0))
+                fits = (mask < (1 << (below - depth))) & (spent + mask.bit_count() <= budget) & ((mask == 0) | (spent > 0) | (own & top != 0))
+                low = (own[fits] ^ np.uint64(mask)) & ((np.uint64(1) << by[fits]) - np.uint64(1))
+                yield _members(
+                    trie[fits].astype(np.int32), below[fits].astype(np.int32), (prefix[fits] << by[fits]) | low, [r[fits] for r in rows], (spent[fits] == 0) & (mask == 0))
 
     return work
 
 
-def walk(trie: np.ndarray, depth: np.ndarray, prefix: np.ndarray, fp: np.ndarray, errors: int) -> tuple[np.ndarray, np.ndarray]:
+def walk(tries: Tries, trie: np.ndarray, depth: np.ndarray, prefix: np.ndarray, ident: np.ndarray, fp: np.ndarray, low: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """A forest of links among the members of whole nodes: pairs of a resident with another member of
-    its node within ``errors`` bits, reduced to (member, root) per connected group."""
-    key = turned(fp, trie)
-    shift = (64 - depth).astype(np.uint64)
-    visit = (key >> shift) != prefix
+    its node within the budget, reduced to (member, root) per connected group."""
+    key = tries.turned(fp, low, trie)
+    visit = (key >> (64 - depth).astype(np.uint64)) != prefix
     order = np.lexsort((key, visit, prefix, depth, trie))
-    trie, depth, prefix, fp, key, visit = (x[order] for x in (trie, depth, prefix, fp, key, visit))
-    shift, n = shift[order], len(fp)
+    trie, depth, prefix, ident, fp, low, key, visit = (x[order] for x in (trie, depth, prefix, ident, fp, low, key, visit))
+    n = len(fp)
     new = np.ones(n, bool)
     new[1:] = (trie[1:] != trie[:-1]) | (depth[1:] != depth[:-1]) | (prefix[1:] != prefix[:-1])
-    node = np.cumsum(new) - 1
-    head = np.flatnonzero(new)
-    own = key >> shift
+    node, head = np.cumsum(new) - 1, np.flatnonzero(new)
+    own = key >> (64 - depth).astype(np.uint64)
     run = new.copy()
     run[1:] |= own[1:] != own[:-1]
     lo = np.flatnonzero(run)
@@ -168,38 +181,41 @@ def walk(trie: np.ndarray, depth: np.ndarray, prefix: np.ndarray, fp: np.ndarray
     end = np.zeros(len(head), np.int64)
     end[node[lo[home]]] = hi[home]
     met = home | (end[node[lo]] > 0)
-    a0, a1 = head[node[lo[met]]], end[node[lo[met]]]
-    b0, b1 = lo[met], hi[met]
+    a0, a1, b0, b1 = head[node[lo[met]]], end[node[lo[met]]], lo[met], hi[met]
     err = np.bitwise_count(own[b0] ^ prefix[b0]).astype(np.int64)
-    at = depth[b0].astype(np.int64)
-    limit = np.asarray(PARTS)[trie]
     labels = np.arange(n)
-    while len(a0):
-        same = a0 == b0
-        size = (a1 - a0) * (b1 - b0)
-        ready = (size <= LEAF_PAIRS) | (at >= 64)
-        labels = _verify(labels, fp, a0[ready], a1[ready], b0[ready], b1[ready], errors)
-        a0, a1, b0, b1, err, at, same = (x[~ready] for x in (a0, a1, b0, b1, err, at, same))
+    ones: dict[int, np.ndarray] = {}
+    work = [(a0, a1, b0, b1, err, depth[b0].astype(np.int64))]
+    while work:
+        pairs = work.pop()
+        if len(pairs[0]) > FRONTIER:
+            half = len(pairs[0]) // 2
+            work += [tuple(x[half:] for x in pairs), tuple(x[:half] for x in pairs)]
+            continue
+        a0, a1, b0, b1, err, at = pairs
+        ready = ((a1 - a0) * (b1 - b0) <= LEAF_PAIRS) | (at >= 64)
+        labels = _verify(labels, fp, low, a0[ready], a1[ready], b0[ready], b1[ready], tries.errors)
+        a0, a1, b0, b1, err, at = (x[~ready] for x in pairs)
         if not len(a0):
-            break
-        at0, a_mid, b_mid = at, np.empty_like(a0), np.empty_like(b0)
-        for level in np.unique(at0):
-            here = at0 == level
-            ones = np.concatenate([[0], np.cumsum((key >> np.uint64(63 - level)) & np.uint64(1), dtype=np.int64)])
-            a_mid[here] = a1[here] - (ones[a1[here]] - ones[a0[here]])
-            b_mid[here] = b1[here] - (ones[b1[here]] - ones[b0[here]])
-        grown = [(a0, a_mid, b0, b_mid, err, at, None), (a_mid, a1, b_mid, b1, err, at, None), (a0, a_mid, b_mid, b1, err + 1, at, None), (a_mid, a1, b0, b_mid, err + 1, at, ~same)]
-        parts = []
-        for p0, p1, q0, q1, e, d, only in grown:
-            ok = (p1 > p0) & (q1 > q0) & (e <= np.where(limit[p0.clip(max=n - 1)] >= d + 1, errors // len(PARTS), errors))
-            ok = ok if only is None else ok & only
-            parts.append([x[ok] for x in (p0, p1, q0, q1, e, d + 1)])
-        a0, a1, b0, b1, err, at = (np.concatenate(x) for x in zip(*parts))
+            continue
+        a_mid, b_mid = np.empty_like(a0), np.empty_like(b0)
+        for level in np.unique(at).tolist():
+            if level not in ones:
+                ones[level] = np.concatenate([[0], np.cumsum((key >> np.uint64(63 - level)) & np.uint64(1), dtype=np.int64)])
+            here, up = at == level, ones[level]
+            a_mid[here] = a1[here] - (up[a1[here]] - up[a0[here]])
+            b_mid[here] = b1[here] - (up[b1[here]] - up[b0[here]])
+        both = np.ones(len(a0), bool)
+        grown = [(a0, a_mid, b0, b_mid, err, both), (a_mid, a1, b_mid, b1, err, both), (a0, a_mid, b_mid, b1, err + 1, both), (a_mid, a1, b0, b_mid, err + 1, a0 != b0)]
+        budget = tries.allowed(trie[a0], at + 1)
+        parts = [[x[ok] for x in (p0, p1, q0, q1, e, at + 1)] for p0, p1, q0, q1, e, some in grown if (ok := (p1 > p0) & (q1 > q0) & (e <= budget) & some).any()]
+        if parts:
+            work.append(tuple(np.concatenate(x) for x in zip(*parts)))
     linked = np.flatnonzero(labels != np.arange(n))
-    return fp[linked], fp[labels[linked]]
+    return ident[linked], ident[labels[linked]]
 
 
-def _verify(labels, fp, a0, a1, b0, b1, errors: int) -> np.ndarray:
+def _verify(labels, fp, low, a0, a1, b0, b1, errors: int) -> np.ndarray:
     """Labels after all pairs of the given ranges have been compared."""
     size = (a1 - a0) * (b1 - b0)
     total = np.cumsum(size)
@@ -211,21 +227,22 @@ def _verify(labels, fp, a0, a1, b0, b1, errors: int) -> np.ndarray:
         turn = np.arange(len(of)) - np.repeat(np.cumsum(size[part]) - size[part], size[part])
         width = (b1 - b0)[of]
         x, y = a0[of] + turn // width, b0[of] + turn % width
-        near = (x != y) & (np.bitwise_count(fp[x] ^ fp[y]) <= errors)
+        near = (x != y) & (np.bitwise_count(fp[x] ^ fp[y]).astype(np.int16) + np.bitwise_count(low[x] ^ low[y]) <= errors)
         labels = merge_labels(labels, x[near], y[near])
         begin = stop
     return labels
 
 
-def walk_nodes(errors: int, chunk: int = CHUNK):
+def walk_nodes(tries: Tries, chunk: int = CHUNK):
     """Walk the nodes of a partition, sorted by node, a bounded number of members at a time."""
 
     def flush(held: list[np.ndarray]) -> pa.RecordBatch:
-        a, b = walk(held[0].astype(np.int64), held[1].astype(np.int64), held[2].view(np.uint64), held[3].view(np.uint64), errors)
-        return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["a", "b"])
+        trie, depth, prefix, ident, fp, low = held
+        a, b = walk(tries, trie.astype(np.int64), depth.astype(np.int64), prefix.view(np.uint64), ident, fp.view(np.uint64), low.view(np.uint64))
+        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [np.empty(0, np.int32), np.empty(0, np.int32), np.empty(0, np.int64), np.empty(0, np.int64)]
+        held = [np.empty(0, t) for t in (np.int32, np.int32, np.int64, np.int64, np.int64, np.int64)]
         for batch in batches:
             held = [np.concatenate([h, c.to_numpy()]) for h, c in zip(held, batch.columns)]
             if len(held[0]) >= chunk:
@@ -240,42 +257,41 @@ def walk_nodes(errors: int, chunk: int = CHUNK):
     return work
 
 
-def trie_links(values: DataFrame, errors: int, node: int = NODE, node_max: int = NODE_MAX) -> DataFrame:
-    """Links (a, b) that connect all values (column fp: distinct bigint) within ``errors`` bits of each other."""
-    n = values.count()
-    depth = min(min(PARTS) - 1, max(6, (max(1, n // node) - 1).bit_length()))
-    members = cut_lineage(values.select("fp").mapInArrow(deal(depth, errors), MEMBER))
-    key = ["trie", "depth", "prefix"]
-    ready = None
+def trie_links(values: DataFrame, tries: Tries, node_max: int = NODE_MAX) -> DataFrame:
+    """Links (a, b) between ids that connect all values (id, fp, low: distinct, bigint) within the budget of each other."""
+    members = values.select("id", "fp", "low").mapInArrow(deal(tries, tries.depth(values.count())), MEMBER)
+    key, ready = ["trie", "depth", "prefix"], None
     while True:
-        crowd = members.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).where((F.col("n") > node_max) & (F.col("depth") < 64))
+        crowd = cut_lineage(members.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).where((F.col("n") > node_max) & (F.col("depth") < 64)))
         done = crowd.isEmpty()
         small = members if done else members.join(crowd, key, "left_anti")
         ready = small if ready is None else ready.unionByName(small)
         if done:
             break
-        below = cut_lineage(members.join(crowd, key, "left_semi").select("trie", "depth", "prefix", "fp").mapInArrow(deepen(errors), MEMBER))
+        below = cut_lineage(members.join(crowd, key, "left_semi").select(*key, "id", "fp", "low").mapInArrow(deepen(tries), MEMBER))
         members = below.join(below.where("home").select(*key).distinct(), key, "left_semi").select(below.columns)
-    return ready.repartition(*key).sortWithinPartitions(*key).mapInArrow(walk_nodes(errors), "a bigint, b bigint")
+    return ready.drop("home").repartition(*key).sortWithinPartitions(*key).mapInArrow(walk_nodes(tries), "a bigint, b bigint")
 
 
-def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, errors: int = 4, **shape) -> DataFrame:
-    """One row per row of ``docs``: doc_id, fingerprint (16 hex digits), component_id, kept, text_key.
+def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, tries: Tries = SIMILAR, node_max: int = NODE_MAX) -> DataFrame:
+    """One row per row of ``docs``: doc_id, fingerprint (16 hex digits per word), component_id, kept, text_key.
 
     Null and blank texts have fingerprint zero and are linked like any other; fewer words than a
     shingle make one shingle. A component's id is its smallest doc_id (null if it has none); ``kept`` marks
     the rows that carry it, or one row key of a component without ids. Repeated rows each come back. An empty
     table gives an empty result. Extra columns play no part.
     """
-    rows = cut_lineage(fingerprints(docs, id_col, text_col, width))
-    classes = cut_lineage(rows.groupBy("fp").agg(F.min("doc_id").alias("smallest"), F.min("text_key").alias("key")))
-    nodes = components(trie_links(classes, errors, **shape))
-    rooted = classes.join(nodes, classes["fp"] == nodes["node"], "left").select("fp", "smallest", "key", F.coalesce("root", "fp").alias("root"))
+    rows = cut_lineage(fingerprints(docs, id_col, text_col, width, tries.words))
+    ident = F.col("fp") if tries.words == 1 else F.xxhash64("fp", "low")
+    classes = cut_lineage(rows.groupBy("fp", "low").agg(F.min("doc_id").alias("smallest"), F.min("text_key").alias("key")).withColumn("id", ident))
+    nodes = components(trie_links(classes, tries, node_max))
+    rooted = classes.join(nodes, classes["id"] == nodes["node"], "left").select("fp", "low", "smallest", "key", F.coalesce("root", "id").alias("root"))
     groups = salted_lookup(
         rooted, rooted.groupBy("root").agg(F.min("smallest").alias("component_id"), F.min("key").alias("least_key")), ["root"], F.col("fp"), SALTS)
-    placed = salted_lookup(rows, groups.select("fp", "component_id", "least_key"), ["fp"], F.struct("doc_id", "text_key"), SALTS)
+    placed = salted_lookup(rows, groups.select("fp", "low", "component_id", "least_key"), ["fp", "low"], F.struct("doc_id", "text_key"), SALTS)
     kept = F.when(F.col("component_id").isNull(), F.col("text_key") == F.col("least_key")).otherwise(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    return placed.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", kept.alias("kept"), "text_key")
+    digits = F.concat(*[F.lpad(F.hex(c), 16, "0") for c in ("fp", "low")[:tries.words]])
+    return placed.select("doc_id", F.lower(digits).alias("fingerprint"), "component_id", kept.alias("kept"), "text_key")
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **settings) -> DataFrame:

@@ -84,12 +84,20 @@ class Model:
         return 0.0
 
     def hits(self, words: list[str], known: dict[str, float]) -> list[tuple[int, float]]:
+        """Places and scores of the words that stand out; the k-th time a word comes up it has
+        1/k² of its score, as the scores are learnt from documents and not from repetitions."""
         if len(known) > KNOWN_WORDS:
             known.clear()
         new = {w for w in words if w not in known}
         for w in new:
             known[w] = self.word(w)
-        return [(i, s) for i, w in enumerate(words) if (s := known[w]) > 0]
+        seen: Counter = Counter()
+        out = []
+        for i, w in enumerate(words):
+            if (score := known[w]) > 0:
+                seen[w] += 1
+                out.append((i, score / seen[w] ** 2))
+        return out
 
     def evidence(self, segments: list[tuple[int, int, float]], n: int) -> tuple[float, float, list[tuple[int, int, float]]]:
         """Sum of -ln p over the segments, the best segment's score, and the segments with p < 0.05."""
