@@ -68,14 +68,9 @@ def fit_isolation_forest(df: DataFrame, cols: list[str], id_col: str, contaminat
     # Twice the expected share, so that every tree finds its full sample; the surplus is cut below.
     share = min(1.0, 2.0 * size / max(rows, 1) + 1e-9)
     base = df.select(C.quoted(id_col).alias("_id"), *[F.coalesce(C.as_number(df, c), F.lit(fill[c])).alias(f"x{i}") for i, c in enumerate(cols)])
-    if trees * share <= 0.5:
-        # Plenty of rows: one hash deals a row to one tree at most.
-        dealt = base.withColumn("_h", hash_share("_id", seed=seed)).where(F.col("_h") < trees * share)
-        drawn = dealt.withColumn("s", F.struct(F.floor(F.col("_h") / share).cast("int").alias("tree"), F.col("_h").alias("h")))
-    else:
-        draws = F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.struct(
-            t.alias("tree"), hash_share("_id", t, seed=seed).alias("h")))
-        drawn = base.withColumn("s", F.explode(F.filter(draws, lambda d: d["h"] < share)))
+    # Every tree draws for itself at any table size; a row may be in the sample of several trees.
+    draws = F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.struct(t.alias("tree"), hash_share("_id", t, seed=seed).alias("h")))
+    drawn = base.withColumn("s", F.explode(F.filter(draws, lambda d: d["h"] < share)))
     w = W.partitionBy("s.tree").orderBy("s.h", "_id")
     sample = drawn.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= size).select(F.col("s.tree").alias("tree"), "_id", *[f"x{i}" for i in range(len(cols))])
     limit = math.ceil(math.log2(max(size, 2)))

@@ -59,7 +59,7 @@ def split(df: DataFrame, target: str | None, test_size: float = 0.2, seed: int =
     if target is not None:
         least = df.groupBy(C.quoted(target)).count().agg(F.min("count")).first()[0]
         label = target if least is not None and least >= 2 else None
-    marked = mark_per_class(df, label, lambda n: int(-(-n * test_size // 1)), id_col, seed)
+    marked = mark_per_class(df, label, lambda n: F.ceil(n * F.lit(float(test_size))), id_col, seed)
     return marked.withColumnRenamed("_taken", "is_test")
 
 
@@ -141,9 +141,10 @@ class Prepared:
     """A split table turned into label and feature vectors, kept for many fits."""
 
     def __init__(self, df: DataFrame, target: str, features: list[str] | None, task: str, test_size: float, seed: int,
-                 id_col: str, encode: str = "onehot", fill: str = "median"):
+                 id_col: str, encode: str = "onehot", fill: str = "median", is_test: str | None = None):
+        """``is_test``: a boolean column with a split already made; else one is made."""
         self.target, self.seed, self.id_col = target, seed, id_col
-        self.features = features or [f.name for f in df.schema if f.name not in (target, id_col) and not isinstance(f.dataType, C.NESTED)]
+        self.features = features or [f.name for f in df.schema if f.name not in (target, id_col, is_test) and not isinstance(f.dataType, C.NESTED)]
         self.task = detect_task_name(df, target) if task == "auto" else task
         self.labels = None
         if self.task == "classification":
@@ -151,7 +152,8 @@ class Prepared:
             if len(found) > 1000:
                 raise ValueError(f"{target!r} has more than 1000 classes")
             self.labels = [r["v"] for r in found]
-        marked = split(_labelled(df, target, self.task, self.labels, id_col), target if self.labels else None, test_size, seed, id_col)
+        labelled = _labelled(df, target, self.task, self.labels, id_col)
+        marked = labelled.withColumn("is_test", C.quoted(is_test)) if is_test else split(labelled, target if self.labels else None, test_size, seed, id_col)
         train = marked.where(~F.col("is_test"))
         self.prep = feature_pipeline(train, self.features, fill, encode).fit(train)
         vectors = self.prep.transform(marked)
@@ -212,10 +214,10 @@ def train_multi(df: DataFrame, targets: list[str], model: str, features: list[st
     """One model per target over the same features and the same split; joint metrics."""
     marked = split(df, None, test_size, seed, id_col)
     held = marked.where("is_test").drop("is_test")
-    fit_rows = marked.where(~F.col("is_test")).drop("is_test")
     bundles, joined = [], held.select(C.quoted(id_col), *[C.quoted(t) for t in targets])
     for t in targets:
-        bundle, _ = train(fit_rows, t, model, features, task, test_size, seed, id_col)
+        with Prepared(marked, t, features, task, test_size, seed, id_col, is_test="is_test") as ready:
+            bundle = ready.bundle(model, _entry(model, ready.task).fit(ready.train, ready.context()))
         bundles.append(bundle)
         scored = predict(bundle, held).select(C.quoted(id_col), F.col("prediction").alias(f"{t}_prediction"))
         joined = joined.join(scored, id_col)
@@ -284,7 +286,8 @@ def tune(ready: Prepared, model: str, k: int = 3, trials: int = 20, grid: dict[s
 
 def compare(df: DataFrame, target: str, models: list[str] | None = None, features: list[str] | None = None, task: str = "auto",
             cv_folds: int = 0, tuning: bool = False, trials: int = 20, test_size: float = 0.2, seed: int = 42, id_col: str = "id") -> tuple[Bundle, DataFrame]:
-    """(best bundle, table of models by held-out accuracy or R²); a model that cannot be fitted is skipped."""
+    """(best bundle, table of models by held-out accuracy or R²); a model that cannot
+    be fitted keeps its row, without scores, with the reason as its status; the others' status is ok."""
     with Prepared(df, target, features, task, test_size, seed, id_col) as ready:
         rows, best = [], None
         lead = METRICS[ready.task][0]
@@ -297,19 +300,21 @@ def compare(df: DataFrame, target: str, models: list[str] | None = None, feature
                 scores = evaluate(fitted, ready.test, ready.task)
                 if scores[lead] is None or scores[lead] != scores[lead]:
                     raise ValueError("no score on the held-out rows")
-                row = {"model": name, "task": ready.task, "category": entry.category, "params": json.dumps(params, sort_keys=True), **scores}
+                row = {"model": name, "task": ready.task, "category": entry.category, "params": json.dumps(params, sort_keys=True), "status": "ok", **scores}
                 if cv_folds >= 2:
                     row.update(_diagnostics(cross_scores(entry, ready, ctx, cv_folds), scores[lead]))
             except Exception as problem:  # one unsuitable model must not end the comparison
-                log.warning("model %s skipped: %s", name, str(problem).splitlines()[0] if str(problem) else type(problem).__name__)
+                reason = str(problem).splitlines()[0] if str(problem) else type(problem).__name__
+                log.warning("model %s failed: %s", name, reason)
+                rows.append({"model": name, "task": ready.task, "category": entry.category, "params": "{}", "status": f"{type(problem).__name__}: {reason}"})
                 continue
             rows.append(row)
             if best is None or scores[lead] > best[0]:
                 best = (scores[lead], ready.bundle(name, fitted))
         if best is None:
             raise ValueError("no model could be fitted")
-        rows.sort(key=lambda r: -r[lead])
-        return best[1], _metric_rows(df, rows, ready.task, ", category string, params string" + (CV_FIELDS if cv_folds >= 2 else ""))
+        rows.sort(key=lambda r: (r["status"] != "ok", -r.get(lead, 0.0)))
+        return best[1], _metric_rows(df, rows, ready.task, ", category string, params string, status string" + (CV_FIELDS if cv_folds >= 2 else ""))
 
 
 # ---- applying and explaining --------------------------------------------------------------
@@ -349,7 +354,7 @@ def _weights(model) -> list[float] | None:
         return list(model.featureImportances.toArray())
     if hasattr(model, "coefficientMatrix"):
         return list(np.abs(model.coefficientMatrix.toArray()).mean(axis=0))
-    if hasattr(model, "coefficients"):
+    if getattr(model, "numClasses", 2) <= 2 and hasattr(model, "coefficients"):
         return list(np.abs(model.coefficients.toArray()))
     if hasattr(model, "models"):
         parts = [w for w in (_weights(m) for m in model.models) if w is not None]
@@ -390,7 +395,8 @@ def explain(bundle: Bundle, df: DataFrame, id_col: str = "id", k: int = 20, seed
     """
     ready = df.withColumn("_row_id", C.quoted(id_col))
     weights = _weights(bundle.model)
-    plain = hasattr(bundle.model, "coefficients") or (getattr(bundle.model, "classes", 0) is None and getattr(bundle.model, "weights", None) is not None)
+    many = getattr(bundle.model, "numClasses", 2) > 2
+    plain = (not many and hasattr(bundle.model, "coefficients")) or (getattr(bundle.model, "classes", 0) is None and getattr(bundle.model, "weights", None) is not None)
     if plain and weights is not None:
         from pyspark.ml.functions import vector_to_array
 
@@ -417,9 +423,14 @@ def permuted(df: DataFrame, col: str, id_col: str, seed: int) -> DataFrame:
     from plumbline.plans.ranks import cumulative
 
     rows = df.count()
-    left = cumulative(df.drop(col).withColumn("n", F.lit(1)).withColumn("_h", F.xxhash64(C.quoted(id_col), F.lit(seed))), [], [F.col("_h"), C.quoted(id_col)], rows=rows)
-    right = cumulative(df.select(C.quoted(id_col).alias("_i"), C.quoted(col), F.lit(1).alias("n")).withColumn("_g", F.xxhash64("_i", F.lit(seed + 1000))), [], [F.col("_g"), F.col("_i")], rows=rows)
-    return left.join(right.select("place", C.quoted(col)), "place").drop("place", "before", "n", "_h")
+    others = [C.quoted(c) for c in df.columns if c != col]
+    left = cumulative(df.select(
+        F.struct(*others).alias("whole"), F.xxhash64(C.quoted(id_col), F.lit(seed)).alias("h"), C.quoted(id_col).alias("i"), F.lit(1).alias("n")),
+        [], [F.col("h"), F.col("i")], rows=rows)
+    right = cumulative(df.select(
+        C.quoted(col).alias("value"), F.xxhash64(C.quoted(id_col), F.lit(seed + 1000)).alias("h"), C.quoted(id_col).alias("i"), F.lit(1).alias("n")),
+        [], [F.col("h"), F.col("i")], rows=rows)
+    return left.select("place", "whole").join(right.select("place", "value"), "place").select("whole.*", F.col("value").alias(col))
 
 
 def rfe(df: DataFrame, target: str, k: int, features: list[str] | None = None, step: int = 1, trees: int = 50, id_col: str = "id",

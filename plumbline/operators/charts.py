@@ -103,7 +103,7 @@ def stratified_sample(df: DataFrame, target: str, n: int, id_col: str, seed: int
     total = df.count()
     if total <= n:
         return df
-    return take_per_class(df, target, lambda size: round(n * size / total), id_col, seed)
+    return take_per_class(df, target, lambda size: F.bround(n * size / total), id_col, seed)
 
 
 def kde(df: DataFrame, col: str, points: int = 100, bins: int = 512) -> DataFrame:

@@ -271,6 +271,8 @@ def iqr_fences(df: DataFrame, cols: list[str], factor: float = 1.5) -> dict[str,
 def treat_outliers(df: DataFrame, cols: list[str] | None = None, action: str = "clip",
                    fences: dict[str, tuple[float, float]] | None = None) -> DataFrame:
     """Clip to the quartile fences, or remove rows beyond them (nulls stay)."""
+    if action not in ("clip", "remove"):
+        raise ValueError(f"unknown outlier action {action!r}")
     fences = iqr_fences(df, cols or C.numeric_columns(df)) if fences is None else fences
     if action == "remove":
         keep = F.lit(True)
@@ -338,17 +340,20 @@ def smooth(df: DataFrame, cols: list[str], order_by: str, window: int = 3, metho
         return out
 
     if rows <= window_rows:
-        frame = W.partitionBy(*keys).orderBy(order_by).rowsBetween(1 - window, 0)
+        frame = W.partitionBy(*[C.quoted(k) for k in keys]).orderBy(C.quoted(order_by)).rowsBetween(1 - window, 0)
         return _set(df, rolled(frame))
-    placed = cumulative(df.withColumn("n", F.lit(1)), keys, [C.quoted(order_by)], rows=rows, window_rows=window_rows)
-    at = F.col("place")
+    named = [f"k{i}" for i in range(len(keys))]
+    packed = df.select(F.struct("*").alias("whole"), *[C.quoted(k).alias(n) for k, n in zip(keys, named)], C.quoted(order_by).alias("at"), F.lit(1).alias("n"))
+    placed = cumulative(packed, named, [F.col("at")], rows=rows, window_rows=window_rows).select(
+        F.col("place").alias("__plumb_place"), *[F.col(n).alias(f"__plumb_{n}") for n in named], "whole.*")
+    at = F.col("__plumb_place")
     near_end = at % block >= block - (window - 1)
-    spread = placed.withColumn("_copy", F.explode(F.when(near_end, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))))
-    spread = spread.withColumn("_block", F.floor(at / block) + F.col("_copy"))
-    frame = W.partitionBy(*keys, "_block").orderBy("place").rowsBetween(1 - window, 0)
+    spread = placed.withColumn("__plumb_copy", F.explode(F.when(near_end, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))))
+    spread = spread.withColumn("__plumb_block", F.floor(at / block) + F.col("__plumb_copy"))
+    frame = W.partitionBy(*[f"__plumb_{n}" for n in named], "__plumb_block").orderBy("__plumb_place").rowsBetween(1 - window, 0)
     exprs = rolled(frame)
-    done = spread.select(*[exprs[c].alias(c) if c in exprs else C.quoted(c) for c in df.columns], "_copy")
-    return done.where("_copy = 0").drop("_copy")
+    done = spread.select(*[exprs[c].alias(c) if c in exprs else C.quoted(c) for c in df.columns], "__plumb_copy")
+    return done.where("__plumb_copy = 0").drop("__plumb_copy")
 
 
 # ---- whole cleaner ------------------------------------------------------------------------

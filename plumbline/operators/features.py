@@ -74,15 +74,28 @@ def safe_name(value: str) -> str:
     return "".join(ch if ch.isalnum() else "_" for ch in str(value))
 
 
+def value_columns(column: str, values: list[str], taken: list[str]) -> list[str]:
+    """One new column name per value; where two would be alike, or a column has the name, a number follows."""
+    used, out = set(taken), []
+    for v in values:
+        base = f"{column}_{safe_name(v)}"
+        name, turn = base, 2
+        while name in used:
+            name, turn = f"{base}_{turn}", turn + 1
+        used.add(name)
+        out.append(name)
+    return out
+
+
 def one_hot(df: DataFrame, cols: list[str], max_categories: int = 20) -> DataFrame:
     """0/1 columns for the most frequent values of each column; ties by value."""
     made = {}
     for c in cols:
         top = df.where(C.quoted(c).isNotNull()).groupBy(C.quoted(c).cast("string").alias("v")).agg(
             F.count(F.lit(1)).alias("n")).orderBy(F.col("n").desc(), "v").limit(max_categories).collect()
-        for r in top:
-            made[f"{c}_{safe_name(r['v'])}"] = F.coalesce(
-                (C.quoted(c).cast("string") == F.lit(r["v"])).cast("int"), F.lit(0))
+        values = [r["v"] for r in top]
+        for name, v in zip(value_columns(c, values, [*df.columns, *made]), values):
+            made[name] = F.coalesce((C.quoted(c).cast("string") == F.lit(v)).cast("int"), F.lit(0))
     return df.withColumns(made)
 
 

@@ -18,7 +18,7 @@ from plumbline.functions import columns as C
 from plumbline.functions.distributions import normal_ppf
 from plumbline.operators.association import covariance
 from plumbline.operators.cleaning import _set, iqr_fences, most_frequent, treat_outliers
-from plumbline.operators.features import safe_name, value_codes
+from plumbline.operators.features import value_codes, value_columns
 from plumbline.plans.frames import cut_lineage, distinct_upto, rows_frame
 from plumbline.plans.lookups import lookup_join
 from plumbline.plans.profiling import Profile, profiled
@@ -123,8 +123,27 @@ def fit_impute_iterative(df: DataFrame, cols: list[str], rounds: int = 10, ridge
     return Step("impute_iterative", gaps, filled, {c: weights[c][0] for c in gaps})
 
 
+def fit_impute_knn(df: DataFrame, cols: list[str] | None = None, k: int = 5) -> Step:
+    """Gaps of any table get the mean of the k nearest complete rows of the fitted one."""
+    from plumbline.ml.neighbors import impute_knn
+
+    cols = cols or C.numeric_columns(df)
+    complete = df.select(*[C.as_number(df, c).alias(c) for c in cols]).dropna()
+    donors = cut_lineage(complete.withColumn(ROW_ID, F.monotonically_increasing_id()))
+
+    def fill(t: DataFrame) -> DataFrame:
+        marked = cut_lineage(t.withColumn(ROW_ID, F.monotonically_increasing_id()))
+        return impute_knn(marked, cols, ROW_ID, k, donors).drop(ROW_ID)
+
+    return Step("impute_knn", cols, fill)
+
+
 # ---- outliers -----------------------------------------------------------------------------
 
+#: Helper column, named so that no table has it.
+ROW_ID = "__plumb_row"
+
+
 def fit_outliers(df: DataFrame, method: str = "clip", cols: list[str] | None = None) -> Step:
     cols = cols or C.numeric_columns(df)
     if method == "winsorize":
@@ -134,6 +153,14 @@ def fit_outliers(df: DataFrame, method: str = "clip", cols: list[str] | None = N
             return treat_outliers(t, action="clip", fences=limits)
 
         return Step("winsorize", cols, squeeze, limits)
+    if method == "isolation_forest":
+        from plumbline.ml.isolation import fit_isolation_forest
+
+        # A row is told by its values: equal rows are scored alike.
+        forest = fit_isolation_forest(df.withColumn(ROW_ID, F.xxhash64(*[C.quoted(c) for c in cols])), cols, ROW_ID)
+        return Step("outliers_isolation_forest", cols, lambda t: forest.transform(t, "remove"), {"threshold": forest.threshold})
+    if method not in ("clip", "remove"):
+        raise ValueError(f"unknown outlier method {method!r}: use clip, remove, winsorize or isolation_forest")
     fences = iqr_fences(df, cols)
     return Step(f"outliers_{method}", cols, lambda t: treat_outliers(t, action=method, fences=fences), fences)
 
@@ -194,13 +221,15 @@ def _lookup_step(name: str, c: str, table: DataFrame, unseen: float = 0.0) -> St
 
 
 def _fit_onehot(df: DataFrame, c: str, limit: int = 200) -> Step:
+    """0/1 columns for all values of a column; more than ``limit`` values are refused, as each makes a column."""
     found = df.where(C.quoted(c).isNotNull()).select(C.quoted(c).cast("string").alias("v")).distinct().orderBy("v").limit(limit + 1).collect()
     if len(found) > limit:
         raise ValueError(f"column {c!r} has more than {limit} values: use label, frequency or target encoding")
     values = [r["v"] for r in found]
 
     def apply(t: DataFrame) -> DataFrame:
-        made = {f"{c}_{safe_name(v)}": F.coalesce((C.quoted(c).cast("string") == F.lit(v)).cast("int"), F.lit(0)) for v in values}
+        names = value_columns(c, values, df.columns)
+        made = {n: F.coalesce((C.quoted(c).cast("string") == F.lit(v)).cast("int"), F.lit(0)) for n, v in zip(names, values)}
         return t.withColumns(made).drop(c)
 
     return Step("encode_onehot", [c], apply, {c: values})
@@ -339,8 +368,13 @@ def fit_preprocessor(
             current = s.transform(current)
 
     if missing:
-        add([fit_impute_iterative(current, [c for c in C.numeric_columns(current) if c != target])]
-            if missing == "iterative" else [fit_impute(current, missing, features)])
+        numbers = [c for c in C.numeric_columns(current) if c != target]
+        if missing == "iterative":
+            add([fit_impute_iterative(current, numbers)])
+        elif missing == "knn":
+            add([fit_impute_knn(current, numbers)])
+        else:
+            add([fit_impute(current, missing, features)])
     numeric = [c for c in C.numeric_columns(current) if c != target]
     if outliers and numeric:
         add([fit_outliers(current, outliers, numeric)])
@@ -361,6 +395,12 @@ def fit_preprocessor(
 
             names = [r["feature"] for r in mutual_info(current, view.columns, target).orderBy(
                 F.col("mi").desc(), "feature").limit(k).collect()]
+        elif selection == "rfe":
+            from plumbline.ml.training import rfe
+
+            marked = current.withColumn(ROW_ID, F.xxhash64(*[C.quoted(c) for c in current.columns]))
+            ranked = rfe(marked, target, min(k, len(view.columns)), view.columns, id_col=ROW_ID)
+            names = [r["feature"] for r in ranked.where("selected").orderBy("feature").collect()]
         else:
             raise ValueError(f"unknown selection {selection!r}")
         kept = names + ([target] if target else [])

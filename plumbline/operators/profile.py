@@ -427,5 +427,5 @@ def missing_matrix(df: DataFrame, order_by: str, n: int = 50, mode: str = "head"
         return df.orderBy(order_by).limit(n).select(C.quoted(order_by), *flags)
     rows = df.count() if rows is None else rows
     step = max(1, rows // n)
-    marked = cumulative(df.select(C.quoted(order_by), *flags, F.lit(1).alias("n")), [], [C.quoted(order_by)], rows=rows)
-    return marked.where(F.col("place") % step == 0).drop("n", "before", "place")
+    packed = df.select(F.struct(C.quoted(order_by), *flags).alias("whole"), C.quoted(order_by).alias("at"), F.lit(1).alias("n"))
+    return cumulative(packed, [], [F.col("at")], rows=rows).where(F.col("place") % step == 0).select("whole.*")

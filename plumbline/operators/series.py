@@ -12,13 +12,24 @@ from plumbline.functions import columns as C
 
 
 def _key(keys: list[str]):
-    return F.concat_ws("|", *[C.quoted(k).cast("string") for k in keys]) if keys else F.lit("all")
+    """One text per combination of key values: a single key as it is, several joined by ``|`` with ``|`` and
+    ``\\`` inside a value escaped; a null among several is ``\\N``."""
+    if not keys:
+        return F.lit("all")
+    texts = [C.quoted(k).cast("string") for k in keys]
+    if len(texts) == 1:
+        return texts[0]
+    safe = [F.coalesce(F.replace(F.replace(t, F.lit("\\"), F.lit("\\\\")), F.lit("|"), F.lit("\\|")), F.lit("\\N")) for t in texts]
+    return F.concat_ws("|", *safe)
 
 
 def prepare_series(df: DataFrame, ts: str, value: str, keys: list[str] | None = None, min_rows: int = 20) -> DataFrame:
     """(key, ts, value) without nulls, only series of at least ``min_rows`` observations."""
     rows = df.select(_key(keys or []).alias("key"), C.quoted(ts).cast("timestamp_ntz").alias("ts"),
                      C.as_number(df, value).alias("value")).dropna()
+    if not keys:
+        long = rows.limit(min_rows).count() >= min_rows
+        return rows if long else rows.where(F.lit(False))
     long_enough = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_rows).select("key")
     return rows.join(long_enough, "key", "left_semi")
 
