@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from plumbline.functions import columns as C
 from plumbline.operators.profile import Table
-from plumbline.plans.frames import chunks, rows_frame
+from plumbline.plans.frames import rows_frame
+from plumbline.plans.products import pair_sums
 from plumbline.plans.profiling import Profile, profiled
 from plumbline.plans.ranks import average_rank, cumulative
 
@@ -220,7 +221,7 @@ def correlation_ratio(df: DataFrame, numeric: list[str] | None = None, categoric
 # ---- linear algebra -----------------------------------------------------------------------
 
 def gram(df: DataFrame, cols: list[str], fill: float | None = None, centre: dict[str, float] | None = None):
-    """(rows, sums, cross products) of the columns as numpy: one aggregate, d x d numbers.
+    """(rows, sums, cross products) of the columns as numpy: one scan, d x d numbers.
 
     Rows with a null are left out unless ``fill`` is given.
     """
@@ -228,15 +229,10 @@ def gram(df: DataFrame, cols: list[str], fill: float | None = None, centre: dict
     if centre:
         xs = [x - F.lit(float(centre[c])) for x, c in zip(xs, cols)]
     base = df.select(*[x.alias(f"x{i}") for i, x in enumerate(xs)]).dropna()
-    spots = [(i, j) for i in range(len(cols)) for j in range(i, len(cols))]
-    total = base.agg(F.count(F.lit(1)), *[F.sum(f"x{i}") for i in range(len(cols))]).first()
-    n, sums = total[0], np.array([v or 0.0 for v in total[1:]], dtype=float)
-    cross = np.zeros((len(cols), len(cols)))
-    for part in chunks(spots, 400):
-        row = base.agg(*[F.sum(F.col(f"x{i}") * F.col(f"x{j}")).alias(f"p{i}_{j}") for i, j in part]).first()
-        for (i, j), v in zip(part, row):
-            cross[i, j] = cross[j, i] = v or 0.0
-    return n, sums, cross
+    if not cols:
+        return base.count(), np.zeros(0), np.zeros((0, 0))
+    s = pair_sums(base, [F.col(f"x{i}") for i in range(len(cols))], complete=True)
+    return int(s.n[0, 0]), np.diag(s.x).copy(), s.xy
 
 
 def covariance(df: DataFrame, cols: list[str], fill: float | None = None):

@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 
 from plumbline.functions import columns as C
 from plumbline.plans.frames import chunks
+from plumbline.plans.products import pair_sums
 from plumbline.plans.quantiles import exact_quantiles
 
 
@@ -145,33 +146,21 @@ class Profile:
     def correlations(self) -> dict[tuple[str, str], float | None]:
         """Pairwise-complete Pearson r of every pair of numeric columns.
 
-        Columns are centred on their known means first. Among columns without gaps a pair
-        then costs one sum of products; a pair with gaps sums its own complete rows.
+        Columns are centred on their known means first, then one scan sums the products of all pairs, each
+        over its own complete rows.
         """
         found: dict[tuple[str, str], float | None] = {p: None for p in combinations(self.numeric, 2)}
         varied = [c for c in self.filled if self.moments[c]["min"] != self.moments[c]["max"]]
-        centred = {c: self.number(c) - F.lit(self.moments[c]["mean"]) for c in varied}
-        whole = [c for c in varied if not self.missing[c]]
-        for part in chunks(list(combinations(whole, 2)), 80):
-            row = self.df.agg(*[F.sum(centred[a] * centred[b]).alias(f"s{i}") for i, (a, b) in enumerate(part)]).first()
-            for (a, b), s in zip(part, row):
-                r = s / self.rows / (self.moments[a]["std_pop"] * self.moments[b]["std_pop"])
-                found[(a, b)] = max(-1.0, min(1.0, r))
-        gaps = [p for p in combinations(varied, 2) if self.missing[p[0]] or self.missing[p[1]]]
-        for part in chunks(gaps, 15):
-            aggs = []
-            for i, (a, b) in enumerate(part):
-                both = centred[a].isNotNull() & centred[b].isNotNull()
-                x, y = F.when(both, centred[a]), F.when(both, centred[b])
-                aggs += [F.count(x).alias(f"n{i}"), F.sum(x).alias(f"x{i}"), F.sum(y).alias(f"y{i}"), F.sum(x * x).alias(f"xx{i}"),
-                         F.sum(y * y).alias(f"yy{i}"), F.sum(x * y).alias(f"xy{i}"), F.min(x).alias(f"a{i}"), F.max(x).alias(f"b{i}"),
-                         F.min(y).alias(f"c{i}"), F.max(y).alias(f"d{i}")]
-            row = self.df.agg(*aggs).first()
-            for i, pair in enumerate(part):
-                n, x, y, xx, yy, xy, a, b, c, d = row[10 * i : 10 * i + 10]
-                if n > 1 and a != b and c != d:
-                    r = (xy - x * y / n) / ((xx - x * x / n) * (yy - y * y / n)) ** 0.5
-                    found[pair] = max(-1.0, min(1.0, r))
+        if len(varied) < 2:
+            return found
+        centred = [self.number(c) - F.lit(self.moments[c]["mean"]) for c in varied]
+        s = pair_sums(self.df, centred, complete=not any(self.missing[c] for c in varied))
+        for (i, a), (j, b) in combinations(enumerate(varied), 2):
+            n = s.n[i, j]
+            if n > 1 and s.least[i, j] != s.most[i, j] and s.least[j, i] != s.most[j, i]:
+                spread = (s.xx[i, j] - s.x[i, j] ** 2 / n) * (s.xx[j, i] - s.x[j, i] ** 2 / n)
+                r = (s.xy[i, j] - s.x[i, j] * s.x[j, i] / n) / spread**0.5 if spread > 0 else 0.0
+                found[(a, b)] = float(max(-1.0, min(1.0, r)))
         return found
 
     def value_counts(self, names: list[str] | None = None) -> DataFrame:

@@ -2,16 +2,19 @@
 
 Spark's ``percentile`` keeps a value -> count map of a whole group in one task, so it
 is used only for a known small number of values. Beyond that a sample guesses a bracket
-around every wanted rank, one scan counts the rows below and inside the bracket, and once a
-bracket holds few enough rows only those are sorted. A bracket that misses its rank, or
+around every wanted rank, one scan counts the rows below and inside all brackets of all columns, and once
+brackets hold few enough rows one more scan fetches and sorts only those. A bracket that misses its rank, or
 does not shrink, is halved instead. The sample decides where to look, never the answer.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -73,9 +76,8 @@ class Bracket:
 
 def _by_brackets(df: DataFrame, exprs: dict[str, Column], probs: list[float], rows: int, bracket_rows: int, sample_rows: int) -> dict:
     sizes: dict[str, tuple] = {}
-    for part in chunks(list(exprs), 20):
-        row = df.agg(*[F.struct(F.count(exprs[c]), F.min(exprs[c]), F.max(exprs[c])).alias(f"s{i}") for i, c in enumerate(part)]).first()
-        sizes.update({c: tuple(row[i]) for i, c in enumerate(part)})
+    for b in _tally(df, exprs, [Bracket(c, 0, 0, -math.inf, math.inf, 0, rows) for c in exprs], [(-math.inf, math.inf)] * len(exprs), whole=True):
+        sizes[b.name] = (b.inside, b.lo, b.hi)
     wanted: dict[tuple[str, int], float] = {}
     todo = []
     for c, (n, least, most) in sizes.items():
@@ -87,16 +89,13 @@ def _by_brackets(df: DataFrame, exprs: dict[str, Column], probs: list[float], ro
                 todo.append(Bracket(c, first, last, least, most, 0, n))
     guesses = True
     while todo:
-        # Eight brackets at a time keep each scan within one generated loop.
         small = [b for b in todo if b.inside <= bracket_rows]
-        for part in chunks(small, 8):
-            wanted.update(_sorted_ranks(df, exprs, part))
+        if small:
+            wanted.update(_sorted_ranks(df, exprs, small))
         todo = [b for b in todo if b.inside > bracket_rows]
         spans = _guess(df, exprs, todo, bracket_rows, sample_rows) if guesses else {}
-        closer: list[Bracket] = []
-        for part in chunks(list(range(len(todo))), 8):
-            cut = [spans.get(i) or (todo[i].lo, todo[i].lo + (todo[i].hi - todo[i].lo) / 2) for i in part]
-            closer += _tally(df, exprs, [todo[i] for i in part], cut)
+        cut = [spans.get(i) or (b.lo, b.lo + (b.hi - b.lo) / 2) for i, b in enumerate(todo)]
+        closer = _tally(df, exprs, todo, cut) if todo else []
         before = sum(b.inside for b in todo)
         todo = []
         for b in closer:
@@ -124,7 +123,7 @@ def _guess(df: DataFrame, exprs: dict[str, Column], todo: list[Bracket], bracket
     shared: dict[tuple, list[int]] = {}
     for i, b in enumerate(todo):
         shared.setdefault((b.name, b.lo, b.hi, b.inside), []).append(i)
-    for part in chunks(list(shared), 12):
+    for part in chunks(list(shared), 100):
         least = min(k[3] for k in part)
         most = max(k[3] for k in part)
         # No larger a sample than the next bracket needs.
@@ -154,17 +153,56 @@ def _guess(df: DataFrame, exprs: dict[str, Column], todo: list[Bracket], bracket
     return spans
 
 
-def _tally(df: DataFrame, exprs: dict[str, Column], part: list[Bracket], spans: list[tuple]) -> list[Bracket]:
-    """The piece of each bracket that holds its ranks: the span, or what lies on one side of it."""
-    aggs = []
-    for i, (b, (lo, hi)) in enumerate(zip(part, spans)):
-        x = exprs[b.name]
-        inside = F.when(x.between(lo, hi), x)
-        aggs += [F.count_if((x >= b.lo) & (x < lo)), F.count(inside), F.min(inside), F.max(inside)]
-    row = df.agg(*[a.alias(f"t{i}") for i, a in enumerate(aggs)]).first()
+def _columns(df: DataFrame, exprs: dict[str, Column], part: list[Bracket]) -> tuple[DataFrame, list[list[int]]]:
+    """The values of the brackets' columns, and the numbers of the brackets of each."""
+    names = list(dict.fromkeys(b.name for b in part))
+    of = [[i for i, b in enumerate(part) if b.name == name] for name in names]
+    return df.select(*[exprs[name].cast("double").alias(f"c{i}") for i, name in enumerate(names)]), of
+
+
+def _present(column: pa.Array) -> np.ndarray:
+    """Values without nulls and NaN in order."""
+    x = column.drop_null().to_numpy(zero_copy_only=False)
+    return np.sort(x[~np.isnan(x)])
+
+
+def _tally(df: DataFrame, exprs: dict[str, Column], part: list[Bracket], spans: list[tuple], whole: bool = False) -> list[Bracket]:
+    """The piece of each bracket that holds its ranks: the span, or what lies on one side of it.
+
+    One scan counts for all brackets of all columns. With ``whole`` every bracket comes back as found.
+    """
+    plain, of = _columns(df, exprs, part)
+    edges = [np.array([(part[i].lo, *spans[i]) for i in own]) for own in of]
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        before, inside = np.zeros(len(part), np.int64), np.zeros(len(part), np.int64)
+        least, most = np.full(len(part), np.inf), np.full(len(part), -np.inf)
+        for batch in batches:
+            for column, own, edge in zip(batch.columns, of, edges):
+                x = _present(column)
+                if not len(x):
+                    continue
+                start, lo = np.searchsorted(x, edge[:, 0], "left"), np.searchsorted(x, edge[:, 1], "left")
+                hi = np.searchsorted(x, edge[:, 2], "right")
+                before[own] += np.maximum(lo - start, 0)
+                inside[own] += np.maximum(hi - lo, 0)
+                some = hi > lo
+                at = np.array(own)[some]
+                least[at], most[at] = np.minimum(least[at], x[lo[some]]), np.maximum(most[at], x[hi[some] - 1])
+        yield pa.RecordBatch.from_arrays([pa.array(range(len(part)), pa.int32()), *map(pa.array, (before, inside, least, most))], names=["id", "before", "inside", "least", "most"])
+
+    counted = plain.mapInArrow(work, "id int, before bigint, inside bigint, least double, most double").groupBy("id").agg(
+        F.sum("before").alias("before"), F.sum("inside").alias("inside"), F.min("least").alias("least"), F.max("most").alias("most"))
+    got = {r["id"]: r for r in counted.collect()}
     out = []
     for i, (b, (lo, hi)) in enumerate(zip(part, spans)):
-        before, n, least, most = row[4 * i : 4 * i + 4]
+        if i not in got:
+            out += [Bracket(b.name, 0, 0, b.lo, b.hi, 0, 0)] if whole else []
+            continue
+        _, before, n, least, most = got[i]
+        if whole:
+            out.append(Bracket(b.name, 0, 0, least, most, 0, n))
+            continue
         start = b.below + before
         pieces = [
             (b.lo, math.nextafter(lo, -math.inf), b.below, before), (least, most, start, n),
@@ -180,15 +218,25 @@ def _tally(df: DataFrame, exprs: dict[str, Column], part: list[Bracket], spans:
 
 
 def _sorted_ranks(df: DataFrame, exprs: dict[str, Column], part: list[Bracket]) -> dict[tuple[str, int], float]:
-    """Values at the ranks of small brackets: only rows inside some bracket are shuffled."""
-    hits = [F.when(exprs[b.name].between(b.lo, b.hi), F.struct(F.lit(i).alias("id"), exprs[b.name].alias("x"))) for i, b in enumerate(part)]
-    any_hit = F.lit(False)
-    for h in hits:
-        any_hit = any_hit | h.isNotNull()
-    counts = (
-        df.where(any_hit).select(F.explode(F.array(*hits)).alias("m")).where("m is not null")
-        .select("m.id", "m.x").groupBy("id", "x").agg(F.count(F.lit(1)).alias("n"))
-    )
+    """Values at the ranks of small brackets: one scan, and only rows inside some bracket are shuffled."""
+    plain, of = _columns(df, exprs, part)
+    edges = [[(i, part[i].lo, part[i].hi) for i in own] for own in of]
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, values, numbers = [], [], []
+            for column, own in zip(batch.columns, edges):
+                x, n = np.unique(_present(column), return_counts=True)
+                for i, lo, hi in own:
+                    a, b = np.searchsorted(x, lo, "left"), np.searchsorted(x, hi, "right")
+                    if b > a:
+                        ids.append(np.full(b - a, i, np.int32))
+                        values.append(x[a:b])
+                        numbers.append(n[a:b])
+            if ids:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(v)) for v in (ids, values, numbers)], names=["id", "x", "n"])
+
+    counts = plain.mapInArrow(work, "id int, x double, n bigint").groupBy("id", "x").agg(F.sum("n").alias("n"))
     ranks = rows_frame(df.sparkSession, [{"id": i, "first": b.first - b.below, "last": b.last - b.below} for i, b in enumerate(part)],
                        "id int, first long, last long")
     up = counts.withColumn("up", F.sum("n").over(W.partitionBy("id").orderBy("x"))).join(F.broadcast(ranks), "id")
