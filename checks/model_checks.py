@@ -168,7 +168,7 @@ def _(t):
 @check("tune_parts")
 def _(t):
     with training.Prepared(_prices(t), "price", None, "auto", 0.2, 42, "p_partkey") as ready:
-        return training.tune(ready, "ridge", k=2)[1]
+        return training.tune(ready, "ridge", k=3)[1]
 
 
 @check("feature_importance_parts")
@@ -179,7 +179,7 @@ def _(t):
 
 @check("forest_importance_lineitem")
 def _(t):
-    return training.forest_importance(t.lineitem.withColumn("id", F.col("l_orderkey") * 10 + F.col("l_linenumber")), "l_extendedprice", ["l_quantity", "l_discount", "l_tax", "l_partkey"], trees=20)
+    return training.forest_importance(t.lineitem.withColumn("id", F.col("l_orderkey") * 10 + F.col("l_linenumber")), "l_extendedprice", ["l_quantity", "l_discount", "l_tax", "l_partkey"])
 
 
 @check("explain_linear_parts")
@@ -196,7 +196,7 @@ def _(t):
 
 @check("rfe_parts")
 def _(t):
-    return training.rfe(_prices(t).drop("p_type"), "price", 1, ["p_size", "p_cost"], trees=10, id_col="p_partkey")
+    return training.rfe(_prices(t).drop("p_type"), "price", 1, ["p_size", "p_cost"], id_col="p_partkey")
 
 
 @check("save_and_load_model_parts")
@@ -223,7 +223,7 @@ def _(t):
 
 @check("cluster_kmeans_events")
 def _(t):
-    rows, _quality = clustering.cluster(t.events, ["value", "user_id"], "kmeans", 3, id_col="event_id", restarts=3)
+    rows, _quality = clustering.cluster(t.events, ["value", "user_id"], "kmeans", 3, id_col="event_id", restarts=10)
     return rows.select("event_id", "cluster")
 
 

@@ -60,7 +60,7 @@ def _tree(kind_class, kind_number, seeded=True, **fixed):
 
 
 def _boosted(df: DataFrame, ctx: Context):
-    p = _merge({"maxIter": 20, "maxDepth": 3, "stepSize": 0.1, "seed": ctx.seed}, ctx)
+    p = _merge({"maxIter": 100, "maxDepth": 3, "stepSize": 0.1, "seed": ctx.seed}, ctx)
     if ctx.classes is None:
         return GBTRegressor(**p).fit(df)
     return GBTClassifier(**p).fit(df) if len(ctx.classes) == 2 else OneVsRest(classifier=GBTClassifier(**p)).fit(df)
@@ -83,7 +83,7 @@ def _bernoulli(df: DataFrame, ctx: Context):
 
 
 def _mlp(df: DataFrame, ctx: Context):
-    p = _merge({"maxIter": 100, "seed": ctx.seed, "layers": [ctx.width, 100, 50, len(ctx.classes)]}, ctx)
+    p = _merge({"maxIter": 500, "seed": ctx.seed, "layers": [ctx.width, 100, 50, len(ctx.classes)]}, ctx)
     return MultilayerPerceptronClassifier(**p).fit(df)
 
 
@@ -116,9 +116,9 @@ CATALOG: dict[str, Entry] = {
     "linear svc": Entry("svm", CLASSES, _svc, {"regParam": [0.001, 0.01, 0.1]}),
     "decision tree": Entry("tree", BOTH, _tree(DecisionTreeClassifier, DecisionTreeRegressor, maxDepth=8),
                            {"maxDepth": [5, 10, 20], "minInstancesPerNode": [1, 2, 4]}),
-    "random forest": Entry("ensemble", BOTH, _tree(RandomForestClassifier, RandomForestRegressor, numTrees=50, maxDepth=8),
-                           {"numTrees": [20, 50, 100], "maxDepth": [5, 8, 12]}),
-    "bagging": Entry("ensemble", BOTH, _tree(RandomForestClassifier, RandomForestRegressor, numTrees=50, maxDepth=8, featureSubsetStrategy="all")),
+    "random forest": Entry("ensemble", BOTH, _tree(RandomForestClassifier, RandomForestRegressor, numTrees=100, maxDepth=10),
+                           {"numTrees": [100, 200, 300], "maxDepth": [5, 8, 12]}),
+    "bagging": Entry("ensemble", BOTH, _tree(RandomForestClassifier, RandomForestRegressor, numTrees=100, maxDepth=10, featureSubsetStrategy="all")),
     "gradient boosting": Entry("boosting", BOTH, _boosted, {"stepSize": [0.01, 0.05, 0.1], "maxDepth": [3, 5]}),
     "histogram gradient boosting": Entry("boosting", BOTH, _boosted),
     "adaboost": Entry("boosting", BOTH, _adaboost),

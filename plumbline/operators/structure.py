@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from plumbline.functions import columns as C
 from plumbline.operators.profile import Table
 from plumbline.operators.quality import _text_parses
-from plumbline.plans.frames import rows_frame
+from plumbline.plans.frames import cut_lineage, rows_frame
 from plumbline.plans.profiling import Profile, profiled
 
 # Name parts that mark identifiers and codes.
@@ -61,8 +61,8 @@ def primary_keys(data: Table) -> DataFrame:
 def _pair_widths(p: Profile, max_distinct: int) -> dict[tuple[str, str], tuple[bool, bool]]:
     """For each pair of low-cardinality columns: does a determine b, does b determine a.
 
-    One scan emits every (pair, a, b) value combination; partial aggregation folds
-    them to at most max_distinct squared rows per pair before the shuffle.
+    One scan folds the rows to the combinations of all low-cardinality columns that occur; only these
+    are cut into (pair, a, b), at most max_distinct squared rows per pair.
     A null partner counts as no value, a null determinant as no group.
     """
     if hasattr(p, "_widths"):
@@ -70,13 +70,16 @@ def _pair_widths(p: Profile, max_distinct: int) -> dict[tuple[str, str], tuple[b
     names = [c for c, d in p.distinct.items() if d < max_distinct]
     pairs = list(combinations(names, 2))
     p._widths = {}
+    spread = len(names) > 2
+    base = p.df.select(*[C.quoted(c).cast("string").alias(c) for c in names])
+    base = cut_lineage(base.distinct()) if spread else base
     for at in range(0, len(pairs), 100):
         part = pairs[at : at + 100]
         cells = [F.struct(
-            F.lit(at + i).alias("pair"), C.quoted(a).cast("string").alias("a"), C.quoted(b).cast("string").alias("b")
+            F.lit(at + i).alias("pair"), C.quoted(a).alias("a"), C.quoted(b).alias("b")
         ) for i, (a, b) in enumerate(part)]
         combos = (
-            p.df.select(F.explode(F.array(*cells)).alias("m")).select("m.*").groupBy("pair", "a", "b").count()
+            base.select(F.explode(F.array(*cells)).alias("m")).select("m.*").groupBy("pair", "a", "b").count()
         )
         forward = combos.where("a is not null").groupBy("pair", "a").agg(F.count("b").alias("k")).groupBy("pair").agg(
             F.min((F.col("k") == 1).cast("int")).alias("ok"), F.lit("f").alias("way"))
@@ -137,16 +140,20 @@ def suggest_merge_keys(a: Table, b: Table) -> DataFrame:
             elif _names_alike(x, y):
                 rows.append({"left_key": x, "right_key": y, "match_type": "similar_name", "confidence": 0.7})
 
+    kinds = [{f.dataType.simpleString() for f in q.df.schema if not isinstance(f.dataType, C.NESTED)} for q in (left, right)]
+    both = kinds[0] & kinds[1]
+
     def melted(p: Profile, side: str) -> DataFrame:
-        cells = [F.struct(F.lit(f.dataType.simpleString()).alias("kind"), F.lit(f.name).alias(side),
-                          C.quoted(f.name).cast("string").alias("v"))
-                 for f in p.df.schema if not isinstance(f.dataType, C.NESTED)]
-        return p.df.select(F.explode(F.array(*cells)).alias("m")).select("m.*").where("v is not null").distinct()
-
-    shared = (
-        melted(left, "l").join(melted(right, "r"), ["kind", "v"]).groupBy("l", "r").agg(F.count(F.lit(1)).alias("n"))
-    )
-    for s in shared.collect():
+        """(kind, 128-bit hash of the value, column) of the columns whose type both tables have."""
+        cells = [F.when(C.quoted(f.name).isNotNull(), F.struct(
+            F.lit(f.dataType.simpleString()).alias("kind"), F.lit(f.name).alias(side), F.xxhash64(C.quoted(f.name).cast("string")).alias("v"),
+            F.xxhash64(F.lit(1), C.quoted(f.name).cast("string")).alias("w")))
+            for f in p.df.schema if f.dataType.simpleString() in both]
+        return p.df.select(F.explode(F.array(*cells)).alias("m")).where("m is not null").select("m.*").distinct()
+
+    shared = [] if not both else melted(left, "l").join(melted(right, "r"), ["kind", "v", "w"]).groupBy("l", "r").agg(
+        F.count(F.lit(1)).alias("n")).collect()
+    for s in shared:
         if s["n"] / min(left.distinct[s["l"]], right.distinct[s["r"]]) > 0.5:
             rows.append({"left_key": s["l"], "right_key": s["r"], "match_type": "similar_distribution", "confidence": 0.6})
     return rows_frame(left.spark, rows, "left_key string, right_key string, match_type string, confidence double")

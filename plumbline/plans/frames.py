@@ -4,20 +4,21 @@ from __future__ import annotations
 
 import tempfile
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.types import StructType, _parse_datatype_string
+from pyspark.sql.types import DoubleType, IntegerType, LongType, StructType
 
 
 def rows_frame(spark: SparkSession, rows: list[dict], schema: str | StructType) -> DataFrame:
     """A tidy result of a few rows per column, pair or test of the profiled table."""
-    struct = _parse_datatype_string(schema) if isinstance(schema, str) else schema
-    table = pa.Table.from_pylist(
-        [{n: r.get(n) for n in struct.names} for r in rows], schema=to_arrow_schema(struct)
-    )
-    return spark.createDataFrame(table, struct)
+    struct = StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    casts = {DoubleType: float, LongType: int, IntegerType: int}
+
+    def plain(value, kind):
+        cast = casts.get(type(kind))
+        return value if value is None or cast is None else cast(value)
+
+    return spark.createDataFrame([tuple(plain(r.get(f.name), f.dataType) for f in struct) for r in rows], struct)
 
 
 def chunks(items: list, size: int = 50) -> list[list]:

@@ -93,16 +93,19 @@ class Profile:
 
     @cached_property
     def distinct(self) -> dict[str, int]:
-        """Exact distinct counts, null and NaN left out; nested columns have none."""
+        """Distinct counts, null and NaN left out; maps have none.
+
+        One scan turns each cell into its column's number and a 128-bit hash of the value; tasks fold them
+        before one shuffle of narrow rows, so long texts are never moved.
+        """
         names = [f.name for f in self.df.schema if not isinstance(f.dataType, T.MapType)]
-        found: dict[str, int] = {}
-        for part in chunks(names, 20):
-            row = self.df.agg(*[
-                F.count_distinct(F.when(~C.is_null(self.df, c), C.quoted(c))).alias(f"d{i}")
-                for i, c in enumerate(part)
-            ]).first()
-            found.update({c: row[i] for i, c in enumerate(part)})
-        return found
+        if not names:
+            return {}
+        cells = [F.when(~C.is_null(self.df, c), F.struct(
+            F.lit(i).alias("i"), F.xxhash64(C.quoted(c)).alias("a"), F.xxhash64(F.lit(1), C.quoted(c)).alias("b"))) for i, c in enumerate(names)]
+        folded = self.df.select(F.explode(F.array(*cells)).alias("m")).where("m is not null").select("m.*").distinct()
+        found = {r["i"]: r["count"] for r in folded.groupBy("i").count().collect()}
+        return {c: found.get(i, 0) for i, c in enumerate(names)}
 
     @cached_property
     def quartiles(self) -> dict[str, tuple[float, float, float]]:
