@@ -125,7 +125,10 @@ def _(t):
     return preprocessing.fit_impute_iterative(view, ["q", "p", "l_discount", "l_tax"]).transform(view)
 
 
-@check("impute_knn_customer")
+@check("impute_knn_customer", """WITH v AS (SELECT c_custkey, CASE WHEN c_custkey % 9 <> 0 THEN c_acctbal END AS b, c_nationkey::DOUBLE AS k FROM customer),
+r AS (SELECT q.c_custkey, d.b, row_number() OVER (PARTITION BY q.c_custkey ORDER BY abs(q.k - d.k), d.c_custkey::VARCHAR) AS place FROM v q JOIN v d ON q.b IS NULL AND d.b IS NOT NULL),
+m AS (SELECT c_custkey, avg(b) AS m FROM r WHERE place <= 5 GROUP BY 1)
+SELECT c_custkey, coalesce(b, m) AS c_acctbal, k AS c_nationkey FROM v LEFT JOIN m USING (c_custkey)""", "c_acctbal c_nationkey")
 def _(t):
     view = t.customer.select("c_custkey", F.when(F.col("c_custkey") % 9 != 0, F.col("c_acctbal")).alias("c_acctbal"), F.col("c_nationkey").cast("double").alias("c_nationkey"))
     return neighbors.impute_knn(view, ["c_acctbal", "c_nationkey"], "c_custkey")

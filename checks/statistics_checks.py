@@ -170,7 +170,13 @@ def _(t):
     return hypothesis.probability(t.events, "value", 60.0).select("column", "n", "mean", "std", "z_score", "empirical_p_below")
 
 
-@check("mean_ci_by_type")
+@check("mean_ci_by_type", """WITH g AS (SELECT event_type AS "group", count(value) AS n, avg(value) AS mean, stddev_samp(value) AS std FROM events GROUP BY 1 HAVING n >= 2),
+t AS (SELECT *, (n - 1)::DOUBLE AS v, 1.959963984540054::DOUBLE AS z FROM g),
+q AS (SELECT *, z + (pow(z, 3) + z) / (4 * v) + (5 * pow(z, 5) + 16 * pow(z, 3) + 3 * z) / (96 * v * v)
+  + (3 * pow(z, 7) + 19 * pow(z, 5) + 17 * pow(z, 3) - 15 * z) / (384 * pow(v, 3))
+  + (79 * pow(z, 9) + 776 * pow(z, 7) + 1482 * pow(z, 5) - 1920 * pow(z, 3) - 945 * z) / (92160 * pow(v, 4)) AS t FROM t)
+SELECT "group", n, mean, std, 0.95::DOUBLE AS level, t * std / sqrt(n) AS margin, mean - t * std / sqrt(n) AS low, mean + t * std / sqrt(n) AS high FROM q""",
+       "mean std level margin low high")
 def _(t):
     return hypothesis.mean_ci(t.events, "value", 0.95, "event_type")
 
@@ -226,7 +232,16 @@ def _(t):
     return hypothesis.normality_heuristic(t.lineitem)
 
 
-@check("dagostino_lineitem")
+@check("dagostino_lineitem", f"""WITH long AS ({long_sql('lineitem', LINE)}), s AS (SELECT "column", count(x)::DOUBLE AS n, avg(x) AS m FROM long GROUP BY 1),
+c AS (SELECT "column", any_value(n) AS n, avg(pow(x - m, 2)) AS m2, avg(pow(x - m, 3)) AS m3, avg(pow(x - m, 4)) AS m4 FROM long JOIN s USING ("column") GROUP BY 1),
+g AS (SELECT *, m3 / pow(m2, 1.5) AS g1, m4 / (m2 * m2) - 3 AS g2 FROM c),
+a AS (SELECT *, g1 * sqrt((n + 1) * (n + 3) / (6 * (n - 2))) AS y, 3 * (n * n + 27 * n - 70) * (n + 1) * (n + 3) / ((n - 2) * (n + 5) * (n + 7) * (n + 9)) AS beta2,
+  (g2 + 3 - 3 * (n - 1) / (n + 1)) / sqrt(24 * n * (n - 2) * (n - 3) / (pow(n + 1, 2) * (n + 3) * (n + 5))) AS x,
+  6 * (n * n - 5 * n + 2) / ((n + 7) * (n + 9)) * sqrt(6 * (n + 3) * (n + 5) / (n * (n - 2) * (n - 3))) AS root FROM g),
+b AS (SELECT *, sqrt(2 * (beta2 - 1)) - 1 AS w2, 6 + 8 / root * (2 / root + sqrt(1 + 4 / (root * root))) AS d FROM a),
+z AS (SELECT *, asinh(y / sqrt(2 / (w2 - 1))) / sqrt(0.5 * ln(w2)) AS zs, (1 - 2 / d) / (1 + x * sqrt(2 / (d - 4))) AS r FROM b),
+k AS (SELECT "column", n::BIGINT AS n, zs * zs + pow((1 - 2 / (9 * d) - sign(r) * pow(abs(r), 1.0 / 3)) / sqrt(2 / (9 * d)), 2) AS statistic FROM z)
+SELECT *, exp(-statistic / 2) AS p_value, exp(-statistic / 2) > 0.05 AS is_normal FROM k""", "statistic p_value")
 def _(t):
     return hypothesis.dagostino(t.lineitem)
 
