@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from plumbline.llm.common import cut_lineage
 from plumbline.llm.word_tokens import word_ids
 
-TEXTS_AT_ONCE = 256
+TEXTS_AT_ONCE = 128
 
 
 @dataclass(frozen=True)
@@ -122,8 +122,8 @@ def cut_documents(docs: DataFrame, path: str, size: int, end: int, id_col: str,
             for i in range(0, batch.num_rows, TEXTS_AT_ONCE):
                 part = batch.slice(i, TEXTS_AT_ONCE)
                 out: list[list] = [[] for _ in range(7)]
-                for ident, ids in zip(part.column(0).to_pylist(), encode(part.column(1).to_pylist())):
-                    ids += tail
+                for ident, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
+                    ids = encode(text) + tail
                     for piece, at in enumerate(range(0, len(ids), 4 * size)):
                         body = ids[at:at + 4 * size]
                         length = len(body) // 4

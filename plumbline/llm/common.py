@@ -4,15 +4,14 @@ from __future__ import annotations
 
 import sys
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.plans.frames import cut_lineage, shared_folder
 
-__all__ = ["arrow_batches", "cut_lineage", "keep_rows", "power_of_two", "row_key", "salted_lookup", "shared_table", "shuffle_partitions", "split_crowded", "table", "worker_cache"]
+__all__ = ["Recent", "cut_lineage", "keep_rows", "power_of_two", "row_key", "salted_lookup", "shared_table", "shuffle_partitions", "split_crowded", "table", "worker_cache"]
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -93,8 +92,37 @@ def worker_cache(name: str) -> dict:
     return vars(sys).setdefault("_plumbline_caches", {}).setdefault(name, {})
 
 
-def arrow_batches(batches: Iterable[pa.RecordBatch], schema: pa.Schema, work) -> Iterator[pa.RecordBatch]:
-    """``work(columns as lists)`` for each batch; it returns the columns of ``schema`` as lists."""
-    for batch in batches:
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(v, f.type) for v, f in zip(work(*[c.to_pylist() for c in batch.columns]), schema)], schema=schema)
+class Recent(dict):
+    """Values by key, worked out by ``make`` when first asked for; about twice ``limit`` are kept, those used last.
+
+    ``map(recent.__getitem__, keys)`` stays in C for the keys that are there. Where many are better worked out
+    together, ``fill`` puts them there beforehand.
+    """
+
+    def __init__(self, limit: int, make: Callable | None = None):
+        super().__init__()
+        self.limit, self.make, self.old = limit, make, {}
+
+    def __missing__(self, key):
+        if len(self) >= self.limit:
+            self._age()
+        value = self.old.get(key)
+        if value is None:
+            value = self.make(key)
+        self[key] = value
+        return value
+
+    def _age(self) -> None:
+        self.old = dict(self)
+        self.clear()
+
+    def fill(self, keys: set, make: Callable[[list], Iterable]) -> None:
+        """All of ``keys`` are there afterwards; ``make`` gives the values of those not kept."""
+        if len(self) >= self.limit:
+            self._age()
+        missing = [k for k in keys if k not in self]
+        old = self.old
+        self.update([(k, old[k]) for k in missing if k in old])
+        missing = [k for k in missing if k not in self]
+        if missing:
+            self.update(zip(missing, make(missing)))

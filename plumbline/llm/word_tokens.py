@@ -3,41 +3,74 @@
 from __future__ import annotations
 
 import os
+import re
+import unicodedata
 from collections.abc import Callable
 
 import numpy as np
 
-from plumbline.llm.common import worker_cache
+from plumbline.llm.common import Recent, worker_cache
 
-#: Words whose ids a worker keeps, about 200 bytes each.
-KEPT_WORDS = 800_000
+#: Words whose ids a worker keeps in each of two generations, about 200 bytes each.
+KEPT_WORDS = 600_000
+ENDINGS = b'.,;:!?"'
+#: Words of letters below U+0180 that normalization leaves alone and lower-casing maps one to one.
+letters = re.compile("[a-zA-ZÀ-ÖØ-öø-įı-ňŊ-ſ]+").fullmatch
 
 
-def word_ids(path: str) -> Callable[[list[str | None]], list[bytes]]:
-    """Ids, as little-endian unsigned 32-bit integers, of each text under a tokenizer file.
+def byte_signs() -> dict[int, str]:
+    """The signs that stand for bytes in byte-level vocabularies: printable Latin-1 for itself, the others from U+0100 on."""
+    printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in printable]
+    return {b: chr(b) for b in printable} | {b: chr(256 + i) for i, b in enumerate(others)}
 
-    The file's tokenizer must drop white space, so that ASCII white space parts a text into pieces that are
-    encoded independently. Strings of special tokens in a text are ordinary text.
+
+SIGNS = byte_signs()
+
+
+def parted(word: bytes) -> tuple[bytes, bytes]:
+    """A word's stem and the marks at its end, apart only where the tokenizer parts them as well."""
+    stem = word.rstrip(ENDINGS)
+    if stem.isascii():
+        return (stem.lower(), word[len(stem):]) if stem[-1:].isalnum() else (word, b"")
+    last = unicodedata.normalize("NFC", stem.decode()[-1]).lower()  # some letters come apart into a letter and a mark
+    return (stem, word[len(stem):]) if last.isalpha() else (word, b"")
+
+
+def word_ids(path: str) -> Callable[[str | None], bytes]:
+    """Ids, as little-endian unsigned 32-bit integers, of a text under a tokenizer file.
+
+    The file's tokenizer must drop white space, split letters from punctuation and lower-case, so that a text falls into pieces that are
+    encoded independently: at ASCII white space, and between a letter or digit and the marks that end a word. Words of Latin letters go
+    to the tokenizer's model as they are, others through the whole tokenizer. Strings of special tokens in a text are ordinary text.
     """
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
     state = worker_cache(f"words:{path}")
-    if "tokenizer" not in state:
-        state["tokenizer"] = Tokenizer.from_file(path)
-        state["tokenizer"].encode_special_tokens = True
-        state["ids"] = {}
-    tokenizer, known = state["tokenizer"], state["ids"]
-
-    def encode(texts: list[str | None]) -> list[bytes]:
-        if len(known) > KEPT_WORDS:
-            known.clear()
-        parted = [(t or "").encode().split() for t in texts]
-        new = list({w for words in parted for w in words if w not in known})
-        for i in range(0, len(new), 4_096):
-            part = new[i:i + 4_096]
-            for word, found in zip(part, tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)):
-                known[word] = np.array(found.ids, "<u4").tobytes()
-        return [b"".join([known[w] for w in words]) for words in parted]
+    if not state:
+        tokenizer = Tokenizer.from_file(path)
+        tokenizer.encode_special_tokens = True
+        model = tokenizer.model
+
+        def stem_ids(part: bytes) -> bytes:
+            text = part.decode()
+            if letters(text):
+                ids = [t.id for t in model.tokenize(text.lower().encode().decode("latin-1").translate(SIGNS))]
+            else:
+                ids = tokenizer.encode(text, add_special_tokens=False).ids
+            return np.array(ids, "<u4").tobytes()
+
+        stems = Recent(KEPT_WORDS, stem_ids)
+
+        def whole_ids(word: bytes) -> bytes:
+            stem, marks = parted(word)
+            return stems[stem] + stems[marks] if marks else stems[stem]
+
+        state["words"] = Recent(KEPT_WORDS, whole_ids)
+    look_up = state["words"].__getitem__
+
+    def encode(text: str | None) -> bytes:
+        return b"".join(map(look_up, (text or "").encode().split()))
 
     return encode
