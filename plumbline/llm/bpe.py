@@ -1,7 +1,6 @@
 """Byte-level BPE encoding and decoding with a hierarchical-bitmap rank queue.
 
-The merges of many pre-tokens run in one queue. Their bytes form one linked list with a gap between
-pre-tokens; every mergeable neighbour pair lies in the bucket of its rank, as the position of its left
+The bytes of one or more pre-tokens form one linked list with a gap between pre-tokens; every mergeable neighbour pair lies in the bucket of its rank, as the position of its left
 part. A bitmap with one bit per rank, and above it bitmaps with one bit per word below, give the lowest rank that
 is not empty by find-first-set. A bucket is emptied from left to right; entries whose pair has
 changed since are skipped. As no pair crosses a gap, the order within each pre-token is that of merging it
@@ -14,6 +13,7 @@ from __future__ import annotations
 import base64
 from collections import defaultdict
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -21,12 +21,12 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import worker_cache
+from plumbline.llm.common import Recent, worker_cache
 
-#: Pieces of text whose ids a worker keeps, about 250 bytes each, and texts encoded together.
-KEPT_PIECES = 600_000
+#: Pieces of text and pre-tokens whose ids a worker keeps in each of two generations, about 250 bytes each, and texts
+#: encoded together.
+KEPT_PIECES = 400_000
 TEXTS_AT_ONCE = 128
-KEPT_CHARS = 64
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -140,46 +140,67 @@ def merge_all(pretokens: list[bytes], ranks: dict[bytes, int]) -> list[list[int]
     return out
 
 
+#: What a text of plain lines does not hold: white space beside a space or line end, and other white space.
+ODD = ["  ", " \n", "\n ", "\n\n", *[c for c in map(chr, range(0x110000)) if c.isspace() and c not in " \n"]]
+
+
 class Encoder:
     """Encodes whole texts; pre-tokens and pieces of text between single spaces are worked out once per worker."""
 
     def __init__(self, path: str, pattern: str):
         state = worker_cache(f"bpe:{path}:{pattern}")
         if not state:
-            state.update(ranks=load_ranks(path), pattern=regex.compile(pattern), pieces={})
-            state["tokens"] = {v: k for k, v in state["ranks"].items()}
-        self.ranks, self.pattern, self.known, self.tokens = (state[k] for k in ("ranks", "pattern", "pieces", "tokens"))
+            ranks = load_ranks(path)
+            state.update(
+                ranks=ranks, tokens={v: k for k, v in ranks.items()}, find=regex.compile(pattern).findall, heads=Recent(KEPT_PIECES // 4),
+                tails=Recent(KEPT_PIECES), matches=Recent(KEPT_PIECES))
+        self.ranks, self.tokens, self.find = state["ranks"], state["tokens"], state["find"]
+        self.heads, self.tails, self.matches = state["heads"], state["tails"], state["matches"]
 
     def pieces(self, text: str) -> list[str]:
-        """The text cut before each single space between two characters that are no white space.
+        """The text cut before each single space between two characters that are no white space; every piece but the
+        first comes without that space.
 
         The pattern's matches never cross such a place, and it matches the same on either side, so pieces are encoded on their own.
         """
         out: list[str] = []
         joined = False
         for i, part in enumerate(text.split(" ")):
-            if i == 0:
+            if i and joined and part and not part[0].isspace():
                 out.append(part)
-            elif joined and part and not part[0].isspace():
-                out.append(" " + part)
-            else:
+            elif i:
                 out[-1] = f"{out[-1]} {part}"
+            else:
+                out.append(part)
             joined = bool(part) and not part[-1].isspace()
         return out
 
+    def lines(self, text: str) -> list[list[str]]:
+        """The pieces of the parts of a text that single line ends between two other characters that are no white space
+        keep apart. A text with any other white space side by side is one part."""
+        if any(odd in text for odd in ODD) or text[:1].isspace() or text[-1:].isspace():
+            return [self.pieces(text)]
+        return [line.split(" ") for line in text.split("\n")]
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
-        if len(self.known) > KEPT_PIECES:
-            self.known.clear()
-        cut = [self.pieces(t or "") for t in texts]
-        new = list({p for pieces in cut for p in pieces if p not in self.known})
-        matches = [self.pattern.findall(p) for p in new]
-        distinct = list({m for found in matches for m in found if m not in self.known})
-        fresh = {m: np.array(i, "<u4").tobytes() for m, i in zip(distinct, merge_all([m.encode() for m in distinct], self.ranks))}
-        fresh.update([(p, b"".join([fresh[m] if m in fresh else self.known[m] for m in found])) for p, found in zip(new, matches) if len(found) != 1])
-        out = [b"".join([k if (k := self.known.get(p)) is not None else fresh[p] for p in pieces]) for pieces in cut]
-        self.known.update((p, v) for p, v in fresh.items() if len(p) <= KEPT_CHARS)
-        return out
+        cut = [self.lines(t or "") for t in texts]
+        self.heads.fill({line[0] for lines in cut for line in lines} | {"\n"}, self._encode_pieces)
+        self.tails.fill(set(chain.from_iterable(chain.from_iterable(cut))), self._encode_tails)
+        head, tail = self.heads.__getitem__, self.tails.__getitem__
+        return [head("\n").join([head(line[0]) + b"".join(map(tail, line[1:])) for line in lines]) for lines in cut]
+
+    def _encode_tails(self, pieces: list[str]) -> list[bytes]:
+        return self._encode_pieces([f" {p}" for p in pieces])
+
+    def _encode_pieces(self, pieces: list[str]) -> list[bytes]:
+        found = [self.find(p) for p in pieces]
+        self.matches.fill(set(chain.from_iterable(found)), self._encode_matches)
+        look_up = self.matches.__getitem__
+        return [b"".join(map(look_up, matches)) for matches in found]
+
+    def _encode_matches(self, matches: list[str]) -> list[bytes]:
+        return [np.array(i, "<u4").tobytes() for i in merge_all([m.encode() for m in matches], self.ranks)]
 
     def decode(self, ids: bytes) -> bytes:
         tokens = self.tokens
