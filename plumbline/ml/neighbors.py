@@ -1,13 +1,16 @@
-"""Exact nearest neighbours by blocks: imputation, oversampling and a neighbour model.
+"""Exact nearest neighbours by pivots: imputation, oversampling and a neighbour model.
 
-Query rows and donor rows are dealt into blocks of bounded size. Each pair of blocks is
-one task that returns its k nearest donors per query and nothing else; the block
-results are merged by query. No task holds more than one block of each side.
+Donors are dealt to the nearest of some sampled pivots. How far a group reaches from its pivot
+bounds, by the triangle inequality, the distance of all its members from a query, so a query visits only the groups
+that may hold one of its k nearest. Large groups and crowds of queries are cut into blocks; a
+pair of blocks is one task that returns the k nearest donors per query and nothing else, and the
+block results are merged by query.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -17,31 +20,37 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from plumbline.functions import columns as C
-from plumbline.plans.frames import hash_share
+from plumbline.plans.frames import cut_lineage, hash_share
 from plumbline.plans.profiling import profiled
 from plumbline.plans.sampling import mark_per_class
 
 QUERY_BLOCK = 10_000
 DONOR_BLOCK = 50_000
+MAX_PIVOTS = 512
 
 
-def nearest(queries: DataFrame, donors: DataFrame, k: int, exclude_self: bool = False,
-            query_rows: int | None = None, donor_rows: int | None = None,
-            query_block: int = QUERY_BLOCK, donor_block: int = DONOR_BLOCK) -> DataFrame:
+def _distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Squared distances of the rows of x from the rows of y over the coordinates that x has."""
+    here = ~np.isnan(x)
+    z = np.where(here, x, 0.0)
+    out = np.empty((len(x), len(y)))
+    step = max(1, 20_000_000 // max(1, y.size))
+    for at in range(0, len(x), step):
+        gap = (z[at : at + step, None, :] - y[None, :, :]) * here[at : at + step, None, :]
+        out[at : at + step] = (gap * gap).sum(axis=2)
+    return out
+
+
+def nearest(queries: DataFrame, donors: DataFrame, k: int, exclude_self: bool = False, donor_rows: int | None = None,
+            query_block: int = QUERY_BLOCK, donor_block: int = DONOR_BLOCK, pivots: int | None = None) -> DataFrame:
     """(qid, did, rank, distance): the k nearest donors of each query, ties by donor id.
 
     Both inputs are (id string, x array<double>). A missing query coordinate is left out
     and the squared distance scaled up by the share of present ones.
     """
-    nq = max(1, math.ceil((queries.count() if query_rows is None else query_rows) / query_block))
-    nd = max(1, math.ceil((donors.count() if donor_rows is None else donor_rows) / donor_block))
-
-    def dealt(df: DataFrame, own: int, other: int, side: str, mine: str, theirs: str) -> DataFrame:
-        block = F.pmod(F.xxhash64("id"), F.lit(own)).cast("int")
-        return df.select(F.col("id").alias(side + "id"), F.col("x").alias(side + "x"), block.alias(mine),
-                         F.explode(F.sequence(F.lit(0), F.lit(other - 1))).alias(theirs))
+    pairs, groups = visits(queries, donors, k + exclude_self, donor_rows, donor_block, pivots)
 
-    def pair(q: pd.DataFrame, d: pd.DataFrame) -> pd.DataFrame:
+    def meet(q: pd.DataFrame, d: pd.DataFrame) -> pd.DataFrame:
         empty = pd.DataFrame({"qid": pd.Series(dtype=str), "did": pd.Series(dtype=str), "distance": pd.Series(dtype=float)})
         if not len(q) or not len(d):
             return empty
@@ -51,12 +60,10 @@ def nearest(queries: DataFrame, donors: DataFrame, k: int, exclude_self: bool =
         qid, did = q["qid"].to_numpy(), d["did"].to_numpy()
         keep = min(k + exclude_self, len(d))
         parts = []
-        step = max(1, 20_000_000 // max(1, dx.size))
+        step = max(1, 4_000_000 // max(1, len(dx)))
         for at in range(0, len(qx), step):
             block = qx[at : at + step]
-            gap = block[:, None, :] - dx[None, :, :]
-            present = ~np.isnan(block)
-            dist = np.nansum(gap * gap, axis=2) * (dx.shape[1] / np.maximum(present.sum(axis=1), 1))[:, None]
+            dist = _distances(block, dx) * (dx.shape[1] / np.maximum((~np.isnan(block)).sum(axis=1), 1))[:, None]
             order = np.argsort(dist, axis=1, kind="stable")[:, :keep]
             parts.append(pd.DataFrame({
                 "qid": np.repeat(qid[at : at + step], keep), "did": did[order].ravel(),
@@ -64,12 +71,62 @@ def nearest(queries: DataFrame, donors: DataFrame, k: int, exclude_self: bool =
         out = pd.concat(parts)
         return out[out["qid"] != out["did"]] if exclude_self else out
 
-    q, d = dealt(queries, nq, nd, "q", "qb", "db"), dealt(donors, nd, nq, "d", "db", "qb")
-    found = q.groupBy("qb", "db").cogroup(d.groupBy("qb", "db")).applyInPandas(pair, "qid string, did string, distance double")
+    # A crowd of queries at one block of donors is dealt over copies of that block.
+    crowds = pairs.groupBy("g", "b").agg(F.ceil(F.count(F.lit(1)) / query_block).cast("int").alias("crowd"))
+    asked = pairs.join(crowds, ["g", "b"]).withColumn("c", F.pmod(F.xxhash64("qid"), F.col("crowd")).cast("int"))
+    given = groups.join(crowds, ["g", "b"]).withColumn("c", F.explode(F.sequence(F.lit(0), F.col("crowd") - 1)))
+    found = asked.select("g", "b", "c", "qid", "qx").groupBy("g", "b", "c").cogroup(
+        given.select("g", "b", "c", "did", "dx").groupBy("g", "b", "c")).applyInPandas(meet, "qid string, did string, distance double")
     w = W.partitionBy("qid").orderBy("distance", "did")
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+def visits(queries: DataFrame, donors: DataFrame, k: int, donor_rows: int | None = None, donor_block: int = DONOR_BLOCK,
+           pivots: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """(g, b, qid, qx): the groups and blocks a query must visit; (g, b, did, dx): their donors."""
+    rows = donors.count() if donor_rows is None else donor_rows
+    many = pivots or int(min(MAX_PIVOTS, max(1, math.isqrt(rows))))
+    spread = hash_share("id", seed=31)
+    centres = np.array([r["x"] for r in donors.orderBy(spread, "id").limit(many).select("x").collect()], dtype=float)
+    if not len(centres):
+        centres = np.zeros((1, 1))
+
+    def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for d in batches:
+            if len(d):
+                dist = _distances(np.stack(d["x"].to_numpy()).astype(float), centres)
+                g = dist.argmin(axis=1)
+                yield pd.DataFrame({"g": g, "did": d["id"].to_numpy(), "dx": d["x"].to_numpy(), "far": np.sqrt(dist[np.arange(len(d)), g])})
+
+    placed = cut_lineage(donors.select("id", "x").mapInPandas(assign, "g int, did string, dx array<double>, far double"))
+    sizes = placed.groupBy("g").agg(F.count(F.lit(1)).alias("n"), F.max("far").alias("far")).collect()
+    count, reach = np.zeros(len(centres), np.int64), np.zeros(len(centres))
+    for r in sizes:
+        count[r["g"]], reach[r["g"]] = r["n"], r["far"]
+    blocks = -(-count // donor_block)
+
+    def plan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for q in batches:
+            if not len(q):
+                continue
+            x = np.stack(q["x"].to_numpy()).astype(float)
+            away = np.sqrt(_distances(x, centres))
+            most = np.where(count > 0, away + reach, np.inf)
+            order = np.argsort(most, axis=1)
+            enough = (np.cumsum(count[order], axis=1) >= min(k, int(count.sum()))).argmax(axis=1)
+            bound = most[np.arange(len(x)), order[np.arange(len(x)), enough]]
+            row, g = np.nonzero((away - reach <= bound[:, None] * (1 + 1e-9) + 1e-12) & (count > 0))
+            times = blocks[g]
+            b = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+            row, g = np.repeat(row, times), np.repeat(g, times)
+            yield pd.DataFrame({"g": g, "b": b, "qid": q["id"].to_numpy()[row], "qx": q["x"].to_numpy()[row]})
+
+    pairs = cut_lineage(queries.select("id", "x").mapInPandas(plan, "g int, b int, qid string, qx array<double>"))
+    # Donors of a group are dealt over its blocks by a hash.
+    wide = F.element_at(F.array(*[F.lit(int(n)) for n in np.maximum(blocks, 1)]), F.col("g") + 1)
+    return pairs, placed.select("g", F.pmod(F.xxhash64("did"), wide).cast("int").alias("b"), "did", "dx")
+
+
 def impute_knn(df: DataFrame, cols: list[str], id_col: str, k: int = 5, donors_from: DataFrame | None = None) -> DataFrame:
     """Fill gaps with the mean of the k nearest complete rows (Euclidean over present values)."""
     source = df if donors_from is None else donors_from
@@ -104,7 +161,7 @@ def smote(df: DataFrame, target: str, cols: list[str], id_col: str, ratio: float
         return original
     rows = df.where(label == F.lit(minority)).select(
         C.quoted(id_col).cast("string").alias("id"), F.array(*[F.coalesce(C.as_number(df, c), F.lit(0.0)) for c in cols]).alias("x"))
-    near = nearest(rows, rows, k, exclude_self=True, query_rows=small, donor_rows=small)
+    near = nearest(rows, rows, k, exclude_self=True, donor_rows=small)
     listed = near.join(rows.select(F.col("id").alias("did"), F.col("x").alias("nx")), "did").groupBy("qid").agg(
         F.sort_array(F.collect_list(F.struct("rank", "nx"))).alias("near"))
     copies, extra = divmod(need, small)

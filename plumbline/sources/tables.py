@@ -13,23 +13,50 @@ from plumbline.plans.frames import rows_frame
 from plumbline.plans.profiling import profiled
 
 FORMATS = {"csv": "csv", "tsv": "csv", "txt": "csv", "json": "json", "jsonl": "json", "parquet": "parquet", "orc": "orc"}
+#: Formats that Spark has no reader for.
+UNREADABLE = {"xls", "xlsx", "pdf", "zip"}
+
+
+#: How files begin that say what they are; text files begin with none of these.
+SIGNATURES = {"PAR1": "parquet", "ORC": "orc", "PK\x03\x04": "zip"}
+
+
+def content_format(spark: SparkSession, path: str) -> tuple[str, str]:
+    """(format, separator) by the first line: a binary signature, a JSON bracket, else CSV with its most frequent separator."""
+    head = spark.read.text(path).limit(1).collect()
+    line = head[0]["value"] if head else ""
+    for signature, kind in SIGNATURES.items():
+        if line.startswith(signature):
+            return kind, ","
+    if "PNG" in line[:4] or "JFIF" in line[:12] or "Exif" in line[:12]:
+        return "image", ","
+    if line.lstrip("\ufeff \t")[:1] in ("{", "["):
+        return "json", ","
+    return "csv", max((",", "\t", ";"), key=line.count)
 
 
 def load_table(spark: SparkSession, path: str, format: str | None = None, schema: StructType | str | None = None) -> DataFrame:
-    """Read a file or a directory of files of one schema; the format follows the extension.
+    """Read a file or a directory of files of one schema; the format follows the extension, or the
+    content where there is none or an unknown one. Images give one row of features each.
 
     Blank CSV fields and NaN read as null. Without a schema a CSV is scanned once more
     to infer one; pass the schema for large inputs. Empty inputs are refused.
     """
     tail = path.rstrip("/").rsplit("/", 1)[-1]
-    extension = tail.rsplit(".", 1)[-1].lower() if "." in tail else "csv"
-    kind = format or FORMATS.get(extension)
+    extension = tail.rsplit(".", 1)[-1].lower() if "." in tail else ""
+    kind, separator = format or FORMATS.get(extension), "\t" if extension == "tsv" else ","
+    if kind is None and extension not in UNREADABLE:
+        kind, separator = content_format(spark, path)
+    if kind == "image":
+        from plumbline.sources.images import image_features
+
+        return image_features(spark, path)
     if kind not in {"csv", "json", "parquet", "orc"}:
         raise ValueError(f"unsupported table format: {format or extension}")
     reader = spark.read if schema is None else spark.read.schema(schema)
     if kind == "csv":
         reader = reader.options(header=True, inferSchema=schema is None, nullValue="", escape='"',
-                                sep="\t" if extension == "tsv" else ",")
+                                sep=separator)
     df = nan_to_null(reader.format(kind).load(path))
     if not df.columns or df.isEmpty():
         raise ValueError(f"no data rows in {path}")
