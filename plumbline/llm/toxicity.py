@@ -144,8 +144,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         F.max(F.col(label_col).cast("int")).alias("label")).where("label is not null"))
     share = sample / max(1, known.count())
     picked = known.where(hash_share(F.col("id"), seed=5) < F.lit(float(min(share, 1.0))))
-    texts = cut_lineage(docs.select(docs[id_col].alias("id"), F.coalesce(docs[text_col], F.lit("")).alias("text")).join(
-        F.broadcast(picked), "id").withColumn("key", F.xxhash64("text")).dropDuplicates(["key"]))
+    # Copies count once; if their labels differ, toxic wins.
+    texts = cut_lineage(docs.select(docs[id_col].alias("id"), F.coalesce(docs[text_col], F.lit("")).alias("text")).join(F.broadcast(picked), "id").groupBy(
+        F.xxhash64("text").alias("key")).agg(F.min("text").alias("text"), F.max("label").alias("label")))
     fold = F.pmod(F.xxhash64("key", F.lit(11)), F.lit(4))
     counts = cut_lineage(texts.where(fold > 0).select("text", "label").mapInArrow(_counts, "word string, n1 bigint, n0 bigint").groupBy("word").agg(
         F.sum("n1").alias("n1"), F.sum("n0").alias("n0")))
