@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 
 from plumbline.llm.common import cut_lineage, keep_rows, row_key, salted_lookup
 from plumbline.llm.components import components, merge_labels
+from plumbline.llm.simhash import HASHES_AT_ONCE, bit_counts
 
 SALTS = 256
 #: Members of a node beyond which it goes deeper, members walked at a time, bits of a step down. They shape the work
@@ -85,10 +86,10 @@ def fingerprint(text: str | None, width: int, seeds: tuple[int, ...] = (42,)) ->
     digest, out = xxhash.xxh64_intdigest, []
     for seed in seeds:
         ones = np.zeros(64, np.int64)
-        for i in range(0, n, 65_536):
-            size = min(65_536, n - i)
+        for i in range(0, n, HASHES_AT_ONCE):
+            size = min(HASHES_AT_ONCE, n - i)
             hashes = np.fromiter((digest(joined[s:e], seed) for s, e in zip(starts[i:i + size], last[i:i + size])), np.uint64, size)
-            ones += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+            ones += bit_counts(hashes, np.zeros(1, np.int64))[0]
         out.append(int(np.packbits(2 * ones > n, bitorder="little").view(np.uint64)[0]))
     return out
 
