@@ -80,10 +80,12 @@ def keep_rows(docs: DataFrame, kept: DataFrame, id_col: str = "doc_id", text_col
     names = docs.columns
     plain = docs.toDF(*[f"_{i}" for i in range(len(names))])
     ident, text = f"_{names.index(id_col)}", f"_{names.index(text_col)}"
-    keyed = plain.withColumn("key", row_key(F.col(text)))
-    wanted = kept.select(F.col("doc_id").alias("kept_id"), F.col("text_key").alias("kept_key"))
-    joined = keyed.join(wanted, F.col(ident).eqNullSafe(F.col("kept_id")) & (F.col("key") == F.col("kept_key")), "left_semi")
-    return joined.dropDuplicates([ident, "key"]).drop("key").toDF(*names)
+    # Join and distinct use the same plain columns, so that texts are shuffled once.
+    keys = ["none", "id", "key"]
+    told = lambda ident, key: {"none": ident.isNull(), "id": F.coalesce(ident, F.lit(0)), "key": key}
+    wanted = kept.select("doc_id", "text_key").withColumns(told(F.col("doc_id"), F.col("text_key"))).select(*keys)
+    keyed = plain.withColumns(told(F.col(ident).cast("bigint"), row_key(F.col(text))))
+    return keyed.join(wanted, keys, "left_semi").dropDuplicates(keys).select(*plain.columns).toDF(*names)
 
 
 def worker_cache(name: str) -> dict:
