@@ -90,8 +90,12 @@ def keep_rows(docs: DataFrame, kept: DataFrame, id_col: str = "doc_id", text_col
 
 def worker_cache(name: str) -> dict:
     """A dictionary that lives as long as the Python worker, so that the tasks it runs one after
-    the other share what they have worked out. Callers bound its size."""
-    return vars(sys).setdefault("_plumbline_caches", {}).setdefault(name, {})
+    the other share what they have worked out. Callers bound its size, and a worker keeps one at a
+    time: asking for another name lets go of the one before."""
+    kept = vars(sys).setdefault("_plumbline_caches", {})
+    for other in [n for n in kept if n != name]:
+        del kept[other]
+    return kept.setdefault(name, {})
 
 
 class Recent(dict):

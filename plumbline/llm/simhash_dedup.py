@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import cut_lineage, keep_rows, row_key, salted_lookup
+from plumbline.llm.common import cut_lineage, keep_rows, row_key, salted_lookup, worker_cache
 from plumbline.llm.components import components, merge_labels
 from plumbline.llm.simhash import HASHES_AT_ONCE, bit_counts
 
@@ -33,7 +33,7 @@ SALTS = 256
 #: and not the result.
 NODE_MAX, CHUNK, STEP = 150_000, 40_000, 4
 LEAF_PAIRS = 64
-PAIRS_AT_ONCE = FRONTIER = 500_000
+PAIRS_AT_ONCE = FRONTIER = 250_000
 
 
 @dataclass(frozen=True)
@@ -101,6 +101,7 @@ def fingerprints(docs: DataFrame, id_col: str, text_col: str, width: int, words:
     seeds = tuple(range(42, 42 + words))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_cache("simhash")  # frees what an earlier stage kept
         for batch in batches:
             found = np.zeros((batch.num_rows, 2), np.uint64)
             for i, text in enumerate(batch.column(2).to_pylist()):
@@ -244,6 +245,7 @@ def walk_nodes(tries: Tries, chunk: int = CHUNK):
         return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_cache("simhash")
         held = [np.empty(0, t) for t in (np.int32, np.int32, np.int64, np.int64, np.int64, np.int64)]
         for batch in batches:
             held = [np.concatenate([h, c.to_numpy()]) for h, c in zip(held, batch.columns)]
