@@ -46,14 +46,15 @@ def salted_lookup(rows: DataFrame, lookup: DataFrame, keys: list[str], spread: C
     return salted.join(answers, [*keys, "_salt"], "left").drop("_salt")
 
 
-def split_crowded(rows: DataFrame, keys: list[str], block: int, spread: Column) -> DataFrame:
+def split_crowded(rows: DataFrame, keys: list[str], block: int, spread: Column, counted: DataFrame | None = None) -> DataFrame:
     """Adds p, q, left and right, so that all pairs of a key's rows meet without a key growing past two blocks.
 
     A key of up to ``block`` rows stays whole (p = q = 0, both sides true). The rows of a larger one are dealt into
     blocks by ``spread``, and a copy of each goes to every pair of blocks it belongs to; a pair of rows meets
-    where one is ``left`` and the other ``right``.
+    where one is ``left`` and the other ``right``. ``counted``, if given, are the rows of all keys that can be that
+    large; the others need not be counted.
     """
-    crowd = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > block)
+    crowd = (rows if counted is None else counted).groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > block)
     whole = rows.select("*", F.lit(0).alias("p"), F.lit(0).alias("q"), F.lit(True).alias("left"), F.lit(True).alias("right"))
     crowd = cut_lineage(crowd)
     if crowd.isEmpty():
