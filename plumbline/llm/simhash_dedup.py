@@ -69,9 +69,8 @@ class Tries:
 
 #: Four or fewer of 64 bits: every such pair is linked.
 CLOSE = Tries()
-#: 24 or fewer of 128 bits, a Jaccard similarity of word shingles of about 0.8, where 19 bits are expected. All pairs up to 15 bits
-#: are linked, of random pairs at 19 bits 93 in 100 by themselves.
-SIMILAR = Tries(words=2, parts=8, part_errors=1, errors=24, node=16_384)
+#: 24 or fewer of 128 bits: every such pair is linked.
+SIMILAR = Tries(words=2, parts=5, part_errors=4, errors=24, node=16_384)
 
 
 def fingerprint(text: str | None, width: int, seeds: tuple[int, ...] = (42,)) -> list[int]:
