@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 
 from plumbline.llm.common import cut_lineage, keep_rows, row_key, salted_lookup, worker_cache
 from plumbline.llm.components import components, merge_labels
+from plumbline.llm.shingle_links import SIMILARITY, keyed_texts, shingle_links
 from plumbline.llm.simhash import HASHES_AT_ONCE, bit_counts
 
 SALTS = 256
@@ -276,6 +277,17 @@ def trie_links(values: DataFrame, tries: Tries, node_max: int = NODE_MAX) -> Dat
     return ready.drop("home").repartition(*key).sortWithinPartitions(*key).mapInArrow(walk_nodes(tries), "a bigint, b bigint")
 
 
+def place(rows: DataFrame, classes: DataFrame, links: DataFrame) -> DataFrame:
+    """``rows`` with component_id, least_key and kept, from the links between the ids of their classes (id, fp, low, smallest, key)."""
+    nodes = components(links)
+    rooted = classes.join(nodes, classes["id"] == nodes["node"], "left").select("fp", "low", "smallest", "key", F.coalesce("root", "id").alias("root"))
+    groups = salted_lookup(
+        rooted, rooted.groupBy("root").agg(F.min("smallest").alias("component_id"), F.min("key").alias("least_key")), ["root"], F.col("fp"), SALTS)
+    placed = salted_lookup(rows, groups.select("fp", "low", "component_id", "least_key"), ["fp", "low"], F.struct("doc_id", "text_key"), SALTS)
+    kept = F.when(F.col("component_id").isNull(), F.col("text_key") == F.col("least_key")).otherwise(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    return placed.withColumn("kept", kept)
+
+
 def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, tries: Tries = SIMILAR, node_max: int = NODE_MAX) -> DataFrame:
     """One row per row of ``docs``: doc_id, fingerprint (16 hex digits per word), component_id, kept, text_key.
 
@@ -287,19 +299,19 @@ def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     rows = cut_lineage(fingerprints(docs, id_col, text_col, width, tries.words))
     ident = F.col("fp") if tries.words == 1 else F.xxhash64("fp", "low")
     classes = cut_lineage(rows.groupBy("fp", "low").agg(F.min("doc_id").alias("smallest"), F.min("text_key").alias("key")).withColumn("id", ident))
-    nodes = components(trie_links(classes, tries, node_max))
-    rooted = classes.join(nodes, classes["id"] == nodes["node"], "left").select("fp", "low", "smallest", "key", F.coalesce("root", "id").alias("root"))
-    groups = salted_lookup(
-        rooted, rooted.groupBy("root").agg(F.min("smallest").alias("component_id"), F.min("key").alias("least_key")), ["root"], F.col("fp"), SALTS)
-    placed = salted_lookup(rows, groups.select("fp", "low", "component_id", "least_key"), ["fp", "low"], F.struct("doc_id", "text_key"), SALTS)
-    kept = F.when(F.col("component_id").isNull(), F.col("text_key") == F.col("least_key")).otherwise(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    placed = place(rows, classes, trie_links(classes, tries, node_max))
     digits = F.concat(*[F.lpad(F.hex(c), 16, "0") for c in ("fp", "low")[:tries.words]])
-    return placed.select("doc_id", F.lower(digits).alias("fingerprint"), "component_id", kept.alias("kept"), "text_key")
+    return placed.select("doc_id", F.lower(digits).alias("fingerprint"), "component_id", "kept", "text_key")
 
 
-def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **settings) -> DataFrame:
-    """``docs`` with one document of each group of near copies, all columns kept."""
-    rows = simhash_dedup(docs, id_col, text_col, **settings).where("kept")
+def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = SIMILARITY) -> DataFrame:
+    """``docs`` with one document of each group of near copies, all columns kept. A group is connected by pairs whose shingle
+    sets of ``width`` words have a Jaccard similarity of ``similarity`` or more; ids, nulls and repeated rows as in ``simhash_dedup``."""
+    found = cut_lineage(keyed_texts(docs, id_col, text_col, width))
+    rows = found.select("doc_id", "text_key", F.col("hash").alias("fp"), F.lit(0).cast("bigint").alias("low"))
+    classes = cut_lineage(found.groupBy("hash").agg(F.min("doc_id").alias("smallest"), F.min("text_key").alias("key"), F.min("keys").alias("keys")).withColumns(
+        {"id": F.col("hash"), "fp": F.col("hash"), "low": F.lit(0).cast("bigint")}))
+    rows = place(rows, classes, shingle_links(classes, docs[text_col], docs, width, similarity)).where("kept")
     one = rows.groupBy("component_id", F.when(F.col("component_id").isNull(), F.col("text_key")).alias("k")).agg(
         F.min("text_key").alias("text_key")).select(F.col("component_id").alias("doc_id"), "text_key")
     return keep_rows(docs, one, id_col, text_col)
