@@ -43,7 +43,27 @@ def tokens(text: str | None) -> list[str]:
     return WORDS.findall((text or "").lower())
 
 
-def maximal_segments(hits: list[tuple[int, float]], drift: float) -> list[tuple[int, int, float]]:
+def maximal_segments(hits: list[tuple], drift: float) -> list[tuple[int, int, float]]:
+    """The segments of ``plain_segments``. Where hits also carry their word, a segment's score is that of its best part
+    when the k-th time a word comes up in the segment counts 1/k², as the scores are learnt from documents and not from
+    repetitions. What comes before or after a segment has no say in it."""
+    found = plain_segments([hit[:2] for hit in hits], drift)
+    if not hits or len(hits[0]) < 3:
+        return found
+    out, i = [], 0
+    for start, end, _ in found:
+        seen: Counter = Counter()
+        best, run, last = 0.0, 0.0, start - 1
+        while i < len(hits) and hits[i][0] <= end:
+            place, score, word = hits[i]
+            seen[word] += 1
+            run = max(0.0, run - drift * (place - last - 1)) + score / seen[word] ** 2
+            best, last, i = max(best, run), place, i + 1
+        out.append((start, end, best))
+    return out
+
+
+def plain_segments(hits: list[tuple[int, float]], drift: float) -> list[tuple[int, int, float]]:
     """All maximal scoring segments (first word, last word, score) of a sequence in which the words
     ``hits`` (place, positive score) stand out and every other word scores ``-drift``; linear time."""
     open_: list[list[float]] = []  # start, end, sum before, sum through
@@ -83,21 +103,14 @@ class Model:
                     return found
         return 0.0
 
-    def hits(self, words: list[str], known: dict[str, float]) -> list[tuple[int, float]]:
-        """Places and scores of the words that stand out; the k-th time a word comes up it has
-        1/k² of its score, as the scores are learnt from documents and not from repetitions."""
+    def hits(self, words: list[str], known: dict[str, float]) -> list[tuple[int, float, str]]:
+        """Places and scores of the words that stand out, and the words."""
         if len(known) > KNOWN_WORDS:
             known.clear()
         new = {w for w in words if w not in known}
         for w in new:
             known[w] = self.word(w)
-        seen: Counter = Counter()
-        out = []
-        for i, w in enumerate(words):
-            if (score := known[w]) > 0:
-                seen[w] += 1
-                out.append((i, score / seen[w] ** 2))
-        return out
+        return [(i, score, w) for i, w in enumerate(words) if (score := known[w]) > 0]
 
     def evidence(self, segments: list[tuple[int, int, float]], n: int) -> tuple[float, float, list[tuple[int, int, float]]]:
         """Sum of -ln p over the segments, the best segment's score, and the segments with p < 0.05."""
