@@ -26,7 +26,6 @@ from pyspark.sql import functions as F
 
 from plumbline.llm.common import cut_lineage, keep_rows, row_key, salted_lookup, worker_cache
 from plumbline.llm.components import components, merge_labels
-from plumbline.llm.shingle_links import SIMILARITY, keyed_texts, shingle_links
 from plumbline.llm.simhash import HASHES_AT_ONCE, bit_counts
 
 SALTS = 256
@@ -70,8 +69,6 @@ class Tries:
 
 #: Four or fewer of 64 bits: every such pair is linked.
 CLOSE = Tries()
-#: 24 or fewer of 128 bits: every such pair is linked.
-SIMILAR = Tries(words=2, parts=5, part_errors=4, errors=24, node=16_384)
 
 
 def fingerprint(text: str | None, width: int, seeds: tuple[int, ...] = (42,)) -> list[int]:
@@ -288,8 +285,9 @@ def place(rows: DataFrame, classes: DataFrame, links: DataFrame) -> DataFrame:
     return placed.withColumn("kept", kept)
 
 
-def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, tries: Tries = SIMILAR, node_max: int = NODE_MAX) -> DataFrame:
-    """One row per row of ``docs``: doc_id, fingerprint (16 hex digits per word), component_id, kept, text_key.
+def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, tries: Tries = CLOSE, node_max: int = NODE_MAX) -> DataFrame:
+    """One row per row of ``docs``: doc_id, fingerprint (16 hex digits per word), component_id, kept, text_key, least_key
+    (the least text key of the component).
 
     Null and blank texts have fingerprint zero and are linked like any other; fewer words than a
     shingle make one shingle. A component's id is its smallest doc_id (null if it has none); ``kept`` marks
@@ -301,17 +299,13 @@ def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     classes = cut_lineage(rows.groupBy("fp", "low").agg(F.min("doc_id").alias("smallest"), F.min("text_key").alias("key")).withColumn("id", ident))
     placed = place(rows, classes, trie_links(classes, tries, node_max))
     digits = F.concat(*[F.lpad(F.hex(c), 16, "0") for c in ("fp", "low")[:tries.words]])
-    return placed.select("doc_id", F.lower(digits).alias("fingerprint"), "component_id", "kept", "text_key")
-
-
-def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = SIMILARITY) -> DataFrame:
-    """``docs`` with one document of each group of near copies, all columns kept. A group is connected by pairs whose shingle
-    sets of ``width`` words have a Jaccard similarity of ``similarity`` or more; ids, nulls and repeated rows as in ``simhash_dedup``."""
-    found = cut_lineage(keyed_texts(docs, id_col, text_col, width))
-    rows = found.select("doc_id", "text_key", F.col("hash").alias("fp"), F.lit(0).cast("bigint").alias("low"))
-    classes = cut_lineage(found.groupBy("hash").agg(F.min("doc_id").alias("smallest"), F.min("text_key").alias("key"), F.min("keys").alias("keys")).withColumns(
-        {"id": F.col("hash"), "fp": F.col("hash"), "low": F.lit(0).cast("bigint")}))
-    rows = place(rows, classes, shingle_links(classes, docs[text_col], docs, width, similarity)).where("kept")
-    one = rows.groupBy("component_id", F.when(F.col("component_id").isNull(), F.col("text_key")).alias("k")).agg(
-        F.min("text_key").alias("text_key")).select(F.col("component_id").alias("doc_id"), "text_key")
-    return keep_rows(docs, one, id_col, text_col)
+    return placed.select("doc_id", F.lower(digits).alias("fingerprint"), "component_id", "kept", "text_key", "least_key")
+
+
+def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, tries: Tries = CLOSE) -> DataFrame:
+    """``docs`` with one document of each component of ``simhash_dedup``, all columns kept: the one with the smallest id,
+    of several texts under that id the one with the least text key. Without any id it is the text with the least key."""
+    rows = simhash_dedup(docs, id_col, text_col, width, tries).where("kept")
+    # A text lies in one component, so the least text key of a component names it.
+    one = rows.groupBy("least_key").agg(F.min("component_id").alias("doc_id"), F.min("text_key").alias("text_key"))
+    return keep_rows(docs, one.select("doc_id", "text_key"), id_col, text_col)
