@@ -26,7 +26,7 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of documents connected by pairs with a similarity of 0.8 or more over five-word shingles the row with the smallest id."""
+    """Of each group of documents connected by fingerprints of four-word shingles at four or fewer differing bits the row with the smallest id."""
     return drop_near_copies(docs)
 
 
