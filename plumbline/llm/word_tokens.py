@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import unicodedata
 from collections.abc import Callable
+from struct import pack
 
-import numpy as np
+import tiktoken
 
 from plumbline.llm.common import Recent, worker_cache
 
-#: Words whose ids a worker keeps in each of two generations, about 200 bytes each.
-KEPT_WORDS = 600_000
+#: Words whose ids a worker keeps in each of two generations, about 200 bytes each; others are merged again.
+KEPT_WORDS = 250_000
 ENDINGS = b'.,;:!?"'
 #: Words of letters below U+0180 that normalization leaves alone and lower-casing maps one to one.
 letters = re.compile("[a-zA-ZÀ-ÖØ-öø-įı-ňŊ-ſ]+").fullmatch
@@ -28,6 +30,30 @@ def byte_signs() -> dict[int, str]:
 SIGNS = byte_signs()
 
 
+#: Ends a word in the merge table; no UTF-8 text holds this byte.
+WORD_END = b"\xff"
+
+
+def word_merges(path: str) -> Callable[[bytes], list[int]]:
+    """Ids of one lower-case word by the file's merges.
+
+    The library merges the pair whose union has the least id, so a file serves whose ids follow its merges; a single
+    byte that ends a word comes before them all.
+    """
+    with open(path, encoding="utf-8") as file:
+        model = json.load(file)["model"]
+    suffix, byte_of = model["end_of_word_suffix"], {sign: bytes([b]) for b, sign in SIGNS.items()}
+    ids = [model["vocab"]["".join(m if isinstance(m, list) else m.split(" "))] for m in model["merges"]]
+    if ids != sorted(ids):
+        raise ValueError(f"the ids of {path} do not follow its merges")
+    ranks: dict[bytes, int] = {}
+    for token, ident in model["vocab"].items():
+        stem = token.removesuffix(suffix)
+        if stem and all(sign in byte_of for sign in stem):
+            ranks[b"".join(byte_of[sign] for sign in stem) + WORD_END * (stem != token)] = ident
+    return tiktoken.Encoding("words", pat_str=r"\S+", mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece
+
+
 def parted(word: bytes) -> tuple[bytes, bytes]:
     """A word's stem and the marks at its end, apart only where the tokenizer parts them as well."""
     stem = word.rstrip(ENDINGS)
@@ -42,7 +68,7 @@ def word_ids(path: str) -> Callable[[str | None], bytes]:
 
     The file's tokenizer must drop white space, split letters from punctuation and lower-case, so that a text falls into pieces that are
     encoded independently: at ASCII white space, and between a letter or digit and the marks that end a word. Words of Latin letters go
-    to the tokenizer's model as they are, others through the whole tokenizer. Strings of special tokens in a text are ordinary text.
+    to the merge table as they are, others through the whole tokenizer. Strings of special tokens in a text are ordinary text.
     """
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
@@ -51,19 +77,19 @@ def word_ids(path: str) -> Callable[[str | None], bytes]:
     if not state:
         tokenizer = Tokenizer.from_file(path)
         tokenizer.encode_special_tokens = True
-        model = tokenizer.model
+        merged = word_merges(path)
 
         def stem_ids(part: bytes) -> bytes:
             text = part.decode()
-            if letters(text):
-                ids = [t.id for t in model.tokenize(text.lower().encode().decode("latin-1").translate(SIGNS))]
-            else:
-                ids = tokenizer.encode(text, add_special_tokens=False).ids
-            return np.array(ids, "<u4").tobytes()
+            ids = merged(text.lower().encode() + WORD_END) if letters(text) else tokenizer.encode(text, add_special_tokens=False).ids
+            return pack(f"<{len(ids)}I", *ids)
 
         stems = Recent(KEPT_WORDS, stem_ids)
 
         def whole_ids(word: bytes) -> bytes:
+            if word.isalpha():
+                ids = merged(word.lower() + WORD_END)
+                return pack(f"<{len(ids)}I", *ids)
             stem, marks = parted(word)
             return stems[stem] + stems[marks] if marks else stems[stem]
 
