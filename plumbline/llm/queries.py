@@ -10,11 +10,14 @@ from plumbline.llm import toxicity as tox
 from plumbline.llm.best_fit_packing import best_fit_packing
 from plumbline.llm.bpe import bpe_digests
 from plumbline.llm.common import table
+from plumbline.llm.cutting_stock import cutting_stock_packing
 from plumbline.llm.embedding_dedup import embedding_dedup
 from plumbline.llm.exact_dedup import exact_dedup
+from plumbline.llm.filter_audit import filter_audit
 from plumbline.llm.line_dedup import line_dedup
 from plumbline.llm.secret_scan import secret_scan
 from plumbline.llm.simhash_dedup import CLOSE, simhash_dedup
+from plumbline.llm.source_divergence import source_divergence
 from plumbline.llm.token_output import token_output
 from plumbline.llm.url_filter import Rule, url_filter
 
@@ -64,9 +67,21 @@ def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup(table(spark, sf_dir, "embeddings"))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_divergence(table(spark, sf_dir, "documents"))
+
+
+def op13_cutting_stock_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cutting_stock_packing(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
 QUERIES = {f.__name__: f for f in (
     op1_toxicity, op2_best_fit_packing, op3_exact_dedup, op4_simhash_dedup, op5_url_filter, op6_token_output, op7_secret_scan, op8_bpe, op9_line_dedup,
-    op10_embedding_dedup)}
+    op10_embedding_dedup, op11_filter_audit, op12_source_divergence, op13_cutting_stock_packing)}
 
 ORACLES = {
     "op3_exact_dedup": r"""
@@ -113,4 +128,38 @@ g AS (SELECT doc_id, count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (ki
   count(*) FILTER (NOT copied) AS n_live, count(*) FILTER (copied) AS n_copied FROM f GROUP BY doc_id)
 SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, coalesce(base_sha256, sha256('')) AS base_sha256,
   coalesce(spans, '') AS spans, coalesce(n_live, 0) AS n_live, coalesce(n_copied, 0) AS n_copied FROM documents LEFT JOIN g USING (doc_id)""",
+    "op11_filter_audit": r"""
+WITH l AS (SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS bad FROM labels GROUP BY doc_id),
+d AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+f AS (SELECT part, coalesce(good, 0) AS good, coalesce(bad, 0) AS bad, {
+    'A': len(w) < 100, 'B': 100 * len(list_distinct(w)) < 80 * len(w), 'C': 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 10 * length(t),
+    'D': regexp_matches(t, '[#$%&*|]'), 'E': coalesce(min(doc_id) OVER (PARTITION BY t) < doc_id, false)} AS x FROM d LEFT JOIN l USING (doc_id)),
+c AS (SELECT part, x.A::INT AS a, x.B::INT AS b, x.C::INT AS c, x.D::INT AS d, x.E::INT AS e, count(*) AS n, sum(good) AS good, sum(bad) AS bad FROM f GROUP BY ALL),
+k AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS k),
+o AS (SELECT v.k || w.k || x.k || y.k || z.k AS filter_order FROM k v, k w, k x, k y, k z WHERE len(list_distinct([v.k, w.k, x.k, y.k, z.k])) = 5),
+m AS (SELECT *, [a, b, c, d, e] AS bits, a + b + c + d + e AS fails FROM c),
+s AS (SELECT m.*, filter_order, step, bits[ascii(substr(filter_order, step, 1)) - 64] AS own,
+    list_sum([bits[ascii(substr(filter_order, i, 1)) - 64] FOR i IN range(1, step)]) AS before FROM m, o, (SELECT unnest(range(1, 6))::INT AS step))
+SELECT part, filter_order, step, coalesce(sum(n) FILTER (own = 0 AND coalesce(before, 0) = 0), 0)::BIGINT AS kept, coalesce(sum(n) FILTER (own = 1 AND coalesce(before, 0) = 0), 0)::BIGINT AS removed,
+  coalesce(sum(n) FILTER (own = 1 AND before > 0), 0)::BIGINT AS redundant, coalesce(sum(n) FILTER (own = 1 AND fails = 1), 0)::BIGINT AS unique_fails,
+  coalesce(sum(good) FILTER (own = 1 AND coalesce(before, 0) = 0), 0)::BIGINT AS good_lost, coalesce(sum(bad) FILTER (own = 1 AND coalesce(before, 0) = 0), 0)::BIGINT AS toxic_lost,
+  coalesce(sum(n * 120 // greatest(fails, 1)) FILTER (own = 1), 0)::BIGINT AS shapley FROM s GROUP BY part, filter_order, step""",
+    "op12_source_divergence": r"""
+WITH d AS (SELECT row_number() OVER () AS doc, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+w AS (SELECT doc, lang, source, unnest(regexp_extract_all(t, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+kept AS (SELECT lang, term, count(*) AS total FROM w GROUP BY lang, term HAVING count(DISTINCT doc) >= 3),
+c AS (SELECT lang, source, term, count(*) AS n FROM w JOIN kept USING (lang, term) GROUP BY lang, source, term),
+g AS (SELECT DISTINCT lang, source FROM d),
+v AS (SELECT lang, count(*)::HUGEINT AS v, sum(total)::HUGEINT AS n_lang FROM kept GROUP BY lang),
+s AS (SELECT lang, source, coalesce(sum(n), 0)::HUGEINT AS n_source FROM g LEFT JOIN c USING (lang, source) GROUP BY lang, source),
+p AS (SELECT lang, source, term, coalesce(n, 0) AS n, 1 + 1000000000::HUGEINT * (coalesce(n, 0) + 1) // (n_source + v) AS p, 1 + 1000000000::HUGEINT * (total + 1) // (n_lang + v) AS q
+  FROM s JOIN kept USING (lang) JOIN v USING (lang) LEFT JOIN c USING (lang, source, term)),
+pairs AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+every AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0) AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN pairs ON pairs.lang = a.lang AND pairs.source = a.source AND pairs.item = b.source),
+terms AS (SELECT lang, source, 'term' AS part, term AS item, (p - q) * (p - q) // q AS value FROM p WHERE n > 0 AND p > q)
+SELECT lang, source, part, item, value::BIGINT AS value, r::INT AS rank FROM (
+  SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, encode(item)) AS r FROM (SELECT * FROM every UNION ALL SELECT * FROM terms))
+WHERE part = 'pair' OR r <= 200""",
 }
