@@ -48,19 +48,30 @@ def cross_products(df: DataFrame, by_class: bool = False) -> dict[float, np.ndar
     return out
 
 
+def _quadratic(a: dict[str, np.ndarray], x: np.ndarray) -> np.ndarray:
+    return np.column_stack([c - 0.5 * (((x - m) @ r) ** 2).sum(axis=1) for m, r, c in zip(a["means"], a["roots"], a["constant"])])
+
+
+#: How a matrix model scores feature rows from its arrays.
+FORMS: dict[str, Callable[[dict[str, np.ndarray], np.ndarray], np.ndarray]] = {
+    "linear": lambda a, x: x @ a["slope"] + a["constant"], "quadratic": _quadratic}
+
+
 class MatrixModel:
-    """Scores rows by a numpy function of the feature matrix, one Arrow batch at a time."""
+    """Scores rows by one of ``FORMS`` of the feature matrix, one Arrow batch at a time."""
+
+    def __init__(self, name: str, form: str, arrays: dict[str, np.ndarray], classes: list[float] | None, weights: np.ndarray | None = None):
+        self.name, self.form, self.arrays, self.classes, self.weights = name, form, arrays, classes, weights
 
-    def __init__(self, name: str, score: Callable[[np.ndarray], np.ndarray], classes: list[float] | None,
-                 weights: np.ndarray | None = None):
-        self.name, self.score, self.classes, self.weights = name, score, classes, weights
+    def score(self, x: np.ndarray) -> np.ndarray:
+        return FORMS[self.form](self.arrays, x)
 
     def transform(self, df: DataFrame) -> DataFrame:
-        score, classes = self.score, self.classes
+        form, arrays, classes = self.form, self.arrays, self.classes
 
         @F.pandas_udf("struct<prediction:double,probability:array<double>>")
         def apply(x: pd.Series) -> pd.DataFrame:
-            s = score(rows_to_matrix(x))
+            s = FORMS[form](arrays, rows_to_matrix(x))
             if classes is None:
                 return pd.DataFrame({"prediction": s, "probability": [None] * len(s)})
             e = np.exp(s - s.max(axis=1, keepdims=True))
@@ -73,7 +84,7 @@ class MatrixModel:
 
 
 def _linear(name: str, beta: np.ndarray, intercept: float) -> MatrixModel:
-    return MatrixModel(name, lambda x: x @ beta + intercept, None, np.abs(beta))
+    return MatrixModel(name, "linear", {"slope": np.asarray(beta, float), "constant": np.float64(intercept)}, None, np.abs(beta))
 
 
 def _moments(m: np.ndarray):
@@ -186,7 +197,7 @@ def fit_ridge_classifier(df: DataFrame, classes: list[float], alpha: float = 1.0
         weights.append(w)
         constants.append(my - mean @ w)
     w, c = np.array(weights).T, np.array(constants)
-    return MatrixModel("ridge classifier", lambda x: x @ w + c, classes, np.abs(w).mean(axis=1))
+    return MatrixModel("ridge classifier", "linear", {"slope": w, "constant": c}, classes, np.abs(w).mean(axis=1))
 
 
 def fit_discriminant(df: DataFrame, classes: list[float], quadratic: bool = False, shrink: float = 1e-9) -> MatrixModel:
@@ -207,7 +218,7 @@ def fit_discriminant(df: DataFrame, classes: list[float], quadratic: bool = Fals
         inverse = np.linalg.pinv(pooled, rcond=shrink, hermitian=True)
         w = inverse @ means.T
         c = -0.5 * np.einsum("ij,jk,ik->i", means, inverse, means) + np.log(priors)
-        return MatrixModel("lda", lambda x: x @ w + c, classes, np.abs(w).mean(axis=1))
+        return MatrixModel("lda", "linear", {"slope": w, "constant": c}, classes, np.abs(w).mean(axis=1))
     parts = []
     for mean, cov, prior in zip(means, covs, priors):
         cov = cov / max(prior * n - 1, 1.0)
@@ -216,13 +227,11 @@ def fit_discriminant(df: DataFrame, classes: list[float], quadratic: bool = Fals
         root = vectors / np.sqrt(values)
         parts.append((mean, root, -0.5 * np.log(values).sum() + np.log(prior)))
 
-    def score(x: np.ndarray) -> np.ndarray:
-        return np.column_stack([c - 0.5 * (((x - m) @ r) ** 2).sum(axis=1) for m, r, c in parts])
-
-    return MatrixModel("qda", score, classes)
+    means, roots, constants = (np.array(p) for p in zip(*parts))
+    return MatrixModel("qda", "quadratic", {"means": means, "roots": roots, "constant": constants}, classes)
 
 
-def fit_ransac(df: DataFrame, trials: int = 100, seed: int = 42) -> MatrixModel:
+def fit_ransac(df: DataFrame, trials: int = 100, seed: int = 42, max_features: int = 500) -> MatrixModel:
     """Candidate lines through small random row sets, judged by inliers in one scan, refitted on those.
 
     A row is an inlier when its residual is within the median absolute deviation of
@@ -235,8 +244,8 @@ def fit_ransac(df: DataFrame, trials: int = 100, seed: int = 42) -> MatrixModel:
     limit = exact_quantiles(spread, ["d"], [0.5])["d"][0]
     base = df.select(vector_to_array("features").alias("x"), F.col("label").cast("double").alias("label"))
     width = len(base.first()["x"])
-    if width > 500:
-        raise ValueError("too many features for candidate lines; use the huber model")
+    if width > max_features:  # every trial draws a row for each feature
+        raise ValueError(f"more than {max_features} features for candidate lines; use the huber model")
     need = trials * (width + 1)
     drawn = base.orderBy(F.xxhash64("x", "label", F.lit(seed))).limit(need).collect()
     x = np.array([r["x"] for r in drawn])
@@ -259,7 +268,7 @@ def fit_ransac(df: DataFrame, trials: int = 100, seed: int = 42) -> MatrixModel:
 
     best = base.mapInPandas(tally, "i int, n double").groupBy("i").agg(F.sum("n").alias("n")).orderBy(F.col("n").desc(), "i").first()["i"]
     line = lines[best]
-    chosen = MatrixModel("candidate", lambda m: m @ line[1:] + line[0], None)
+    chosen = MatrixModel("candidate", "linear", {"slope": line[1:], "constant": line[0]}, None)
     inliers = chosen.transform(df.drop("prediction")).where(F.abs(F.col("prediction") - F.col("label")) <= limit).drop("prediction")
     _, mx, my, a, b, _ = _moments(cross_products(inliers)[0.0])
     beta = np.linalg.lstsq(a, b, rcond=1e-10)[0]

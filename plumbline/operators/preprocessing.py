@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions import columns as C
 from plumbline.functions.distributions import normal_ppf
+from plumbline.ml.isolation import IsolationForest, fit_isolation_forest
 from plumbline.operators.association import covariance
 from plumbline.operators.cleaning import _set, iqr_fences, most_frequent, treat_outliers
 from plumbline.operators.features import value_codes, value_columns
@@ -38,15 +39,21 @@ def settle(table: DataFrame) -> DataFrame:
 
 @dataclass
 class Step:
-    """One fitted step: its name, the columns it touches, its fitted numbers and its effect."""
+    """One fitted step: its name, the columns it touches, which of ``EFFECTS`` it has, and what was fitted (numbers, a value table, a forest)."""
 
     name: str
     columns: list[str]
-    apply: Callable[[DataFrame], DataFrame]
-    values: dict = field(default_factory=dict)
+    kind: str
+    state: dict = field(default_factory=dict)
+    table: DataFrame | None = None
+    forest: IsolationForest | None = None
 
     def transform(self, df: DataFrame) -> DataFrame:
-        return self.apply(df)
+        return EFFECTS[self.kind](df, self)
+
+    @property
+    def values(self) -> dict:
+        return self.state.get("values", {})
 
 
 # ---- imputation ---------------------------------------------------------------------------
@@ -55,13 +62,7 @@ def fit_impute(df: DataFrame, strategy: str = "auto", cols: list[str] | None = N
     """drop, mean, median, mode; auto is median for numbers and mode for the rest."""
     cols = cols or [f.name for f in df.schema if not isinstance(f.dataType, C.NESTED)]
     if strategy == "drop":
-        def drop(t: DataFrame) -> DataFrame:
-            keep = F.lit(True)
-            for c in cols:
-                keep = keep & ~C.is_null(t, c)
-            return t.where(keep)
-
-        return Step("impute_drop", cols, drop)
+        return Step("impute_drop", cols, "drop")
     numeric = [c for c in cols if c in C.numeric_columns(df)]
     values: dict[str, object] = {}
     if strategy in ("auto", "median"):
@@ -76,12 +77,20 @@ def fit_impute(df: DataFrame, strategy: str = "auto", cols: list[str] | None = N
             values[c] = most_frequent(df, c)
     values = {c: v for c, v in values.items() if v is not None}
 
-    def fill(t: DataFrame) -> DataFrame:
-        return _set(t, {c: F.when(C.is_null(t, c), F.lit(v)).otherwise(
-            C.as_number(t, c) if isinstance(v, float) and c in C.numeric_columns(t) else C.quoted(c))
-            for c, v in values.items() if c in t.columns})
+    return Step(f"impute_{strategy}", list(values), "fill", {"values": values})
+
 
-    return Step(f"impute_{strategy}", list(values), fill, values)
+def _drop(t: DataFrame, step: Step) -> DataFrame:
+    keep = F.lit(True)
+    for c in step.columns:
+        keep = keep & ~C.is_null(t, c)
+    return t.where(keep)
+
+
+def _fill(t: DataFrame, step: Step) -> DataFrame:
+    return _set(t, {c: F.when(C.is_null(t, c), F.lit(v)).otherwise(
+        C.as_number(t, c) if isinstance(v, float) and c in C.numeric_columns(t) else C.quoted(c))
+        for c, v in step.values.items() if c in t.columns})
 
 
 def fit_impute_iterative(df: DataFrame, cols: list[str], rounds: int = 10, ridge: float = 1e-3, tol: float = 1e-3) -> Step:
@@ -94,48 +103,53 @@ def fit_impute_iterative(df: DataFrame, cols: list[str], rounds: int = 10, ridge
     p = profiled(df.select(*[C.quoted(c) for c in cols]))
     means = {c: p.moments[c]["mean"] or 0.0 for c in cols}
     gaps = [c for c in cols if p.missing[c]]
-    weights = {c: (means[c], {}) for c in gaps}
+    weights: dict[str, list] = {c: [means[c], {}] for c in gaps}
+    fitted = Step("impute_iterative", gaps, "regress", {"means": means, "weights": weights})
     history = [means[c] for c in gaps]
 
-    def filled(t: DataFrame) -> DataFrame:
-        base = t.withColumns({f"_f{i}": F.coalesce(C.as_number(t, c), F.lit(means[c])) for i, c in enumerate(cols)})
-        out = {}
-        for c in gaps:
-            constant, slopes = weights[c]
-            guess = F.lit(float(constant))
-            for o, w in slopes.items():
-                guess = guess + F.lit(float(w)) * F.col(f"_f{cols.index(o)}")
-            out[c] = F.coalesce(C.as_number(t, c), guess)
-        return base.withColumns(out).drop(*[f"_f{i}" for i in range(len(cols))])
-
     for _ in range(rounds if gaps else 0):
-        _, mu, cov = covariance(filled(df).select(*[C.quoted(c) for c in cols]), cols)
+        _, mu, cov = covariance(fitted.transform(df).select(*[C.quoted(c) for c in cols]), cols)
         for c in gaps:
             i = cols.index(c)
             others = [j for j in range(len(cols)) if j != i]
             a = cov[np.ix_(others, others)]
             slope = np.linalg.solve(a + ridge * np.diag(np.maximum(np.diag(a), 1e-12)), cov[others, i])
-            weights[c] = (mu[i] - slope @ mu[others], {cols[j]: s for j, s in zip(others, slope)})
+            weights[c] = [float(mu[i] - slope @ mu[others]), {cols[j]: float(s) for j, s in zip(others, slope)}]
         now = [weights[c][0] for c in gaps]
         if all(abs(a - b) <= tol * max(1.0, abs(a)) for a, b in zip(now, history)):
             break
         history = now
-    return Step("impute_iterative", gaps, filled, {c: weights[c][0] for c in gaps})
+    fitted.state["values"] = {c: weights[c][0] for c in gaps}
+    return fitted
+
+
+def _regress(t: DataFrame, step: Step) -> DataFrame:
+    means, weights = step.state["means"], step.state["weights"]
+    helper = {c: f"__plumb_f{i}" for i, c in enumerate(means)}
+    base = t.withColumns({helper[c]: F.coalesce(C.as_number(t, c), F.lit(m)) for c, m in means.items()})
+    out = {}
+    for c, (constant, slopes) in weights.items():
+        guess = F.lit(float(constant))
+        for o, w in slopes.items():
+            guess = guess + F.lit(float(w)) * F.col(helper[o])
+        out[c] = F.coalesce(C.as_number(t, c), guess)
+    return base.withColumns(out).drop(*helper.values())
 
 
 def fit_impute_knn(df: DataFrame, cols: list[str] | None = None, k: int = 5) -> Step:
     """Gaps of any table get the mean of the k nearest complete rows of the fitted one."""
-    from plumbline.ml.neighbors import impute_knn
-
     cols = cols or C.numeric_columns(df)
     complete = df.select(*[C.as_number(df, c).alias(c) for c in cols]).dropna()
     donors = cut_lineage(complete.withColumn(ROW_ID, F.monotonically_increasing_id()))
 
-    def fill(t: DataFrame) -> DataFrame:
-        marked = cut_lineage(t.withColumn(ROW_ID, F.monotonically_increasing_id()))
-        return impute_knn(marked, cols, ROW_ID, k, donors).drop(ROW_ID)
+    return Step("impute_knn", cols, "knn", {"k": k}, donors)
 
-    return Step("impute_knn", cols, fill)
+
+def _knn(t: DataFrame, step: Step) -> DataFrame:
+    from plumbline.ml.neighbors import impute_knn
+
+    marked = cut_lineage(t.withColumn(ROW_ID, F.monotonically_increasing_id()))
+    return impute_knn(marked, step.columns, ROW_ID, step.state["k"], step.table).drop(ROW_ID)
 
 
 # ---- outliers -----------------------------------------------------------------------------
@@ -147,22 +161,18 @@ ROW_ID = "__plumb_row"
 def fit_outliers(df: DataFrame, method: str = "clip", cols: list[str] | None = None) -> Step:
     cols = cols or C.numeric_columns(df)
     if method == "winsorize":
-        limits = winsor_limits(df, cols)
-
-        def squeeze(t: DataFrame) -> DataFrame:
-            return treat_outliers(t, action="clip", fences=limits)
-
-        return Step("winsorize", cols, squeeze, limits)
+        return Step("winsorize", cols, "fences", {"action": "clip", "values": winsor_limits(df, cols)})
     if method == "isolation_forest":
-        from plumbline.ml.isolation import fit_isolation_forest
-
         # A row is told by its values: equal rows are scored alike.
         forest = fit_isolation_forest(df.withColumn(ROW_ID, F.xxhash64(*[C.quoted(c) for c in cols])), cols, ROW_ID)
-        return Step("outliers_isolation_forest", cols, lambda t: forest.transform(t, "remove"), {"threshold": forest.threshold})
+        return Step("outliers_isolation_forest", cols, "isolation", {"values": {"threshold": forest.threshold}}, forest=forest)
     if method not in ("clip", "remove"):
         raise ValueError(f"unknown outlier method {method!r}: use clip, remove, winsorize or isolation_forest")
-    fences = iqr_fences(df, cols)
-    return Step(f"outliers_{method}", cols, lambda t: treat_outliers(t, action=method, fences=fences), fences)
+    return Step(f"outliers_{method}", cols, "fences", {"action": method, "values": iqr_fences(df, cols)})
+
+
+def _fences(t: DataFrame, step: Step) -> DataFrame:
+    return treat_outliers(t, action=step.state["action"], fences={c: tuple(v) for c, v in step.values.items()})
 
 
 def winsor_limits(df: DataFrame, cols: list[str], limits: tuple[float, float] = (0.05, 0.05)) -> dict[str, tuple[float, float]]:
@@ -184,8 +194,9 @@ def winsorize(df: DataFrame, cols: list[str], limits: tuple[float, float] = (0.0
 # ---- encoding -----------------------------------------------------------------------------
 
 def fit_encode(df: DataFrame, cols: list[str], method: str = "auto", target: str | None = None,
-               max_onehot: int = 10) -> list[Step]:
-    """label, onehot, frequency, target; auto is one-hot up to ten values, else label."""
+               max_onehot: int = 10, max_columns: int = 200) -> list[Step]:
+    """label, onehot, frequency, target; auto is one-hot up to ``max_onehot`` values, else label. A one-hot column of more than
+    ``max_columns`` values is refused."""
     steps = []
     for c in cols:
         kind = method
@@ -193,7 +204,7 @@ def fit_encode(df: DataFrame, cols: list[str], method: str = "auto", target: str
             few = distinct_upto(df, {c: C.quoted(c)}, max_onehot + 1)[c]
             kind = "onehot" if few <= max_onehot else "label"
         if kind == "onehot":
-            steps.append(_fit_onehot(df, c))
+            steps.append(_fit_onehot(df, c, max_columns))
             continue
         if kind == "label":
             table = value_codes(df, c).withColumn("code", F.col("code").cast("double"))
@@ -213,26 +224,29 @@ def fit_encode(df: DataFrame, cols: list[str], method: str = "auto", target: str
 
 
 def _lookup_step(name: str, c: str, table: DataFrame, unseen: float = 0.0) -> Step:
-    def apply(t: DataFrame) -> DataFrame:
-        named = table.withColumnRenamed("code", "_code")
-        return _set(lookup_join(t, named, c, ["_code"]), {c: F.coalesce(F.col("_code"), F.lit(unseen))}).drop("_code")
+    return Step(name, [c], "lookup", {"unseen": unseen}, table)
+
 
-    return Step(name, [c], apply)
+def _lookup(t: DataFrame, step: Step) -> DataFrame:
+    (c,) = step.columns
+    joined = lookup_join(t, step.table.withColumnRenamed("code", "_code"), c, ["_code"])
+    return _set(joined, {c: F.coalesce(F.col("_code"), F.lit(step.state["unseen"]))}).drop("_code")
 
 
-def _fit_onehot(df: DataFrame, c: str, limit: int = 200) -> Step:
+def _fit_onehot(df: DataFrame, c: str, limit: int) -> Step:
     """0/1 columns for all values of a column; more than ``limit`` values are refused, as each makes a column."""
     found = df.where(C.quoted(c).isNotNull()).select(C.quoted(c).cast("string").alias("v")).distinct().orderBy("v").limit(limit + 1).collect()
     if len(found) > limit:
         raise ValueError(f"column {c!r} has more than {limit} values: use label, frequency or target encoding")
     values = [r["v"] for r in found]
 
-    def apply(t: DataFrame) -> DataFrame:
-        names = value_columns(c, values, df.columns)
-        made = {n: F.coalesce((C.quoted(c).cast("string") == F.lit(v)).cast("int"), F.lit(0)) for n, v in zip(names, values)}
-        return t.withColumns(made).drop(c)
+    return Step("encode_onehot", [c], "onehot", {"values": {c: values}, "names": value_columns(c, values, df.columns)})
 
-    return Step("encode_onehot", [c], apply, {c: values})
+
+def _onehot(t: DataFrame, step: Step) -> DataFrame:
+    (c,) = step.columns
+    made = {n: F.coalesce((C.quoted(c).cast("string") == F.lit(v)).cast("int"), F.lit(0)) for n, v in zip(step.state["names"], step.values[c])}
+    return t.withColumns(made).drop(c)
 
 
 def target_encode_out_of_fold(df: DataFrame, col: str, target: str, id_col: str, folds: int = 5, seed: int = 42,
@@ -283,21 +297,23 @@ def fit_scale(df: DataFrame, cols: list[str] | None = None, method: str = "stand
     cols = cols or C.numeric_columns(df)
     if method == "quantile":
         return fit_quantile_normal(df, cols)
-    factors = scale_factors(df, cols, method)
+    return Step(f"scale_{method}", cols, "scale", {"values": scale_factors(df, cols, method)})
 
-    def apply(t: DataFrame) -> DataFrame:
-        return _set(t, {c: (C.as_number(t, c) - F.lit(a)) / F.lit(b) for c, (a, b) in factors.items()})
 
-    return Step(f"scale_{method}", cols, apply, factors)
+def _scale(t: DataFrame, step: Step) -> DataFrame:
+    return _set(t, {c: (C.as_number(t, c) - F.lit(a)) / F.lit(b) for c, (a, b) in step.values.items()})
 
 
 def fit_quantile_normal(df: DataFrame, cols: list[str], points: int = 1000) -> Step:
     """Empirical distribution on a quantile grid, then the normal quantile function."""
     probs = [i / (points - 1) for i in range(points)]
-    grids = {c: np.array(q, dtype=float) for c, q in exact_quantiles(df, cols, probs).items() if q[0] is not None}
+    grids = {c: [float(v) for v in q] for c, q in exact_quantiles(df, cols, probs).items() if q[0] is not None}
+    return Step("scale_quantile", list(grids), "normal", {"grids": grids})
+
 
+def _normal(t: DataFrame, step: Step) -> DataFrame:
     def share_of(grid: np.ndarray):
-        reference = np.array(probs)
+        reference = np.arange(len(grid)) / (len(grid) - 1)
 
         @F.pandas_udf("double")
         def share(x: pd.Series) -> pd.Series:
@@ -309,12 +325,16 @@ def fit_quantile_normal(df: DataFrame, cols: list[str], points: int = 1000) -> S
 
         return share
 
-    def apply(t: DataFrame) -> DataFrame:
-        edge = 1e-7
-        return _set(t, {c: normal_ppf(F.least(F.greatest(share_of(g)(C.as_number(t, c)), F.lit(edge)), F.lit(1 - edge)))
-                        for c, g in grids.items()})
+    edge = 1e-7
+    return _set(t, {c: normal_ppf(F.least(F.greatest(share_of(np.array(g, float))(C.as_number(t, c)), F.lit(edge)), F.lit(1 - edge)))
+                    for c, g in step.state["grids"].items()})
+
 
-    return Step("scale_quantile", list(grids), apply)
+#: What a step does to a table, by kind.
+EFFECTS: dict[str, Callable[[DataFrame, Step], DataFrame]] = {
+    "drop": _drop, "fill": _fill, "regress": _regress, "knn": _knn, "fences": _fences, "isolation": lambda t, step: step.forest.transform(t, "remove"),
+    "lookup": _lookup, "onehot": _onehot, "scale": _scale, "normal": _normal,
+}
 
 
 # ---- selection ----------------------------------------------------------------------------
@@ -346,7 +366,8 @@ class Preprocessor:
         return df if self.kept is None else df.select(*[C.quoted(c) for c in self.kept if c in df.columns])
 
     def report(self, spark) -> DataFrame:
-        rows = [{"position": i, "step": s.name, "columns": ", ".join(s.columns), "values": str(s.values) if s.values else None}
+        plain = lambda v: tuple(v) if isinstance(v, list) and len(v) == 2 else v  # noqa: E731  a pair, also after loading
+        rows = [{"position": i, "step": s.name, "columns": ", ".join(s.columns), "values": str({c: plain(v) for c, v in s.values.items()}) if s.values else None}
                 for i, s in enumerate(self.steps)]
         return rows_frame(spark, rows, "position int, step string, columns string, values string")
 
