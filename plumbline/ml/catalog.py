@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 
 from plumbline.ml import boosting, linear
 from plumbline.ml.neighbors import NeighborModel
+from plumbline.ml.sgd import fit_sgd_classifier
 
 
 @dataclass
@@ -112,7 +113,7 @@ CATALOG: dict[str, Entry] = {
     "ransac": Entry("robust", NUMBERS, lambda df, ctx: linear.fit_ransac(df, seed=ctx.seed, **ctx.params)),
     "logistic regression": Entry("linear", CLASSES, _logistic, {"regParam": [0.0, 0.001, 0.01, 0.1]}),
     "ridge classifier": Entry("linear", CLASSES, lambda df, ctx: linear.fit_ridge_classifier(df, ctx.classes, **ctx.params), {"alpha": [0.1, 1.0, 10.0]}),
-    "sgd classifier": Entry("linear", CLASSES, _svc, {"regParam": [0.0001, 0.001, 0.01]}),
+    "sgd classifier": Entry("linear", CLASSES, lambda df, ctx: fit_sgd_classifier(df, ctx.classes, **ctx.params), {"alpha": [0.0001, 0.001, 0.01], "loss": ["hinge", "log"]}),
     "linear svc": Entry("svm", CLASSES, _svc, {"regParam": [0.001, 0.01, 0.1]}),
     "decision tree": Entry("tree", BOTH, _tree(DecisionTreeClassifier, DecisionTreeRegressor, maxDepth=8),
                            {"maxDepth": [5, 10, 20], "minInstancesPerNode": [1, 2, 4]}),

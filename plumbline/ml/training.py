@@ -11,7 +11,6 @@ from itertools import product
 import numpy as np
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import FeatureHasher, OneHotEncoder, SQLTransformer, StandardScaler, StringIndexer, VectorAssembler
-from pyspark.ml.util import MLWritable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,7 +23,6 @@ from plumbline.plans.sampling import mark_per_class
 
 log = logging.getLogger(__name__)
 
-MAX_ONEHOT = 500
 HASH_WIDTH = 4096
 
 
@@ -63,11 +61,16 @@ def split(df: DataFrame, target: str | None, test_size: float = 0.2, seed: int =
     return marked.withColumnRenamed("_taken", "is_test")
 
 
-def feature_pipeline(df: DataFrame, features: list[str], fill: str = "median", encode: str = "onehot", scale: bool = True) -> Pipeline:
-    """Numbers are filled, texts coded (hashed beyond 500 values), all assembled and scaled.
+def feature_pipeline(df: DataFrame, features: list[str], fill: str = "median", encode: str = "onehot", scale: bool = True, centre: bool = True,
+                     hash_width: int = HASH_WIDTH) -> Pipeline:
+    """Numbers are filled, texts coded, all assembled and scaled.
 
-    Only Spark ML stages, so the fitted pipeline can be saved.
+    ``encode``: ``onehot``, a slot per value however many there are; ``ordinal``, one slot; ``hash``, ``hash_width`` slots that all
+    texts share. ``centre`` takes the mean off every slot and so fills the vectors; turn it off where codes are wide. Hashed
+    slots are never centred. Only Spark ML stages, so the fitted pipeline can be saved.
     """
+    if encode not in ("onehot", "ordinal", "hash"):
+        raise ValueError(f"unknown encoding {encode!r}: use onehot, ordinal or hash")
     numeric = [c for c in features if c in C.numeric_columns(df)]
     times = [c for c in features if c in C.datetime_columns(df)]
     text = [c for c in features if c not in numeric + times]
@@ -83,7 +86,7 @@ def feature_pipeline(df: DataFrame, features: list[str], fill: str = "median", e
             inputs.append(f"_n{i}")
         else:
             selected.append(f"coalesce(cast({name} as string), '<missing>') as _s{i}")
-            if distinct_upto(df, {c: C.quoted(c)}, MAX_ONEHOT + 1)[c] > MAX_ONEHOT:
+            if encode == "hash":
                 hashed.append(f"_s{i}")
             else:
                 stages.append(StringIndexer(inputCol=f"_s{i}", outputCol=f"_i{i}", handleInvalid="keep", stringOrderType="alphabetAsc"))
@@ -91,11 +94,11 @@ def feature_pipeline(df: DataFrame, features: list[str], fill: str = "median", e
                     stages.append(OneHotEncoder(inputCol=f"_i{i}", outputCol=f"_o{i}", dropLast=True, handleInvalid="keep"))
                 inputs.append(f"_o{i}" if encode == "onehot" else f"_i{i}")
     if hashed:
-        stages.append(FeatureHasher(inputCols=hashed, outputCol="_hashed", numFeatures=HASH_WIDTH))
+        stages.append(FeatureHasher(inputCols=hashed, outputCol="_hashed", numFeatures=hash_width))
         inputs.append("_hashed")
     first = SQLTransformer(statement=f"SELECT *, {', '.join(selected)} FROM __THIS__")
     assembler = VectorAssembler(inputCols=inputs, outputCol="_raw" if scale else "features")
-    tail = [StandardScaler(inputCol="_raw", outputCol="features", withMean=not hashed, withStd=True)] if scale else []
+    tail = [StandardScaler(inputCol="_raw", outputCol="features", withMean=centre and not hashed, withStd=True)] if scale else []
     return Pipeline(stages=[first, *stages, assembler, *tail])
 
 
@@ -141,21 +144,21 @@ class Prepared:
     """A split table turned into label and feature vectors, kept for many fits."""
 
     def __init__(self, df: DataFrame, target: str, features: list[str] | None, task: str, test_size: float, seed: int,
-                 id_col: str, encode: str = "onehot", fill: str = "median", is_test: str | None = None):
-        """``is_test``: a boolean column with a split already made; else one is made."""
+                 id_col: str, encode: str = "onehot", fill: str = "median", is_test: str | None = None, centre: bool = True, max_classes: int = 1000):
+        """``is_test``: a boolean column with a split already made; else one is made. More than ``max_classes`` classes are refused."""
         self.target, self.seed, self.id_col = target, seed, id_col
         self.features = features or [f.name for f in df.schema if f.name not in (target, id_col, is_test) and not isinstance(f.dataType, C.NESTED)]
         self.task = detect_task_name(df, target) if task == "auto" else task
         self.labels = None
         if self.task == "classification":
-            found = df.select(F.coalesce(C.quoted(target).cast("string"), F.lit("<missing>")).alias("v")).distinct().orderBy("v").limit(1001).collect()
-            if len(found) > 1000:
-                raise ValueError(f"{target!r} has more than 1000 classes")
+            found = df.select(F.coalesce(C.quoted(target).cast("string"), F.lit("<missing>")).alias("v")).distinct().orderBy("v").limit(max_classes + 1).collect()
+            if len(found) > max_classes:
+                raise ValueError(f"{target!r} has more than {max_classes} classes")
             self.labels = [r["v"] for r in found]
         labelled = _labelled(df, target, self.task, self.labels, id_col)
         marked = labelled.withColumn("is_test", C.quoted(is_test)) if is_test else split(labelled, target if self.labels else None, test_size, seed, id_col)
         train = marked.where(~F.col("is_test"))
-        self.prep = feature_pipeline(train, self.features, fill, encode).fit(train)
+        self.prep = feature_pipeline(train, self.features, fill, encode, centre=centre).fit(train)
         vectors = self.prep.transform(marked)
         self.slots = feature_names(vectors, self.features)
         self.vectors = vectors.select("_row_id", "label", "features", "is_test").persist()
@@ -192,9 +195,9 @@ def evaluate(model, rows: DataFrame, task: str) -> dict[str, float]:
 
 
 def train(df: DataFrame, target: str, model: str, features: list[str] | None = None, task: str = "auto", test_size: float = 0.2,
-          seed: int = 42, id_col: str = "id", params: dict | None = None) -> tuple[Bundle, DataFrame]:
-    """(fitted bundle, held-out metrics) of one named model."""
-    with Prepared(df, target, features, task, test_size, seed, id_col) as ready:
+          seed: int = 42, id_col: str = "id", params: dict | None = None, **preparing) -> tuple[Bundle, DataFrame]:
+    """(fitted bundle, held-out metrics) of one named model; ``preparing``: encode, fill, centre and max_classes of ``Prepared``."""
+    with Prepared(df, target, features, task, test_size, seed, id_col, **preparing) as ready:
         fitted = _entry(model, ready.task).fit(ready.train, ready.context(params))
         scores = evaluate(fitted, ready.test, ready.task)
         bundle = ready.bundle(model, fitted)
@@ -387,17 +390,26 @@ def forest_importance(df: DataFrame, target: str, features: list[str] | None = N
     return rows_frame(df.sparkSession, sorted(out, key=lambda r: -r["importance"]), "feature string, importance double")
 
 
-def explain(bundle: Bundle, df: DataFrame, id_col: str = "id", k: int = 20, seed: int = 42) -> DataFrame:
+def explain(bundle: Bundle, df: DataFrame, id_col: str = "id", k: int = 20, seed: int = 42, method: str | None = None) -> DataFrame:
     """Mean absolute contribution per feature.
 
-    Linear models: the exact mean of |coefficient times distance from the feature mean|. Others:
+    Linear models: the exact mean of |coefficient times distance from the feature mean|. Trees and sums of trees:
+    the exact mean of |Shapley value|, over all outputs but the first of two classes. Others, or with ``method="permutation"``:
     loss of score when one feature is permuted.
     """
     ready = df.withColumn("_row_id", C.quoted(id_col))
+    if method not in (None, "permutation"):
+        raise ValueError(f"unknown method {method!r}")
+    if method is None:
+        values = shap_values(bundle, df, id_col)
+        if values is not None:
+            each = values.select(F.posexplode("contributions").alias("i", "v")).groupBy("i").agg(F.avg(F.abs("v")).alias("contribution"))
+            names = F.from_json(F.lit(json.dumps(bundle.slots)), "array<string>")
+            return each.select(F.get(names, F.col("i")).alias("feature"), "contribution", F.lit("tree_shap").alias("method")).orderBy(F.desc("contribution"), "feature").limit(k)
     weights = _weights(bundle.model)
     many = getattr(bundle.model, "numClasses", 2) > 2
     plain = (not many and hasattr(bundle.model, "coefficients")) or (getattr(bundle.model, "classes", 0) is None and getattr(bundle.model, "weights", None) is not None)
-    if plain and weights is not None:
+    if method is None and plain and weights is not None:
         from pyspark.ml.functions import vector_to_array
 
         x = bundle.prep.transform(ready).select(vector_to_array("features").alias("x"))
@@ -418,6 +430,18 @@ def explain(bundle: Bundle, df: DataFrame, id_col: str = "id", k: int = 20, seed
     return rows_frame(df.sparkSession, rows[:k], "feature string, contribution double, method string")
 
 
+def shap_values(bundle: Bundle, df: DataFrame, id_col: str = "id") -> DataFrame | None:
+    """Shapley values of every row under a tree model: the id, output, base, contributions, total. None for other models. Of two
+    classes the second is given."""
+    from plumbline.ml.tree_shap import adds_up, tree_shap
+
+    if not adds_up(bundle.model):
+        return None
+    vectors = bundle.prep.transform(df.withColumn("_row_id", C.quoted(id_col))).select("_row_id", "features")
+    values = tree_shap(bundle.model, vectors)
+    return values.where("output <> 'p_0'") if bundle.labels is not None and len(bundle.labels) == 2 else values
+
+
 def permuted(df: DataFrame, col: str, id_col: str, seed: int) -> DataFrame:
     """The table with one column permuted: row i of one hash order gets the value of row i of another."""
     from plumbline.plans.ranks import cumulative
@@ -467,23 +491,17 @@ def describe_model(bundle: Bundle, spark) -> DataFrame:
 
 
 def save_model(bundle: Bundle, path: str, spark) -> str:
-    """Spark ML model, preparation pipeline and one metadata row under one folder."""
-    if not isinstance(bundle.model, MLWritable):
-        raise ValueError(f"model {bundle.name!r} is not a Spark ML model and cannot be saved")
+    """Model, preparation pipeline and one metadata row under one folder; every model of the catalogue can be saved."""
+    from plumbline.ml.storage import save
+
     bundle.prep.write().save(f"{path}/prep")
-    bundle.model.write().save(f"{path}/model")
-    kind = type(bundle.model)
-    describe_model(bundle, spark).withColumn("model_class", F.lit(f"{kind.__module__}.{kind.__name__}")).coalesce(1).write.json(f"{path}/meta")
+    save(bundle.model, f"{path}/model", spark)
+    describe_model(bundle, spark).coalesce(1).write.json(f"{path}/meta")
     return path
 
 
 def load_model(path: str, spark) -> Bundle:
-    import importlib
-
-    meta = spark.read.schema("name string, task string, target string, features array<string>, labels array<string>, "
-                             "slots array<string>, model_class string").json(f"{path}/meta").first()
-    module, _, name = meta["model_class"].rpartition(".")
-    if not module.startswith("pyspark.ml"):
-        raise ValueError(f"refusing to load {meta['model_class']}")
-    model = getattr(importlib.import_module(module), name).load(f"{path}/model")
-    return Bundle(meta["name"], meta["task"], meta["target"], meta["features"], PipelineModel.load(f"{path}/prep"), model, meta["labels"], meta["slots"])
+    from plumbline.ml.storage import load
+
+    meta = spark.read.schema("name string, task string, target string, features array<string>, labels array<string>, slots array<string>").json(f"{path}/meta").first()
+    return Bundle(meta["name"], meta["task"], meta["target"], meta["features"], PipelineModel.load(f"{path}/prep"), load(f"{path}/model", spark), meta["labels"], meta["slots"])
