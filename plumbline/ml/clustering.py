@@ -4,60 +4,103 @@ from __future__ import annotations
 
 import re
 
-from pyspark.ml.clustering import BisectingKMeans, KMeans
+from pyspark.ml import PipelineModel
+from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.evaluation import ClusteringEvaluator
-from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions import columns as C
-from plumbline.ml.dbscan import dbscan
+from plumbline.ml.dbscan import assign, core_points
+from plumbline.ml.neighbors import nearest
 from plumbline.ml.training import feature_pipeline
+from plumbline.ml.ward import ward
 from plumbline.operators.merging import infer_roles
 from plumbline.plans.frames import cut_lineage, rows_frame
+from plumbline.plans.ranks import cumulative
 
 
-def cluster(df: DataFrame, cols: list[str], algorithm: str = "kmeans", k: int = 3, eps: float = 0.5, min_samples: int = 5,
-            id_col: str = "id", restarts: int = 10, seed: int = 42) -> tuple[DataFrame, DataFrame]:
-    """(rows with a ``cluster`` column, metrics).
+class ClusterModel:
+    """Fitted clusters that can be given to any rows.
 
-    Columns are coded, filled with zero and standardised. ``kmeans`` keeps the best of the
-    restarts, ``agglomerative`` is served by bisecting k-means, ``dbscan`` is exact with
-    noise as -1.
+    ``kmeans``: the nearest centre. ``dbscan``: a core point within reach, else -1. ``agglomerative``: the nearest of the fitted rows. Rows
+    that were fitted get the clusters they had.
     """
-    prep = feature_pipeline(df, cols, fill="zero").fit(df)
-    kept = prep.transform(df).select(C.quoted(id_col), "features").persist()
-    vectors = kept
-    try:
-        inertia = None
-        if algorithm == "dbscan":
-            width = len(vectors.first()["features"])
+
+    def __init__(self, algorithm: str, prep: PipelineModel, model: KMeansModel | None = None, points: DataFrame | None = None, eps: float | None = None,
+                 inertia: float | None = None):
+        self.algorithm, self.prep, self.model, self.points, self.eps, self.inertia = algorithm, prep, model, points, eps, inertia
+
+    def label(self, vectors: DataFrame, id_col: str) -> DataFrame:
+        """(id_col, features, cluster) of rows with a ``features`` vector."""
+        if self.algorithm == "kmeans":
+            return self.model.transform(vectors).withColumnRenamed("prediction", "cluster").select(C.quoted(id_col), "features", "cluster")
+        if self.algorithm == "dbscan":
+            names = [c for c in self.points.columns if c not in ("cell", "cluster")]
             flat = vectors.select(C.quoted(id_col), vector_to_array("features").alias("a"))
-            names = [f"x{i}" for i in range(width)]
-            points = flat.select(C.quoted(id_col), *[F.col("a")[i].alias(n) for i, n in enumerate(names)])
-            labels = cut_lineage(dbscan(points, names, eps, min_samples).select(C.quoted(id_col), "cluster"))
-            scored = vectors.join(labels, id_col)
-        else:
-            count = max(2, k)
-            if algorithm == "kmeans":
-                models = [KMeans(k=count, seed=seed + i).fit(vectors) for i in range(restarts)]
-                model = min(models, key=lambda m: m.summary.trainingCost)
-            elif algorithm == "agglomerative":
-                # The estimator splits a centre by noise in proportion to its norm, which is zero
-                # for centred data; a constant coordinate gives it a norm and changes no distance.
-                raised = VectorAssembler(inputCols=["features", "_one"], outputCol="_raised").transform(vectors.withColumn("_one", F.lit(1.0)))
-                model = BisectingKMeans(k=count, seed=seed, featuresCol="_raised").fit(raised)
-                vectors = raised
-            else:
-                raise ValueError(f"unknown algorithm {algorithm!r}")
-            inertia = float(model.summary.trainingCost)
-            scored = model.transform(vectors).withColumnRenamed("prediction", "cluster")
-        quality = cluster_quality(scored, inertia, algorithm)
-        out = df.join(scored.select(C.quoted(id_col), "cluster"), id_col, "left")
-    finally:
-        kept.unpersist()
-    return out, quality
+            found = assign(flat.select(C.quoted(id_col), *[F.col("a")[i].alias(n) for i, n in enumerate(names)]), self.points, names, self.eps)
+            return vectors.join(cut_lineage(found.select(C.quoted(id_col), "cluster")), id_col)
+        # Equal rows are looked up once; fitted ones need no search.
+        keyed = vectors.withColumn("x", vector_to_array("features"))
+        known = keyed.join(self.points.select("x", "cluster"), "x").select(C.quoted(id_col), "features", "cluster")
+        fresh = cut_lineage(keyed.select("x").distinct().join(self.points.select("x"), "x", "left_anti").withColumn("id", F.monotonically_increasing_id().cast("string")))
+        if fresh.isEmpty():
+            return known
+        near = nearest(fresh, self.points.select(F.col("id").cast("string").alias("id"), "x"), 1).join(
+            self.points.select(F.col("id").cast("string").alias("did"), "cluster"), "did").select("qid", "cluster")
+        new = keyed.join(fresh.join(near, fresh["id"] == near["qid"]).select("x", "cluster"), "x").select(C.quoted(id_col), "features", "cluster")
+        return known.unionByName(new)
+
+    def transform(self, df: DataFrame, id_col: str = "id") -> DataFrame:
+        """``df`` with ``cluster``. Ids must be unique."""
+        vectors = cut_lineage(self.prep.transform(df).select(C.quoted(id_col), "features"))
+        return df.join(self.label(vectors, id_col).select(C.quoted(id_col), "cluster"), id_col, "left")
+
+    def stored(self) -> tuple[dict, dict]:
+        parts = {"prep": self.prep, "model": self.model, "points": self.points}
+        return {"algorithm": self.algorithm, "eps": self.eps, "inertia": self.inertia, "parts": [n for n, p in parts.items() if p is not None]}, {n: p for n, p in parts.items() if p is not None}
+
+    @classmethod
+    def restored(cls, state: dict, path, spark) -> ClusterModel:
+        from plumbline.ml.storage import load
+
+        has = state["parts"]
+        return cls(state["algorithm"], load(path("prep"), spark), load(path("model"), spark) if "model" in has else None,
+                   spark.read.parquet(path("points")) if "points" in has else None, state["eps"], state["inertia"])
+
+
+def fit_clusters(df: DataFrame, cols: list[str], algorithm: str = "kmeans", k: int = 3, eps: float = 0.5, min_samples: int = 5, restarts: int = 10,
+                 seed: int = 42) -> ClusterModel:
+    """Columns are coded, filled with zero and standardised. ``kmeans`` keeps the best of the restarts, ``agglomerative`` is exact by
+    Ward's criterion, ``dbscan`` is exact with noise as -1."""
+    prep = feature_pipeline(df, cols, fill="zero").fit(df)
+    vectors = cut_lineage(prep.transform(df).select("features"))
+    count = max(2, k)
+    if algorithm == "kmeans":
+        models = [KMeans(k=count, seed=seed + i).fit(vectors) for i in range(restarts)]
+        best = min(models, key=lambda m: m.summary.trainingCost)
+        return ClusterModel(algorithm, prep, model=best, inertia=float(best.summary.trainingCost))
+    arrays = vectors.select(vector_to_array("features").alias("x"))
+    if algorithm == "dbscan":
+        names = [f"x{i}" for i in range(len(arrays.first()["x"]))]
+        points = arrays.select(*[F.col("x")[i].alias(n) for i, n in enumerate(names)])
+        return ClusterModel(algorithm, prep, points=core_points(points, names, eps, min_samples), eps=eps)
+    if algorithm == "agglomerative":
+        # Equal rows are one cluster from the start; ids follow the values, so that the result does not depend on row order.
+        folded = arrays.groupBy("x").agg(F.count(F.lit(1)).cast("double").alias("n"))
+        points = cut_lineage(cumulative(folded, [], [F.col("x")]).select(F.col("place").alias("id"), "n", "x"))
+        return ClusterModel(algorithm, prep, points=cut_lineage(points.join(ward(points, count), "id").select("id", "x", "cluster")))
+    raise ValueError(f"unknown algorithm {algorithm!r}")
+
+
+def cluster(df: DataFrame, cols: list[str], algorithm: str = "kmeans", k: int = 3, eps: float = 0.5, min_samples: int = 5,
+            id_col: str = "id", restarts: int = 10, seed: int = 42) -> tuple[DataFrame, DataFrame]:
+    """(rows with a ``cluster`` column, metrics) of ``fit_clusters``."""
+    model = fit_clusters(df, cols, algorithm, k, eps, min_samples, restarts, seed)
+    vectors = cut_lineage(model.prep.transform(df).select(C.quoted(id_col), "features"))
+    scored = cut_lineage(model.label(vectors, id_col))
+    return df.join(scored.select(C.quoted(id_col), "cluster"), id_col, "left"), cluster_quality(scored, model.inertia, algorithm)
 
 
 def cluster_quality(scored: DataFrame, inertia: float | None, algorithm: str) -> DataFrame:

@@ -78,8 +78,17 @@ def dbscan(df: DataFrame, cols: list[str], eps: float, min_samples: int = 5, dri
     A point within reach of two clusters, without being a core point, joins the one with
     the smaller number.
     """
+    return assign(df, core_points(df, cols, eps, min_samples, driver_edges), cols, eps)
+
+
+def cell_side(cols: list[str], eps: float) -> float:
+    return eps / math.sqrt(len(cols)) * (1 - 1e-9)
+
+
+def core_points(df: DataFrame, cols: list[str], eps: float, min_samples: int = 5, driver_edges: int = DRIVER_EDGES) -> DataFrame:
+    """The distinct core points: their coordinates, cell and ``cluster``."""
     e2 = eps * eps
-    side = eps / math.sqrt(len(cols)) * (1 - 1e-9)
+    side = cell_side(cols, eps)
     folded = df.groupBy(*cols).agg(F.count(F.lit(1)).alias("w")).withColumn("cell", _key(cols, side))
     points = cut_lineage(folded)
     cells = _boxes(points, ["cell"], cols)
@@ -101,18 +110,25 @@ def dbscan(df: DataFrame, cols: list[str], eps: float, min_samples: int = 5, dri
 
     labels = _core_labels(core, cols, eps, min_samples, driver_edges)
 
-    # Other points: a core point of the own cell is within reach; else look into near cells.
-    core_label = core.join(labels, "cell")
-    rest = points.join(core.select(*cols), cols, "left_anti")
-    here = rest.join(labels, "cell").select(*cols, "label")
-    there = _prefixed(rest.join(labels.select("cell"), "cell", "left_anti"), "a")
-    linked = near.select("acell", "bcell").join(labels.select(F.col("cell").alias("bcell")), "bcell")
-    reach = there.join(linked, "acell").join(_prefixed(core_label, "b"), "bcell").where(_gap2(cols, "a", "b") <= e2)
-    border = reach.groupBy(*[f"a{c}" for c in cols]).agg(F.min("blabel").alias("label")).select(*[F.col(f"a{c}").alias(c) for c in cols], "label")
-    assigned = core_label.select(*cols, "label").unionByName(here).unionByName(border)
     names = labels.select("label").distinct().withColumn("n", F.lit(1))
     numbers = cumulative(names, [], [F.col("label")]).select("label", F.col("place").cast("int").alias("cluster"))
-    done = assigned.join(numbers, "label").drop("label")
+    return cut_lineage(core.join(labels.join(numbers, "label"), "cell").select("cell", *cols, "cluster"))
+
+
+def assign(df: DataFrame, core: DataFrame, cols: list[str], eps: float) -> DataFrame:
+    """Add ``cluster`` to rows of any table: that of a core point in their own cell, all of which are within reach, else the smallest one of the
+    core points in near cells that are within ``eps``, else -1."""
+    points = cut_lineage(df.groupBy(*cols).agg(F.count(F.lit(1)).alias("w")).withColumn("cell", _key(cols, cell_side(cols, eps))))
+    own = core.groupBy("cell").agg(F.first("cluster").alias("cluster"))  # a cell's core points are one cluster
+    here = points.join(own, "cell").select(*cols, "cluster")
+    there = points.join(own.select("cell"), "cell", "left_anti")
+    # Cells of the points and of the core points, kept apart by a sign before their keys.
+    boxes = _boxes(there.select(F.concat(F.lit("?"), "cell").alias("cell"), *cols, "w").unionByName(
+        core.select(F.concat(F.lit("!"), "cell").alias("cell"), *cols, F.lit(1).cast("bigint").alias("w"))), ["cell"], cols)
+    near = _near_cells(boxes, cols, eps).where("acell like '?%' and bcell like '!%'").select(F.substring("acell", 2, 1 << 30).alias("acell"), F.substring("bcell", 2, 1 << 30).alias("bcell"))
+    reach = _prefixed(there, "a").join(near, "acell").join(_prefixed(core, "b"), "bcell").where(_gap2(cols, "a", "b") <= eps * eps)
+    border = reach.groupBy(*[f"a{c}" for c in cols]).agg(F.min("bcluster").alias("cluster")).select(*[F.col(f"a{c}").alias(c) for c in cols], "cluster")
+    done = here.unionByName(border)
     same = F.lit(True)
     for c in cols:
         same = same & (F.col(f"p.{c}") == F.col(f"q.{c}"))

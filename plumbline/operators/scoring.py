@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from plumbline.functions import columns as C
 from plumbline.operators.association import pair_chi_square
@@ -11,9 +12,14 @@ from plumbline.operators.hypothesis import anova
 from plumbline.operators.profile import Table, pct
 from plumbline.operators import profile as P
 from plumbline.operators.quality import letter
-from plumbline.plans.frames import distinct_upto, rows_frame
+from plumbline.plans.frames import cut_lineage, distinct_upto, rows_frame
 from plumbline.plans.profiling import Profile, profiled
 from plumbline.plans.quantiles import exact_quantiles
+from plumbline.plans.ranks import WINDOW_ROWS, cumulative
+
+EULER = 0.5772156649015329
+#: Values of a class that one task orders at a time; it shapes the work and not the result.
+RADIUS_BLOCK = 100_000
 
 
 def quantile_bin(x: Column, edges: list[float]) -> Column:
@@ -51,6 +57,72 @@ def mutual_info(df: DataFrame, cols: list[str], target: str, bins: int = 20, cla
         F.sum(share * F.log(F.col("n").cast("double") * F.col("t") / (F.col("nb").cast("double") * F.col("ny")))).alias("mi"))
 
 
+def digamma(n: Column) -> Column:
+    """The digamma function of whole numbers from 1 on: harmonic sums up to nine, the asymptotic series beyond."""
+    sums = [sum(1.0 / i for i in range(1, m)) - EULER for m in range(1, 11)]
+    x = n.cast("double")
+    r = 1 / (x * x)
+    series = F.log(x) - 0.5 / x - r * (1 / 12 - r * (1 / 120 - r * (1 / 252 - r * (1 / 240 - r / 132))))
+    return F.when(n <= 10, F.get(F.array(*[F.lit(v) for v in sums]), (n - 1).cast("int"))).otherwise(series)
+
+
+def neighbour_radius(values: DataFrame, k: int, block: int = RADIUS_BLOCK, window_rows: int = WINDOW_ROWS) -> DataFrame:
+    """``values`` (feature, y, x, n: how many rows of the class have the value) with ``size``, the rows of the class, ``near``, k or one less than the
+    class has rows, and ``radius``, the distance from x to the near-th other row of the class.
+
+    At most k values on either side can hold it. The values of a class are numbered in order and looked at block by block, each
+    block with the k values next to it on both sides, so that no class is gathered in one task.
+    """
+    sized = values.join(values.groupBy("feature", "y").agg(F.sum("n").alias("size")), ["feature", "y"]).where("size > 1")
+    placed = cumulative(sized.select("feature", "y", "x", "n", "size"), ["feature", "y"], [F.col("x")], window_rows=window_rows)
+    own = F.floor(F.col("place") / block)
+    spread = placed.withColumn("own", own).withColumn("block", F.explode(F.array_distinct(F.array(
+        F.floor((F.col("place") - k) / block), own, F.floor((F.col("place") + k) / block)))))
+    w = W.partitionBy("feature", "y", "block").orderBy("x")
+    sides = [F.struct(F.abs(f("x", j).over(w) - F.col("x")).alias("gap"), f("n", j).over(w).alias("n")) for f in (F.lag, F.lead) for j in range(1, k + 1)]
+    near = F.least(F.lit(k), F.col("size") - 1)
+    beside = F.array_sort(F.filter(F.array(*sides), lambda s: s["gap"].isNotNull()))
+    start = F.struct((F.col("n") - 1).cast("bigint").alias("met"), F.when(F.col("n") > F.col("near"), F.lit(0.0)).alias("radius"))
+    found = F.aggregate("beside", start, lambda a, s: F.struct(
+        (a["met"] + s["n"]).alias("met"), F.when(a["radius"].isNull() & (a["met"] + s["n"] >= F.col("near")), s["gap"]).otherwise(a["radius"]).alias("radius")))
+    told = spread.withColumns({"near": near, "beside": beside}).where("block = own")
+    return told.select("feature", "y", "x", "n", "size", "near", found["radius"].alias("radius"))
+
+
+def mutual_info_nearest(
+    df: DataFrame, cols: list[str], target: str, k: int = 3, bins: int = 20, classes: bool | None = None, block: int = RADIUS_BLOCK, window_rows: int = WINDOW_ROWS,
+) -> DataFrame:
+    """Mutual information (nats, at least 0) of numeric columns with a class, estimated from nearest neighbours: (feature, mi).
+
+    For every row the distance to its k-th neighbour within the class is set against the rows of all classes that lie nearer:
+    ``psi(N) + mean psi(k) - mean psi(class size) - mean psi(rows nearer, itself included)``. Classes of a single row are left out. Equal values are folded
+    first; a row with k others at its own value counts those. A numeric target with more than 20 values is cut into ``bins`` quantile classes.
+    """
+    p = profiled(df)
+    if classes is None:
+        classes = target not in p.numeric or distinct_upto(df, {target: C.quoted(target)}, 21)[target] <= 20
+    if classes:
+        label = C.quoted(target).cast("string")
+    else:
+        edges = exact_quantiles(df, [target], [i / bins for i in range(1, bins)])[target]
+        label = F.when(C.as_number(df, target).isNotNull(), quantile_bin(C.as_number(df, target), sorted(set(edges)) if edges[0] is not None else []).cast("string"))
+    cells = [F.struct(F.lit(c).alias("feature"), label.alias("y"), C.as_number(df, c).alias("x")) for c in cols]
+    values = cut_lineage(df.select(F.explode(F.array(*cells)).alias("m")).select("m.*").where("x is not null and y is not null").groupBy(
+        "feature", "y", "x").agg(F.count(F.lit(1)).alias("n")))
+    points = cut_lineage(neighbour_radius(values, k, block, window_rows))
+    # A row is nearer if its distance is below the radius; the millionth part keeps rounding from counting the neighbour itself.
+    reach = F.col("radius") * (1 - 1e-6)
+    rows = points.groupBy("feature", "x").agg(F.sum("n").alias("n"))
+    events = rows.select("feature", "x", F.lit(1).alias("side"), "n", F.lit(None).cast("string").alias("y"), F.lit(None).cast("double").alias("of"))
+    for side, at in ((0, F.col("x") - reach), (2, F.col("x") + reach)):
+        events = events.unionByName(points.select("feature", at.alias("x"), F.lit(side).alias("side"), F.lit(0).cast("bigint").alias("n"), "y", F.col("x").alias("of")))
+    counted = cumulative(events, ["feature"], [F.col("x"), F.col("side"), F.col("y"), F.col("of")], window_rows=window_rows).where("side <> 1")
+    met = counted.groupBy("feature", "y", F.col("of").alias("x")).agg(F.sum(F.when(F.col("side") == 2, F.col("before")).otherwise(-F.col("before"))).alias("m"))
+    parts = points.join(met, ["feature", "y", "x"]).groupBy("feature").agg(
+        F.sum("n").alias("t"), F.sum(F.col("n") * (digamma(F.col("near")) - digamma(F.col("size")) - digamma(F.col("m")))).alias("s"))
+    return parts.select("feature", F.greatest(F.lit(0.0), digamma(F.col("t")) + F.col("s") / F.col("t")).alias("mi"))
+
+
 def class_association(df: DataFrame, cols: list[str], target: str) -> DataFrame:
     """Cramer's V of text columns with a class target."""
     stats = pair_chi_square(df, [(c, target) for c in cols])

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from plumbline.functions import columns as C
+from plumbline.functions.arima import fit_arima
 
 
 def _key(keys: list[str]):
@@ -50,83 +50,41 @@ def regular_buckets(series: DataFrame, unit: str = "day") -> DataFrame:
     return series.groupBy("key", F.date_trunc(unit, "ts").alias("bucket")).agg(F.avg("value").alias("value"))
 
 
+FORECAST = "key string, step int, ts timestamp_ntz, forecast double, sigma2 double, loglik double, aic double, bic double, fitted string"
+
+
 def forecast(
     df: DataFrame, ts: str, value: str, keys: list[str] | None = None, order: tuple[int, int, int] = (1, 1, 1),
-    steps: int = 12, seasonal_order: tuple[int, int, int, int] | None = None, unit: str = "day", min_rows: int = 20,
+    steps: int = 12, seasonal_order: tuple[int, int, int, int] | None = None, unit: str = "day", min_rows: int = 20, evaluations: int = 400,
 ) -> DataFrame:
-    """ARIMA or seasonal ARIMA per series by Hannan-Rissanen least squares.
+    """ARIMA or seasonal ARIMA per series by exact maximum likelihood.
 
     Rows are averaged per calendar unit before they are grouped, so the largest group
-    holds one row per unit however many observations the series has. Gaps are
-    interpolated.
+    holds one row per unit however many observations the series has. Units without rows are
+    missing values of the model. ``fitted`` names the order, which is the one asked for; a series too short for it has one row
+    with step 0, no forecast, and the reason there. ``evaluations`` bounds the search for the coefficients.
     """
     steps = min(60, max(3, steps))
     buckets = regular_buckets(prepare_series(df, ts, value, keys, min_rows), unit)
     pandas_unit = {"minute": "min", "hour": "h", "day": "D", "week": "W-MON", "month": "MS"}[unit]
+    asked = f"ARIMA{tuple(order)}" + (f"{tuple(seasonal_order)}" if seasonal_order else "")
 
     def fit(g: pd.DataFrame) -> pd.DataFrame:
-        y = g.set_index("bucket")["value"].sort_index().asfreq(pandas_unit).interpolate()
-        if len(y) < 10:
-            return pd.DataFrame({"key": [], "step": [], "ts": [], "forecast": [], "sigma2": [], "aic": [], "bic": []})
-        future, sigma2, aic, bic = arima(y.to_numpy(dtype=float), order, seasonal_order, steps)
+        y = g.set_index("bucket")["value"].sort_index().asfreq(pandas_unit)
+        empty = pd.Series([None], dtype=float)
+        try:
+            got = fit_arima(y.to_numpy(dtype=float), order, seasonal_order, steps, evaluations)
+        except ValueError as reason:
+            return pd.DataFrame({"key": g["key"].iloc[0], "step": [0], "ts": [pd.NaT], "forecast": empty, "sigma2": empty, "loglik": empty, "aic": empty, "bic": empty, "fitted": [str(reason)]})
         stamps = pd.date_range(y.index[-1], periods=steps + 1, freq=pandas_unit)[1:]
-        return pd.DataFrame({"key": g["key"].iloc[0], "step": range(1, steps + 1), "ts": stamps,
-                             "forecast": future, "sigma2": sigma2, "aic": aic, "bic": bic})
-
-    return buckets.select("key", F.col("bucket").cast("timestamp_ntz"), "value").groupBy("key").applyInPandas(
-        fit, "key string, step int, ts timestamp_ntz, forecast double, sigma2 double, aic double, bic double")
-
-
-def _lagged(x: np.ndarray, lags: list[int], start: int) -> np.ndarray:
-    return np.column_stack([x[start - k : len(x) - k] for k in lags]) if lags else np.empty((len(x) - start, 0))
-
-
-def arima(y: np.ndarray, order, seasonal, steps: int):
-    """Point forecasts, residual variance, AIC and BIC of one regular series."""
-    p, d, q = order
-    sp, sd, sq, s = seasonal or (0, 0, 0, 1)
-    history, x = [], y.astype(float)
-    for lag in [1] * d + [s] * sd:
-        if len(x) - lag < 8:
-            break
-        history.append((lag, x))
-        x = x[lag:] - x[:-lag]
-    ar = sorted({*range(1, p + 1), *(k * s for k in range(1, sp + 1))})
-    ma = sorted({*range(1, q + 1), *(k * s for k in range(1, sq + 1))})
-    room = max(0, (len(x) - 4) // 3)
-    ar, ma = [k for k in ar if k <= room], [k for k in ma if k <= room]
-    residual = np.zeros(len(x))
-    if ma:
-        # Stage one: residuals of a long autoregression stand in for the innovations.
-        long = min(max(ar + ma) + 5, room)
-        first = np.column_stack([np.ones(len(x) - long), _lagged(x, list(range(1, long + 1)), long)])
-        beta = np.linalg.lstsq(first, x[long:], rcond=None)[0]
-        residual[long:] = x[long:] - first @ beta
-    start = max(ar + ma, default=0) + (min(max(ar + ma) + 5, room) if ma else 0)
-    start = min(start, len(x) - 4)
-    design = np.column_stack([np.ones(len(x) - start), _lagged(x, ar, start), _lagged(residual, ma, start)])
-    beta = np.linalg.lstsq(design, x[start:], rcond=None)[0]
-    error = x[start:] - design @ beta
-    n, k = len(error), design.shape[1] + 1
-    sigma2 = float(error @ error / n)
-    fit = n * (np.log(2 * np.pi * max(sigma2, 1e-300)) + 1)
-    extended, shocks = list(x), list(residual)
-    shocks[start:] = list(error)
-    for _ in range(steps):
-        row = [1.0, *(extended[-i] for i in ar), *(shocks[-i] for i in ma)]
-        extended.append(float(np.dot(row, beta)))
-        shocks.append(0.0)
-    out = extended[len(x):]
-    for lag, before in reversed(history):
-        level = list(before)
-        for v in out:
-            level.append(v + level[-lag])
-        out = level[len(before):]
-    return np.array(out), sigma2, float(fit + 2 * k), float(fit + k * np.log(n))
+        return pd.DataFrame({"key": g["key"].iloc[0], "step": range(1, steps + 1), "ts": stamps, "forecast": got.forecast, "sigma2": got.sigma2, "loglik": got.loglik,
+                             "aic": got.aic, "bic": got.bic, "fitted": asked})
+
+    return buckets.select("key", F.col("bucket").cast("timestamp_ntz"), "value").groupBy("key").applyInPandas(fit, FORECAST)
 
 
 def align_forecasts(a: DataFrame, b: DataFrame) -> DataFrame:
     """Two forecasts side by side, matched on key and step."""
-    left = a.select("key", "step", F.col("forecast").alias("forecast_a"))
-    right = b.select("key", "step", F.col("forecast").alias("forecast_b"))
+    left = a.where("step > 0").select("key", "step", F.col("forecast").alias("forecast_a"))
+    right = b.where("step > 0").select("key", "step", F.col("forecast").alias("forecast_b"))
     return left.join(right, ["key", "step"], "full")

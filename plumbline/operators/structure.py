@@ -11,12 +11,14 @@ from pyspark.sql import types as T
 from plumbline.functions import columns as C
 from plumbline.operators.profile import Table
 from plumbline.operators.quality import _text_parses
-from plumbline.plans.frames import cut_lineage, rows_frame
+from plumbline.plans.frames import chunks, rows_frame
 from plumbline.plans.profiling import Profile, profiled
 
 # Name parts that mark identifiers and codes.
 ID_WORDS = ("id", "_id", "key", "index")
 CODE_WORDS = ("code", "sku", "zip", "postal")
+#: Columns whose single-valuedness one aggregation tells; it shapes the work and not the result.
+DEPENDENTS_AT_ONCE = 25
 
 
 def semantic_types(data: Table) -> DataFrame:
@@ -61,34 +63,28 @@ def primary_keys(data: Table) -> DataFrame:
 def _pair_widths(p: Profile, max_distinct: int) -> dict[tuple[str, str], tuple[bool, bool]]:
     """For each pair of low-cardinality columns: does a determine b, does b determine a.
 
-    One scan folds the rows to the combinations of all low-cardinality columns that occur; only these
-    are cut into (pair, a, b), at most max_distinct squared rows per pair.
-    A null partner counts as no value, a null determinant as no group.
+    Rows are grouped by each column in turn; a group whose least and largest hash of another column agree holds one value of
+    it. A task keeps at most max_distinct groups per column, so only those are shuffled, and a column of so few values has no
+    two with one 64-bit hash. A null partner counts as no value, a null determinant as no group.
     """
     if hasattr(p, "_widths"):
         return p._widths
     names = [c for c, d in p.distinct.items() if d < max_distinct]
-    pairs = list(combinations(names, 2))
     p._widths = {}
-    spread = len(names) > 2
-    base = p.df.select(*[C.quoted(c).cast("string").alias(c) for c in names])
-    base = cut_lineage(base.distinct()) if spread else base
-    for at in range(0, len(pairs), 100):
-        part = pairs[at : at + 100]
-        cells = [F.struct(
-            F.lit(at + i).alias("pair"), C.quoted(a).alias("a"), C.quoted(b).alias("b")
-        ) for i, (a, b) in enumerate(part)]
-        combos = (
-            base.select(F.explode(F.array(*cells)).alias("m")).select("m.*").groupBy("pair", "a", "b").count()
-        )
-        forward = combos.where("a is not null").groupBy("pair", "a").agg(F.count("b").alias("k")).groupBy("pair").agg(
-            F.min((F.col("k") == 1).cast("int")).alias("ok"), F.lit("f").alias("way"))
-        backward = combos.where("b is not null").groupBy("pair", "b").agg(F.count("a").alias("k")).groupBy("pair").agg(
-            F.min((F.col("k") == 1).cast("int")).alias("ok"), F.lit("b").alias("way"))
-        found = {(r["pair"], r["way"]): r["ok"] == 1 for r in forward.union(backward).collect()}
-        for i, pair in enumerate(part):
-            # A column without values has no group that could break the rule.
-            p._widths[pair] = (found.get((at + i, "f"), True), found.get((at + i, "b"), True))
+    if len(names) < 2:
+        return p._widths
+    hashes = [F.when(C.quoted(c).isNotNull(), F.xxhash64(C.quoted(c).cast("string"))).alias(f"h{i}") for i, c in enumerate(names)]
+    by = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.col(f"h{i}").alias("v")) for i in range(len(names))])).alias("g")
+    grouped = p.df.select(*hashes).select("*", by).where("g.v is not null")
+    single: dict[tuple[int, int], bool] = {}
+    for part in chunks(list(range(len(names))), DEPENDENTS_AT_ONCE):
+        ends = grouped.groupBy("g.i", "g.v").agg(*[f(f"h{j}").alias(f"{n}{j}") for j in part for f, n in ((F.min, "lo"), (F.max, "hi"))])
+        one = [F.min(F.coalesce((F.col(f"lo{j}") == F.col(f"hi{j}")).cast("int"), F.lit(0))).alias(f"o{j}") for j in part]
+        for r in ends.groupBy("i").agg(*one).collect():
+            single |= {(r["i"], j): r[f"o{j}"] == 1 for j in part}
+    # A column without values has no group that could break the rule.
+    for i, j in combinations(range(len(names)), 2):
+        p._widths[names[i], names[j]] = (single.get((i, j), True), single.get((j, i), True))
     return p._widths
 
 
