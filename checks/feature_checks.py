@@ -274,6 +274,17 @@ def _(t):
     return scoring.mutual_info(t.lineitem, ["l_quantity", "l_discount"], "l_extendedprice", bins=10)
 
 
+# Every row against every other of its class and of the table, which SQL can do at this size.
+@check("mutual_info_nearest_labels", """WITH f AS (SELECT row_number() OVER () AS i, 'n_chars' AS feature, CAST(n_chars AS DOUBLE) AS x, quality AS y FROM documents JOIN labels USING (doc_id)),
+c AS (SELECT y, count(*) AS n FROM f GROUP BY 1), p AS (SELECT f.*, n, least(3, n - 1) AS near FROM f JOIN c USING (y) WHERE n > 1),
+d AS (SELECT a.i, abs(a.x - b.x) AS gap, row_number() OVER (PARTITION BY a.i ORDER BY abs(a.x - b.x)) AS r, a.near FROM p a JOIN p b ON a.y = b.y AND a.i <> b.i),
+r AS (SELECT i, max(gap) AS radius FROM d WHERE r = near GROUP BY 1),
+m AS (SELECT a.i, any_value(a.near) AS near, any_value(a.n) AS n, count(*) AS m FROM p a JOIN r ON a.i = r.i JOIN p b ON abs(a.x - b.x) < radius * (1 - 1e-6) OR a.x = b.x GROUP BY 1),
+h AS (SELECT g AS n, coalesce(list_sum([1.0 / j FOR j IN range(1, g)]), 0) - 0.5772156649015329 AS psi FROM (SELECT unnest(range(1, (SELECT count(*) + 1 FROM f))) AS g))
+SELECT 'n_chars' AS feature, greatest(0, (SELECT psi FROM h WHERE n = (SELECT count(*) FROM m)) + avg(hk.psi) - avg(hn.psi) - avg(hm.psi)) AS mi
+FROM m JOIN h hk ON hk.n = near JOIN h hn ON hn.n = m.n JOIN h hm ON hm.n = m""", "mi")
+def _(t):
+    return scoring.mutual_info_nearest(t.labelled, ["n_chars"], "quality")
 @check("feature_scores_labels", f"""WITH {LABELLED} SELECT 'n_chars' AS feature, mi AS score, 'numeric' AS kind FROM {_mi_sql('labelled', 'n_chars', 'quality', 20)}
 UNION ALL SELECT 'toxic', mi, 'numeric' FROM {_mi_sql('labelled', 'toxic', 'quality', 20)}
 UNION ALL SELECT 'lang', sqrt(chi2 / (n * (least(ka, kb) - 1))), 'categorical' FROM {chi_sql('labelled', 'lang', 'quality')}

@@ -191,9 +191,32 @@ def _(t):
 @check("explain_permutation_parts")
 def _(t):
     bundle, _scores = training.train(_prices(t), "price", "decision tree", id_col="p_partkey")
+    return training.explain(bundle, _prices(t), "p_partkey", method="permutation")
+
+
+@check("explain_trees_parts")
+def _(t):
+    bundle, _scores = training.train(_prices(t), "price", "random forest", id_col="p_partkey", params={"numTrees": 10, "maxDepth": 6})
     return training.explain(bundle, _prices(t), "p_partkey")
 
 
+# The values of a row and the base add up to what the model predicts, for every row.
+@check("shap_adds_up_parts", "SELECT p_partkey, 'prediction' AS output, true AS adds_up FROM part")
+def _(t):
+    bundle, _scores = training.train(_prices(t), "price", "random forest", id_col="p_partkey", params={"numTrees": 10, "maxDepth": 6})
+    values = training.shap_values(bundle, _prices(t), "p_partkey").join(training.predict(bundle, _prices(t), "p_partkey"), F.col("_row_id") == F.col("p_partkey"))
+    total = F.col("base") + F.aggregate("contributions", F.lit(0.0), lambda a, v: a + v)
+    return values.select("p_partkey", "output", (F.abs(total - F.col("prediction")) <= 1e-9 * F.abs("prediction")).alias("adds_up"))
+
+
+@check("shap_adds_up_classes", "SELECT doc_id, 'p_1' AS output, true AS adds_up FROM documents JOIN labels USING (doc_id)")
+def _(t):
+    bundle, _scores = training.train(_documents(t), "quality", "decision tree", id_col="doc_id")
+    values = training.shap_values(bundle, _documents(t), "doc_id").join(training.predict(bundle, _documents(t), "doc_id"), F.col("_row_id") == F.col("doc_id"))
+    total = F.col("base") + F.aggregate("contributions", F.lit(0.0), lambda a, v: a + v)
+    return values.select("doc_id", "output", (F.abs(total - F.col("p_1")) <= 1e-9).alias("adds_up"))
+
+
 @check("rfe_parts")
 def _(t):
     return training.rfe(_prices(t).drop("p_type"), "price", 1, ["p_size", "p_cost"], id_col="p_partkey")
@@ -208,6 +231,37 @@ def _(t):
     return training.predict(again, _prices(t), "p_partkey").select("p_partkey", "prediction")
 
 
+def _apart(spark, name, fitted, apply, key):
+    """How many rows a saved and loaded model treats otherwise than the fitted one."""
+    import uuid
+
+    from plumbline.ml.storage import load, save
+
+    again = load(save(fitted, f"{shared_folder(spark)}/fitted-{uuid.uuid4().hex}", spark), spark)
+    ours, theirs = apply(fitted), apply(again)
+    pairs = ours.select(F.col(key).alias("k"), F.struct(*[c for c in ours.columns if c != key]).alias("a")).join(
+        theirs.select(F.col(key).alias("k"), F.struct(*[c for c in theirs.columns if c != key]).alias("b")), "k")
+    return pairs.agg(F.lit(name).alias("fitted"), F.count(F.lit(1)).alias("rows"), F.sum((~F.col("a").eqNullSafe(F.col("b"))).cast("bigint")).alias("differing"))
+
+
+@check("save_and_load_families", """SELECT unnest(['bayesian ridge', 'knn', 'adaboost', 'gradient boosting']) AS fitted, count(*) AS rows, CAST(0 AS BIGINT) AS differing FROM part
+UNION ALL SELECT unnest(['qda', 'ridge classifier', 'bernoulli nb']), count(*), CAST(0 AS BIGINT) FROM documents JOIN labels USING (doc_id)
+UNION ALL SELECT unnest(['preprocessor']), count(*), CAST(0 AS BIGINT) FROM documents JOIN labels USING (doc_id)""")
+def _(t):
+    from plumbline.operators import preprocessing
+
+    params, out = {"adaboost": {"rounds": 4}, "gradient boosting": {"maxIter": 5}}, None
+    for name in ("bayesian ridge", "knn", "adaboost", "gradient boosting", "qda", "ridge classifier", "bernoulli nb"):
+        table, target, key = (_prices(t), "price", "p_partkey") if name in ("bayesian ridge", "knn", "adaboost", "gradient boosting") else (_documents(t), "quality", "doc_id")
+        bundle, _scores = training.train(table, target, name, id_col=key, params=params.get(name, {}))
+        vectors = bundle.prep.transform(table.withColumn("_row_id", F.col(key))).select("_row_id", "features")
+        row = _apart(t.spark, name, bundle.model, lambda m, v=vectors: m.transform(v).select("_row_id", "prediction"), "_row_id")
+        out = row if out is None else out.unionByName(row)
+    table = _documents(t).withColumn("n_chars", F.when(F.col("doc_id") % 7 > 0, F.col("n_chars")))
+    fitted = preprocessing.fit_preprocessor(table.drop("doc_id"), "quality", missing="iterative", outliers="winsorize", scale="quantile")
+    return out.unionByName(_apart(t.spark, "preprocessor", fitted, lambda p: p.transform(table), "doc_id"))
+
+
 # ---- clustering ---------------------------------------------------------------------------
 
 @check("cluster_quality_by_segment", """WITH c AS (SELECT c_mktsegment AS g, count(*) AS n, avg(c_acctbal) AS x, avg(c_nationkey) AS y FROM customer GROUP BY 1),
@@ -244,6 +298,24 @@ def _(t):
     return clustering.cluster_sizes(rows)
 
 
+# Fitted rows get the clusters they had, also from a model that was saved.
+@check("cluster_models_of_fitted_rows", """SELECT unnest(['kmeans', 'agglomerative', 'dbscan']) AS algorithm, count(*) AS rows, CAST(0 AS BIGINT) AS moved FROM customer""")
+def _(t):
+    import uuid
+
+    from plumbline.ml.storage import load, save
+
+    out = None
+    for name, options in (("kmeans", {"restarts": 2}), ("agglomerative", {}), ("dbscan", {"eps": 0.2})):
+        model = clustering.fit_clusters(t.customer, ["c_acctbal", "c_mktsegment"], name, 4, **options)
+        rows, _quality = clustering.cluster(t.customer, ["c_acctbal", "c_mktsegment"], name, 4, id_col="c_custkey", **options)
+        again = load(save(model, f"{shared_folder(t.spark)}/clusters-{uuid.uuid4().hex}", t.spark), t.spark)
+        told = again.transform(t.customer, "c_custkey").select("c_custkey", F.col("cluster").alias("told"))
+        row = rows.join(told, "c_custkey").agg(F.lit(name).alias("algorithm"), F.count(F.lit(1)).alias("rows"), F.sum((F.col("cluster") != F.col("told")).cast("bigint")).alias("moved"))
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
 @check("cluster_sizes_rule", "SELECT CAST(c_acctbal > 5000 AS INT) AS cluster, count(*) AS n FROM customer GROUP BY 1", "", "cluster")
 def _(t):
     return clustering.cluster_sizes(t.customer.withColumn("cluster", (F.col("c_acctbal") > 5000).cast("int")))
