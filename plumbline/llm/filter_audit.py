@@ -27,9 +27,9 @@ from pyspark.sql import functions as F
 from plumbline.llm.common import salted_lookup, shared_table, worker_cache
 
 #: Words after which a shard is closed; a document is never cut, so a shard holds at most one beyond it.
-SHARD_WORDS = 3_000_000
+SHARD_WORDS = 6_000_000
 SALTS = 256
-WORDS_AT_ONCE = 50_000
+WORDS_AT_ONCE, NUMBERS_HELD = 50_000, 1_000_000
 FILTERS = "ABCDE"
 MARKS = np.frombuffer(b"#$%&*|", np.uint8)
 #: Of a document: id, part, SHA-256 of the text, code points, letters A-Z, whether any of ``MARKS`` occurs.
@@ -58,7 +58,7 @@ def wide(counts: bytes, entries: int) -> np.ndarray:
 
 
 def build_shards(words_at_most: int):
-    """From (doc_id, part, text as binary): per shard one row with its matrix, and one for each of its words."""
+    """From (doc_id, part, text as binary): per shard one row with its matrix (``number``: how many words), and one for each of its words."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         worker_cache("shards")  # frees what an earlier stage kept
@@ -69,7 +69,7 @@ def build_shards(words_at_most: int):
             nonlocal made, number, rows, indices, counts, held
             shard, entries = task << 32 | made, [len(i) for i in indices]
             matrix = (np.cumsum([0, *entries]), np.concatenate(indices), narrow(np.concatenate(counts)))
-            yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip((shard, None, None, rows, *[m.tobytes() for m in matrix]), SHARD_TYPES)], names=SHARD_NAMES)
+            yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip((shard, len(number), None, rows, *[m.tobytes() for m in matrix]), SHARD_TYPES)], names=SHARD_NAMES)
             words = list(number)
             for at in range(0, len(words), WORDS_AT_ONCE):
                 part = words[at:at + WORDS_AT_ONCE]
@@ -86,7 +86,7 @@ def build_shards(words_at_most: int):
                 words = text.split()
                 own, often = np.unique(np.fromiter(map(number.__getitem__, words), np.int32, len(words)), return_counts=True)
                 indices.append(own)
-                counts.append(often)
+                counts.append(often.astype(np.int32))
                 rows.append({
                     "doc_id": ident, "part": part, "digest": hashlib.sha256(text).digest(), "points": len(text) - int(bytes_[128:192].sum()),
                     "capitals": int(bytes_[65:91].sum()), "marked": bool(bytes_[MARKS].any())})
@@ -100,27 +100,46 @@ def build_shards(words_at_most: int):
 
 
 def number_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From (word, shard, number) sorted by word: (shard, number, slice, code); words of a slice are coded from 0."""
-    part, code, last = TaskContext.get().partitionId(), -1, None
+    """From (word, shard, number) sorted by word: per shard the numbers and their codes, packed, with the slice. The words of a slice are coded from 0; ``last``
+    is the code reached by then."""
+    part, code, last, held = TaskContext.get().partitionId(), -1, None, 0
+    packed: dict[int, list[np.ndarray]] = {}
+
+    def flush() -> pa.RecordBatch:
+        rows = [(shard, np.concatenate(found[::2]).tobytes(), np.concatenate(found[1::2]).tobytes()) for shard, found in packed.items()]
+        shards, numbers, codes = zip(*rows)
+        return pa.RecordBatch.from_arrays(
+            [pa.array(shards, pa.int64()), pa.array(np.full(len(rows), part, np.int32)), pa.array(np.full(len(rows), code)), pa.array(numbers, pa.binary()), pa.array(codes, pa.binary())],
+            names=["shard", "slice", "last", "numbers", "codes"])
+
     for batch in batches:
         n = batch.num_rows
         if not n:
             continue
-        words = batch.column(0)
+        words, shards, numbers = batch.column(0), batch.column(1).to_numpy(), batch.column(2).to_numpy()
         new = np.ones(n, bool)
         new[1:] = ~np.asarray(pc.equal(words.slice(1), words.slice(0, n - 1)))
         new[0] = code < 0 or words[0].as_py() != last
         codes = code + np.cumsum(new)
         code, last = int(codes[-1]), words[n - 1].as_py()
-        yield pa.RecordBatch.from_arrays(
-            [batch.column(1), batch.column(2), pa.array(np.full(n, part, np.int32)), pa.array(codes.astype(np.int64))], names=["shard", "number", "slice", "code"])
+        order = np.argsort(shards, kind="stable")
+        ends = np.flatnonzero(np.append(shards[order][1:] != shards[order][:-1], True)) + 1
+        for a, b in zip([0, *ends[:-1]], ends):
+            packed.setdefault(int(shards[order[a]]), []).extend((numbers[order[a:b]], codes[order[a:b]]))
+        held += n
+        if held >= NUMBERS_HELD:
+            yield flush()
+            packed, held = {}, 0
+    if packed:
+        yield flush()
 
 
 def encode_shard(shards: pa.Table, numbers: pa.Table) -> pa.Table:
     """The shard with its words' global numbers in place of its own, in ascending order within each row."""
-    told = np.empty(numbers.num_rows, np.int64)
-    told[numbers.column("number").to_numpy()] = numbers.column("code").to_numpy()
-    row = {c: shards.column(c)[0].as_py() for c in ("indptr", "indices", "counts")}
+    row = {c: shards.column(c)[0].as_py() for c in ("indptr", "indices", "counts", "words")}
+    told = np.empty(row["words"], np.int64)
+    for own, codes, begin in zip(*(numbers.column(c).to_pylist() for c in ("numbers", "codes", "begin"))):
+        told[np.frombuffer(own, np.int32)] = np.frombuffer(codes, np.int64) + begin
     indptr = np.frombuffer(row["indptr"], np.int64)
     indices = told[np.frombuffer(row["indices"], np.int32)]
     counts = wide(row["counts"], len(indices))
@@ -138,14 +157,15 @@ def document_term_matrix(docs: DataFrame, id_col: str = "doc_id", text_col: str
     plain = docs.select(docs[id_col].cast("bigint").alias("doc_id"), F.coalesce(docs[part_col].cast("string"), F.lit("")).alias("part"), docs[text_col].cast("string").cast("binary").alias("text"))
     made = shared_table(plain.mapInArrow(build_shards(words_at_most), SHARD), "shards")
     lists = made.where("word is not null").select("word", "shard", "number")
-    coded = shared_table(lists.repartition("word").sortWithinPartitions("word").mapInArrow(number_words, "shard bigint, number int, slice int, code bigint"), "dictionary")
+    packed = "shard bigint, slice int, last bigint, numbers binary, codes binary"
+    coded = shared_table(lists.repartition("word").sortWithinPartitions("word").mapInArrow(number_words, packed), "dictionary")
     # One number of words per shuffle partition: where each slice of the dictionary begins.
-    sizes, begins = dict(coded.groupBy("slice").agg(F.max("code") + 1).collect()), {}
+    sizes, begins = dict(coded.groupBy("slice").agg(F.max("last") + 1).collect()), {}
     for part in sorted(sizes):
         begins[part] = sum(sizes[p] for p in sizes if p < part)
     offsets = F.from_json(F.lit(json.dumps([begins.get(p, 0) for p in range(max(begins, default=0) + 1)])), "array<bigint>")
-    numbers = coded.select("shard", "number", (F.col("code") + F.get(offsets, F.col("slice"))).alias("code"))
-    matrices = made.where("rows is not null").select("shard", "rows", "indptr", "indices", "counts")
+    numbers = coded.select("shard", "numbers", "codes", F.get(offsets, F.col("slice")).alias("begin"))
+    matrices = made.where("rows is not null").select("shard", F.col("number").alias("words"), "rows", "indptr", "indices", "counts")
     return matrices.groupBy("shard").cogroup(numbers.groupBy("shard")).applyInArrow(encode_shard, f"shard bigint, rows array<{ROW}>, indptr binary, indices binary, counts binary")
 
 
