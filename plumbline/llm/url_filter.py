@@ -1,7 +1,7 @@
 """Allow and block lists over urls by a cascade of Bloom filters, in DataFrame operations only.
 
-A url's candidate keys are every suffix of its host with every prefix of its path that is as long
-as some rule's path. All candidate keys of the corpus are the key universe. Level 0 of the cascade
+A url's candidate keys are every suffix of its host that has as many labels as some rule's host, with every prefix of its path that is as long
+as some rule's path; so their number follows from the rules, however long the url. All candidate keys of the corpus are the key universe. Level 0 of the cascade
 holds the listed keys; level 1 holds the universe's keys that level 0 takes for listed though they
 are not; level 2 the listed keys that level 1 takes for false; and so on until a level errs on none.
 A key of the universe is listed if it leaves the cascade at an odd level. That is exact, and urls
@@ -20,6 +20,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from plumbline.llm.common import cut_lineage
+
 #: Bits of a word of a filter; 63 would be the sign.
 WORD = 62
 LEVELS = 64
@@ -46,7 +48,7 @@ class Level:
 
     def holds(self, key: Column) -> Column:
         """True if all bits of the key are set."""
-        words = F.array(*[F.lit(w).cast("long") for w in self.words])
+        words = F.from_json(F.lit(str(list(self.words))), "array<bigint>")  # one literal, however long
         test = F.lit(True)
         for place, shift in _bits(key, len(self.words), self.hashes, self.seed):
             test &= F.call_function("shiftright", F.get(words, place), shift).bitwiseAND(F.lit(1)) == 1
@@ -91,7 +93,8 @@ def build_cascade(listed: DataFrame, universe: DataFrame, size: int) -> Cascade:
         return Cascade(())
     levels = [build_level(listed, n, min(0.5, math.sqrt(0.5) * n / max(size, 1)), 0)]
     inside = listed
-    outside = universe.where(levels[0].holds(F.col("key"))).select("key").distinct().join(listed, "key", "left_anti")
+    # The urls are read once; what passes level 0 is about as many keys as there are rules.
+    outside = cut_lineage(universe.where(levels[0].holds(F.col("key"))).select("key").distinct().join(listed, "key", "left_anti"))
     while (wrong := outside.count()) and len(levels) < LEVELS:
         levels.append(build_level(outside, wrong, 0.5, len(levels)))
         inside, outside = outside, inside.where(levels[-1].holds(F.col("key")))
@@ -109,13 +112,13 @@ def host_and_path(url: Column) -> tuple[Column, Column]:
     return F.translate(host, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), path
 
 
-def candidates(host: Column, path: Column, lengths: list[int]) -> Column:
-    """Keys of every host suffix with every path prefix of the given lengths, longest key first;
+def candidates(host: Column, path: Column, labels: list[int], lengths: list[int]) -> Column:
+    """Keys of every host suffix of so many labels with every path prefix of the given lengths, longest key first;
     of equally long keys the one with the longer host comes first."""
-    labels = F.split(host, r"\.")
-    hosts = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
-    heads = F.array(*[F.when(F.length(path) >= n, F.substring(path, 1, n)) for n in lengths])
-    keys = F.flatten(F.transform(hosts, lambda h: F.transform(F.filter(heads, lambda p: p.isNotNull()), lambda p: F.struct(
+    own = F.length(host) - F.length(F.replace(host, F.lit("."), F.lit(""))) + 1
+    hosts = F.filter(F.array(*[F.when(own >= n, F.substring_index(host, ".", -n)) for n in labels]), lambda h: h.isNotNull())
+    heads = F.filter(F.array(*[F.when(F.length(path) >= n, F.substring(path, 1, n)) for n in lengths]), lambda p: p.isNotNull())
+    keys = F.flatten(F.transform(hosts, lambda h: F.transform(heads, lambda p: F.struct(
         (-F.length(h) - F.length(p)).alias("size"), (-F.length(h)).alias("own"), F.concat(h, p).alias("key")))))
     return F.transform(F.array_sort(keys), lambda k: k["key"])
 
@@ -125,15 +128,15 @@ def url_filter(pages: DataFrame, rules: list[Rule], id_col: str = "page_id", url
 
     The longest rule that fits decides; where none fits, or the url is null or no url, ``rule`` is null
     and the verdict is allow. Repeated rows are judged each; an empty table gives an empty result. A
-    host's port or user part belongs to the host. Other columns play no part.
+    host's port or user part belongs to the host. Hosts and paths of any length take work in proportion to their length. Other columns play no part.
     """
     spark = pages.sparkSession
-    lengths = sorted({len(r.path) for r in rules})
+    lengths, labels = sorted({len(r.path) for r in rules}), sorted({r.host.count(".") + 1 for r in rules})
     host, path = host_and_path(pages[url_col])
     judged = pages.select(pages[id_col].alias("page_id"), host.alias("host"), path.alias("path"))
     if not rules:
         return judged.select("*", F.lit(None).cast("string").alias("rule"), F.lit("allow").alias("verdict"))
-    keyed = judged.withColumn("keys", candidates(F.col("host"), F.col("path"), lengths))
+    keyed = judged.withColumn("keys", candidates(F.col("host"), F.col("path"), labels, lengths))
     universe = keyed.select(F.explode("keys").alias("key"))
     listed = spark.createDataFrame([(r.key, r.verdict) for r in rules], "key string, verdict string")
     size = universe.agg(F.approx_count_distinct("key")).first()[0]
