@@ -9,7 +9,7 @@ mixed letters and digits without any key word) is reported only where the value
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.llm.common import cut_lineage, row_key, salted_lookup
@@ -26,24 +26,20 @@ KINDS = [*BASE, BARE]
 COPIED_OWNERS = 3
 SALTS = 64
 MARK = "[SECRET]"
-SPAN = "array<struct<start:int,end:int,kind:int,hash:bigint>>"
-
-
-def pattern_spans(text: Column, kind: int) -> Column:
-    """Spans of one kind as code points: leftmost, not overlapping, short values left out."""
-    _, pattern, group, least = KINDS[kind]
-    gaps, hits, values = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
-    steps = F.transform(F.arrays_zip(hits.alias("hit"), values.alias("value")), lambda h, i: F.struct(
-        F.length(F.get(gaps, i)).alias("gap"), F.length(h["hit"]).alias("size"), F.length(h["value"]).alias("chars"),
-        F.xxhash64(h["value"]).alias("hash"), (h["value"].rlike("[0-9]") & h["value"].rlike("[a-z]") & h["value"].rlike("[A-Z]")).alias("mixed")))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,kind:int,hash:bigint,chars:int,mixed:boolean>>").alias("out"))
-    walked = F.aggregate(steps, start, lambda acc, s: F.struct(
-        (acc["at"] + s["gap"] + s["size"]).alias("at"), F.concat(acc["out"], F.array(F.struct(
-            (acc["at"] + s["gap"]).alias("start"), (acc["at"] + s["gap"] + s["size"]).alias("end"), F.lit(kind).alias("kind"),
-            s["hash"].alias("hash"), s["chars"].alias("chars"), s["mixed"].alias("mixed")))).alias("out")))["out"]
-    wanted = F.filter(walked, lambda s: (s["chars"] >= least) & (s["mixed"] if kind == len(BASE) else F.lit(True)))
-    plain = F.transform(wanted, lambda s: F.struct(*[s[n].alias(n) for n in ("start", "end", "kind", "hash")]))
-    return F.when(text.rlike(pattern), plain).otherwise(F.array().cast(SPAN))
+HITS = "array<struct<kind:int,gap:int,size:int,chars:int,hash:bigint,mixed:boolean>>"
+SEEN = "array<struct<start:int,end:int,kind:int,copied:boolean,covered:boolean>>"
+
+
+def pattern_hits(text: Column, kind: int) -> Column:
+    """All hits of one kind, leftmost and not overlapping, in order: the characters between it and the one before, its own, those of its
+    value, and what tells whether it counts. Every list is made once, so the work follows the length of the text."""
+    _, pattern, group, _ = KINDS[kind]
+    hits, values, gaps = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.regexp_extract_all(text, F.lit(pattern), F.lit(group)), F.split(text, pattern, -1)
+    beside = F.filter(F.arrays_zip(hits.alias("hit"), values.alias("value"), gaps.alias("gap")), lambda h: h["hit"].isNotNull())
+    found = F.transform(beside, lambda h: F.struct(
+        F.lit(kind).alias("kind"), F.length(h["gap"]).alias("gap"), F.length(h["hit"]).alias("size"), F.length(h["value"]).alias("chars"), F.xxhash64(h["value"]).alias("hash"),
+        (h["value"].rlike("[0-9]") & h["value"].rlike("[a-z]") & h["value"].rlike("[A-Z]")).alias("mixed")))
+    return F.when(text.rlike(pattern), found).otherwise(F.array().cast(HITS))
 
 
 def has_candidates(text: Column) -> Column:
@@ -70,25 +66,33 @@ def secret_scan(
     A repository and an owner are told by the values of the named columns; null is a value of its own.
     Null texts count as empty and have no spans. Repeated rows are judged each. A value held by
     ``copied_owners`` owners or more, or by as many repositories of two owners, is a copied example, any other is live.
-    An empty table gives an empty result. Extra columns play no part.
+    An empty table gives an empty result. Extra columns play no part. Texts of any length and number of hits take work in proportion.
     """
     text = F.coalesce(docs[text_col], F.lit(""))
     named = lambda cols: F.concat_ws("\x1f", *[F.coalesce(docs[c].cast("string"), F.lit("\x00")) for c in cols])
     found = cut_lineage(docs.select(
         docs[id_col].alias("doc_id"), row_key(docs[text_col]).alias("text_key"), F.xxhash64(named(repo_cols)).alias("repo"),
-        F.xxhash64(named(owner_cols)).alias("owner"), F.concat(*[pattern_spans(text, k) for k in range(len(KINDS))]).alias("spans"),
+        F.xxhash64(named(owner_cols)).alias("owner"), F.concat(*[pattern_hits(text, k) for k in range(len(KINDS))]).alias("hits"),
     ).withColumn("row", F.monotonically_increasing_id()))
-    cands = found.where(F.size("spans") > 0).select("row", "repo", "owner", F.explode("spans").alias("s")).select("row", "repo", "owner", "s.*")
+    hits = found.where(F.size("hits") > 0).select("row", "repo", "owner", F.posexplode("hits").alias("turn", "h")).select("row", "repo", "owner", "turn", "h.*")
+    so_far = F.sum(F.col("gap") + F.col("size")).over(Window.partitionBy("row", "kind").orderBy("turn").rowsBetween(Window.unboundedPreceding, Window.currentRow)).cast("int")
+    least = F.get(F.array(*[F.lit(k[3]) for k in KINDS]), F.col("kind"))
+    spans = hits.withColumn("end", so_far).where((F.col("chars") >= least) & ((F.col("kind") < len(BASE)) | F.col("mixed")))
+    # Read in the order of base starts and other ends, a span overlaps a base one if one so far ends beyond its start.
+    is_base = F.col("kind") < len(BASE)
+    reading = Window.partitionBy("row").orderBy("at", F.when(is_base, 1).otherwise(0), "kind", "turn").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    placed = spans.withColumn("start", F.col("end") - F.col("size")).withColumn("at", F.when(is_base, F.col("start")).otherwise(F.col("end")))
+    furthest = F.max(F.when(is_base, F.col("end"))).over(reading)
+    cands = cut_lineage(placed.withColumn("covered", ~is_base & (F.coalesce(furthest, F.lit(0)) > F.col("start"))).select("row", "repo", "owner", "hash", "start", "end", "kind", "covered"))
     holders = cands.select("hash", "repo", "owner").distinct().groupBy("hash").agg(F.countDistinct("repo").alias("repos"), F.countDistinct("owner").alias("owners"))
     classed = holders.select("hash", ((F.col("owners") >= copied_owners) | ((F.col("owners") > 1) & (F.col("repos") >= 2 * copied_owners))).alias("copied"))
     told = salted_lookup(cands, classed, ["hash"], F.col("row"), SALTS).groupBy("row").agg(
-        F.collect_list(F.struct("start", "end", "kind", "copied")).alias("seen"))
+        F.collect_list(F.struct("start", "end", "kind", "copied", "covered")).alias("seen"))
     base = F.filter("seen", lambda s: s["kind"] < len(BASE))
-    covered = lambda s: F.exists(base, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
-    added = F.filter("seen", lambda s: (s["kind"] == len(BASE)) & ~s["copied"] & ~covered(s))
+    added = F.filter("seen", lambda s: (s["kind"] == len(BASE)) & ~s["copied"] & ~s["covered"])
     count = lambda k: F.size(F.filter("seen", lambda s: s["kind"] == k)).cast("long")
     rows = found.select("row", "doc_id", "text_key").join(told, "row", "left").withColumn(
-        "seen", F.coalesce("seen", F.array().cast("array<struct<start:int,end:int,kind:int,copied:boolean>>")))
+        "seen", F.coalesce("seen", F.array().cast(SEEN)))
     live = F.filter(F.concat(base, added), lambda s: ~s["copied"])
     return rows.select(
         "doc_id", *[count(k).alias(f"n_{KINDS[k][0]}") for k in range(len(BASE))], F.sha2(_told(base), 256).alias("base_sha256"),
