@@ -267,14 +267,16 @@ def plan_cutting(counts: list[tuple[int, int]], width: int, tolerance: float = 0
             if times > 0:
                 stock.use(pattern, times)
                 found[i] = (pattern, x - times)
+    fill = 0
     while sum(s * n for s, n in stock.left.items()) >= width:
         taken = best_subset(stock.items(), width)
         room = width - sum(s * n for s, n in taken.items())
-        times, fill = min(stock.left[s] // n for s, n in taken.items()), 0
+        times = min(stock.left[s] // n for s, n in taken.items())
         if room:
-            # The longest of the most frequent lengths is cut; beside the pattern there is one, or everything had fit.
+            # One length after the other is cut, the most frequent first, so that the cut tails are of few lengths. Beside the
+            # pattern there is one longer than the room, or everything had fit.
             spare = {s: n - taken.get(s, 0) for s, n in stock.left.items() if s > room and n > taken.get(s, 0)}
-            fill = max(spare, key=lambda s: (spare[s], s))
+            fill = fill if fill in spare else max(spare, key=lambda s: (spare[s], s))
             times = min([times, stock.left[fill] // (taken.get(fill, 0) + 1)])
         stock.use(taken, times, fill, room)
     # Less than a sequence is left: it is laid out over powers of two.
@@ -390,8 +392,11 @@ def cutting_stock_packing(
     placed = shared_table(tails.mapInArrow(place, PLACED), "places")
     names = [n for n in PLACED_NAMES if n not in ("task", "row")]
     out = pieces.unionByName(placed.where("ids_crc32 is not null").select(*names))
-    if (plan.rows[:, 5] < plan.rows[:, 0]).any():
-        cut = placed.where("ids_crc32 is null").join(made.select("task", "row", "ids", "id_bytes"), ["task", "row"]).select(*PLACED_NAMES, "ids", "id_bytes")
+    lengths = sorted(set(plan.rows[plan.rows[:, 5] < plan.rows[:, 0], 0].tolist()))  # at most the width
+    if lengths:
+        # Only the ids of documents whose tail has a length that is cut are shuffled.
+        whole = made.where(F.col("tail").isin(lengths)).select("task", "row", "ids", "id_bytes")
+        cut = placed.where("ids_crc32 is null").join(whole, ["task", "row"]).select(*PLACED_NAMES, "ids", "id_bytes")
         schema = ", ".join(c for c in PLACED.split(", ") if c.split()[0] in names)
         out = out.unionByName(cut.mapInArrow(part_crcs, schema).select(*names))
     return out
