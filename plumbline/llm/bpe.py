@@ -11,7 +11,6 @@ bitmap steps, so a single pre-token of any length costs no more than many short
 from __future__ import annotations
 
 import base64
-from collections import defaultdict
 from collections.abc import Iterator
 from itertools import chain
 
@@ -25,8 +24,10 @@ from plumbline.llm.common import Recent, worker_cache
 
 #: Pieces of text and pre-tokens whose ids a worker keeps in each of two generations, about 250 bytes each, and texts
 #: encoded together.
-KEPT_PIECES = 400_000
+KEPT_PIECES = 200_000
 TEXTS_AT_ONCE = 128
+#: Bytes of pre-tokens merged together, a longer one alone.
+BYTES_AT_ONCE = 1 << 17
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -82,62 +83,88 @@ class RankQueue:
         return rank, bucket
 
 
+class Merges:
+    """The merges of a rank file as a table of neighbouring ids, so that no bytes are joined or hashed while merging."""
+
+    def __init__(self, ranks: dict[bytes, int]):
+        if any(b not in ranks for b in BYTES):
+            raise ValueError("the rank file lacks single bytes")
+        self.bits = max(ranks.values()).bit_length()
+        self.ranks = max(ranks.values()) + 1
+        halves = ((left, right, rank) for token, rank in ranks.items() for i in range(1, len(token))
+                  if (left := ranks.get(token[:i])) is not None and (right := ranks.get(token[i:])) is not None)
+        self.pairs = {left << self.bits | right: rank for left, right, rank in halves}
+        self.byte_ids = np.array([ranks[b] for b in BYTES], np.int64)
+        # Rank of two neighbouring bytes; row and column 256 stand for a gap.
+        self.byte_pairs = np.full((257, 257), -1, np.int64)
+        for i, left in enumerate(BYTES):
+            self.byte_pairs[i, :256] = [ranks.get(left + right, -1) for right in BYTES]
+
+    def ids(self, pretokens: list[bytes]) -> list[bytes]:
+        """Ids of every pre-token as little-endian unsigned 32-bit integers. A merged pair's id is its rank; gaps and positions
+        merged away hold -1, which no pair of the table contains."""
+        sizes = np.fromiter(map(len, pretokens), np.int64, len(pretokens))
+        ends = np.cumsum(sizes + 1)
+        if not len(ends):
+            return []
+        n = int(ends[-1])
+        at = np.full(n, 256, np.int64)
+        inside = np.ones(n, bool)
+        inside[ends - 1] = False
+        at[inside] = np.frombuffer(b"".join(pretokens), np.uint8)
+        start = np.full(n, -1, np.int64)
+        start[:-1] = self.byte_pairs[at[:-1], at[1:]]
+        waiting = np.flatnonzero(start >= 0)
+        waiting = waiting[np.argsort(start[waiting], kind="stable")]
+        given, first = np.unique(start[waiting], return_index=True)
+        queue = RankQueue(self.ranks)
+        queue.fill(dict(zip(given.tolist(), (w.tolist() for w in np.split(waiting, first[1:])) if len(given) else ())))
+        parts = np.append(self.byte_ids, -1)[at].tolist()
+        wanted = start.tolist()  # the rank under which a position's pair waits
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        self._merge(queue, parts, wanted, after, before)
+        left = np.array(parts, np.int64)
+        alive = left >= 0
+        packed = left[alive].astype("<u4").tobytes()
+        bounds = [0, *(4 * np.cumsum(alive)[ends - 1]).tolist()]
+        return [packed[a:b] for a, b in zip(bounds, bounds[1:])]
+
+    def _merge(self, queue: RankQueue, parts: list[int], wanted: list[int], after: list[int], before: list[int]) -> None:
+        bits, pair_of, buckets, push = self.bits, self.pairs.get, queue.buckets, queue.push
+        while (found := queue.pop()) is not None:
+            rank, bucket = found
+            for turn, i in enumerate(bucket):
+                if wanted[i] != rank:
+                    continue  # stale
+                j = after[i]
+                k = after[j]
+                h = before[i]  # -1 before the first position: the last one, which is a gap
+                parts[i], parts[j], wanted[j] = rank, -1, -1
+                after[i], before[k] = k, i
+                lower = False
+                wanted[i] = new = pair_of(rank << bits | parts[k], -1)
+                if new >= 0:
+                    if new in buckets:
+                        buckets[new].append(i)
+                    else:
+                        push(new, i)
+                    lower = new < rank
+                new = pair_of(parts[h] << bits | rank, -1)
+                if new != wanted[h]:
+                    wanted[h] = new
+                    if new >= 0:
+                        push(new, h)
+                        lower |= new < rank
+                if lower:  # a lower rank has come up; it goes before the rest of this bucket
+                    for rest in bucket[turn + 1:]:
+                        if wanted[rest] == rank:
+                            push(rank, rest)
+                    break
+
+
 def merge_all(pretokens: list[bytes], ranks: dict[bytes, int]) -> list[list[int]]:
     """Ids of every pre-token."""
-    parts: list[bytes | None] = []
-    starts = []
-    for token in pretokens:
-        starts.append(len(parts))
-        parts.extend([BYTES[b] for b in token])
-        parts.append(None)
-    n = len(parts)
-    after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-    wanted = [-1] * n  # the rank under which a position's pair waits
-    queue, rank_of = RankQueue(len(ranks)), ranks.get
-    first: dict[int, list[int]] = defaultdict(list)
-    for i in range(n - 1):
-        left, right = parts[i], parts[i + 1]
-        if left is not None and right is not None and (rank := rank_of(left + right)) is not None:
-            wanted[i] = rank
-            first[rank].append(i)
-    queue.fill(dict(first))
-    while (found := queue.pop()) is not None:
-        rank, bucket = found
-        for turn, i in enumerate(bucket):
-            if wanted[i] != rank:
-                continue  # stale
-            j = after[i]
-            whole = parts[i] + parts[j]
-            parts[i], parts[j], wanted[j] = whole, None, -1
-            k = after[j]
-            after[i], before[k] = k, i
-            lower = False
-            right = parts[k]
-            wanted[i] = -1
-            if right is not None and (new := rank_of(whole + right)) is not None:
-                wanted[i] = new
-                queue.push(new, i)
-                lower = new < rank
-            h = before[i]
-            if h >= 0 and (left := parts[h]) is not None:
-                new = rank_of(left + whole)
-                wanted[h] = -1 if new is None else new
-                if new is not None:
-                    queue.push(new, h)
-                    lower |= new < rank
-            if lower:  # a lower rank has come up; it goes before the rest of this bucket
-                for rest in bucket[turn + 1:]:
-                    if wanted[rest] == rank:
-                        queue.push(rank, rest)
-                break
-    out = []
-    for start, token in zip(starts, pretokens):
-        ids, i, end = [], start, start + len(token)
-        while i < end:
-            ids.append(rank_of(parts[i]))
-            i = after[i]
-        out.append(ids)
-    return out
+    return [np.frombuffer(ids, "<u4").tolist() for ids in Merges(ranks).ids(pretokens)]
 
 
 #: What a text of plain lines does not hold: white space beside a space or line end, and other white space.
@@ -152,9 +179,9 @@ class Encoder:
         if not state:
             ranks = load_ranks(path)
             state.update(
-                ranks=ranks, tokens={v: k for k, v in ranks.items()}, find=regex.compile(pattern).findall, heads=Recent(KEPT_PIECES // 4),
+                merges=Merges(ranks), tokens={v: k for k, v in ranks.items()}, find=regex.compile(pattern).findall, heads=Recent(KEPT_PIECES // 4),
                 tails=Recent(KEPT_PIECES), matches=Recent(KEPT_PIECES))
-        self.ranks, self.tokens, self.find = state["ranks"], state["tokens"], state["find"]
+        self.merges, self.tokens, self.find = state["merges"], state["tokens"], state["find"]
         self.heads, self.tails, self.matches = state["heads"], state["tails"], state["matches"]
 
     def pieces(self, text: str) -> list[str]:
@@ -197,18 +224,27 @@ class Encoder:
         found = [self.find(p) for p in pieces]
         self.matches.fill(set(chain.from_iterable(found)), self._encode_matches)
         look_up = self.matches.__getitem__
-        return [b"".join(map(look_up, matches)) for matches in found]
+        return [look_up(matches[0]) if len(matches) == 1 else b"".join(map(look_up, matches)) for matches in found]
 
     def _encode_matches(self, matches: list[str]) -> list[bytes]:
-        return [np.array(i, "<u4").tobytes() for i in merge_all([m.encode() for m in matches], self.ranks)]
+        out: list[bytes] = []
+        held: list[bytes] = []
+        room = BYTES_AT_ONCE
+        for token in map(str.encode, matches):
+            if held and len(token) > room:
+                out += self.merges.ids(held)
+                held, room = [], BYTES_AT_ONCE
+            held.append(token)
+            room -= len(token)
+        return out + self.merges.ids(held)
 
     def decode(self, ids: bytes) -> bytes:
         tokens = self.tokens
         return b"".join([tokens[i] for i in np.frombuffer(ids, "<u4").tolist()])
 
 
-def bpe_encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id and ids (binary, little-endian unsigned 32-bit) of every row.
+def bpe_encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", decode: bool = False) -> DataFrame:
+    """doc_id and ids (binary, little-endian unsigned 32-bit) of every row, with ``decode`` also ``decoded``, the bytes of those ids.
 
     Null texts count as empty and have no ids. Repeated rows and null ids come back each; an empty table gives
     an empty result; extra columns play no part.
@@ -219,10 +255,13 @@ def bpe_encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id",
         for batch in batches:
             for i in range(0, batch.num_rows, TEXTS_AT_ONCE):
                 part = batch.slice(i, TEXTS_AT_ONCE)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(encoder.encode(part.column(1).to_pylist()), pa.binary())], names=["doc_id", "ids"])
+                ids = encoder.encode(part.column(1).to_pylist())
+                made = [pa.array(ids, pa.binary()), *([pa.array(map(encoder.decode, ids), pa.binary())] if decode else [])]
+                yield pa.RecordBatch.from_arrays([part.column(0), *made], names=names)
 
+    names = ["doc_id", "ids", *(["decoded"] if decode else [])]
     plain = docs.select(docs[id_col].cast("bigint").alias("doc_id"), docs[text_col].alias("text"))
-    return plain.mapInArrow(work, "doc_id bigint, ids binary")
+    return plain.mapInArrow(work, "doc_id bigint, ids binary" + (", decoded binary" if decode else ""))
 
 
 def bpe_decode(rows: DataFrame, path: str, pattern: str, ids_col: str = "ids") -> DataFrame:
@@ -236,8 +275,7 @@ def bpe_decode(rows: DataFrame, path: str, pattern: str, ids_col: str = "ids") -
 
 
 def bpe_digests(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_tokens, ids_sha256 and decoded_sha256 of every row, encoded and decoded again."""
-    rows = bpe_encode(docs, path, pattern, id_col, text_col)
-    decoded = bpe_decode(rows, path, pattern)
+    """doc_id, n_tokens, ids_sha256 and decoded_sha256 of every row, encoded and decoded again by the same worker."""
+    decoded = bpe_encode(docs, path, pattern, id_col, text_col, decode=True)
     return decoded.select("doc_id", (F.length("ids") / 4).cast("bigint").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
