@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from checks.base import LABELLED, check
 from plumbline.ml import clustering, metrics, training
 from plumbline.ml.dbscan import dbscan
+from plumbline.ml.histogram_boosting import fit_histogram_boosting
 from plumbline.plans.frames import shared_folder
 
 # ---- metrics over a rule: long documents are predicted to be of quality 1 -----------------
@@ -327,3 +328,14 @@ k AS (SELECT x, sum(s) OVER (ORDER BY x) AS k FROM g), n AS (SELECT k, count(*)
 def _(t):
     done = dbscan(t.customer.select("c_custkey", "c_acctbal"), ["c_acctbal"], 25.0, 1)
     return done.groupBy("cluster").agg(F.count("*").alias("n"), F.min("c_acctbal").alias("lo")).drop("cluster")
+
+
+@check("histogram_boosting_first_split", """WITH s AS (SELECT p_size AS cut, sum(CAST(p_retailprice AS DOUBLE)) AS g, count(*) AS n FROM part GROUP BY 1),
+c AS (SELECT cut, sum(g) OVER (ORDER BY cut) AS lg, sum(n) OVER (ORDER BY cut) AS ln, sum(g) OVER () AS tg, sum(n) OVER () AS tn FROM s),
+b AS (SELECT * FROM c WHERE ln < tn ORDER BY lg * lg / ln + (tg - lg) * (tg - lg) / (tn - ln) DESC, cut LIMIT 1)
+SELECT p_partkey, CASE WHEN p_size <= cut THEN lg / ln ELSE (tg - lg) / (tn - ln) END AS prediction FROM part, b""", "prediction")
+def _(t):
+    from pyspark.ml.feature import VectorAssembler
+
+    rows = VectorAssembler(inputCols=["p_size"], outputCol="features").transform(t.part.withColumn("label", F.col("p_retailprice").cast("double")))
+    return fit_histogram_boosting(rows, rounds=1, step=1.0, leaves=2, min_rows=1).transform(rows).select("p_partkey", "prediction")
