@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions.columns import quoted
+from plumbline.plans.frames import cut_lineage
 from plumbline.plans.ranks import cumulative
 
 
@@ -76,9 +77,14 @@ def multi_output_metrics(pred: DataFrame, targets: list[str], task: str) -> Data
 def confusion_matrix(pred: DataFrame, label: str = "label", prediction: str = "prediction") -> DataFrame:
     """Counts of every (label, prediction) pair of classes, zeros included."""
     pairs = _pairs(pred, label, prediction)
-    classes = [r[0] for r in pairs.select(F.explode(F.array("label", "prediction")).alias("c")).distinct().orderBy("c").collect()]
-    names = F.array(*[F.lit(c) for c in classes])
-    grid = pairs.sparkSession.range(1).select(F.explode(names).alias("label")).select("label", F.explode(names).alias("prediction"))
+    classes = pairs.select(F.explode(F.array("label", "prediction")).alias("c")).distinct()
+    # Classes are numbered and met by number, so that none of them passes through the driver.
+    placed = cut_lineage(cumulative(classes.withColumn("n", F.lit(1)), [], [F.col("c")]).select("c", "place"))
+    ends = placed.agg(F.min("place").alias("first"), F.max("place").alias("last")).first()
+    if ends["last"] is None:
+        return pairs
+    others = placed.select(F.col("c").alias("label"), F.explode(F.sequence(F.lit(ends["first"]), F.lit(ends["last"]))).alias("place"))
+    grid = others.join(placed.withColumnRenamed("c", "prediction"), "place").select("label", "prediction")
     return grid.join(pairs, ["label", "prediction"], "left").fillna(0, ["n"])
 
 
