@@ -2,11 +2,15 @@
 
 Merging two clusters raises the sum of squares by n m / (n + m) times the squared distance of their centres. Under this criterion no
 merge brings anyone closer together than the two were, so every pair that are each other's nearest may be merged
-at once: the tree is the one that merging the cheapest pair each time gives. A round finds the nearest cluster of each one, merges the
-mutual pairs and goes on with fewer clusters, typically two thirds. The last few are merged in the driver.
+at once: the tree is the one that merging the cheapest pair each time gives. The last few are merged in the driver.
 
-The nearest cluster is searched for among groups around sampled pivots: first within the own block, then in the groups that
-may hold a cheaper one, by the triangle inequality and the least size in the group. Nothing but the best of a block is returned.
+A round cuts space into boxes and merges within each, pair after pair, as long as nothing beyond the walls can be cheaper for
+either of the two: the distance to the nearest wall and the least size of a cluster bound that price from below, and the centre of a
+merged cluster stays in the box. What is left lies near walls, and the next round has others.
+
+Where that merges too few (many columns: most clusters are near a wall) a round finds the nearest cluster of each one and merges the
+mutual pairs, typically a third of the clusters. The nearest cluster is searched for among groups around sampled pivots: first within the own block, then in
+the groups that may hold a cheaper one, by the triangle inequality and the least size in the group. Nothing but the best of a block is returned.
 """
 
 from __future__ import annotations
@@ -24,6 +28,10 @@ from plumbline.plans.frames import cut_lineage, hash_share
 #: Clusters merged in the driver, pivots, members of a block. They shape the work and not the result.
 DRIVER_CLUSTERS, PIVOTS, BLOCK = 2_000, 1_024, 20_000
 PAIRS_AT_ONCE = 2_000_000
+#: Clusters of a box, of the smallest boxes within one, and as many as are compared with each other in one box; sampled rows for the walls.
+BOX, LEAF, COMPARED, WALL_SAMPLE = 20_000, 512, 4_096, 20_000
+#: A round in boxes that merges a smaller share than this is followed by one over all of space.
+WORTH = 0.2
 MERGE = "a bigint, b bigint, height double, round int"
 
 
@@ -51,6 +59,121 @@ def cheapest(ids: np.ndarray, n: np.ndarray, x: np.ndarray, others: np.ndarray,
     return best, price
 
 
+def parted(x: np.ndarray, share: float = 0.5) -> tuple[int, float] | None:
+    """Axis and place of a wall halfway between two neighbouring values, about ``share`` of the rows below; none if all rows are equal."""
+    axis = int((x.max(axis=0) - x.min(axis=0)).argmax())
+    values = np.sort(x[:, axis])
+    if values[0] == values[-1]:
+        return None
+    at = values[min(int(share * len(values)), len(values) - 1)]
+    i = int(np.searchsorted(values, at, "left")) or int(np.searchsorted(values, at, "right"))
+    wall = values[i - 1] + (values[i] - values[i - 1]) / 2
+    return axis, float(wall if wall > values[i - 1] else values[i])
+
+
+def box_walls(sample: np.ndarray, boxes: int, seed: int) -> tuple[list[tuple], list[tuple[np.ndarray, np.ndarray]]]:
+    """A tree of walls (axis, place, child below, child above; children under zero are boxes) and the sides of the boxes."""
+    rng, tree, sides = np.random.default_rng(seed), [], []
+    d = sample.shape[1]
+
+    def cut(x: np.ndarray, lo: np.ndarray, hi: np.ndarray, many: int) -> int:
+        found = parted(x, rng.uniform(0.35, 0.65)) if many > 1 and len(x) > 1 else None
+        if found is None:
+            sides.append((lo, hi))
+            return -len(sides)
+        axis, wall = found
+        at, low, high = len(tree), hi.copy(), lo.copy()
+        low[axis] = high[axis] = wall
+        tree.append(None)
+        left = x[:, axis] < wall
+        tree[at] = (axis, wall, cut(x[left], lo, low, many // 2), cut(x[~left], high, hi, many - many // 2))
+        return at
+
+    cut(sample, np.full(d, -np.inf), np.full(d, np.inf), boxes)
+    return tree, sides
+
+
+def box_of(x: np.ndarray, tree: list[tuple]) -> np.ndarray:
+    out = np.zeros(len(x), np.int32)
+    todo = [(0, np.arange(len(x)))] if tree else []
+    while todo:
+        at, rows = todo.pop()
+        axis, wall, low, high = tree[at]
+        left = x[rows, axis] < wall
+        for child, part in ((low, rows[left]), (high, rows[~left])):
+            if child < 0:
+                out[part] = -child - 1
+            elif len(part):
+                todo.append((child, part))
+    return out
+
+
+def merge_inside(ids: np.ndarray, n: np.ndarray, x: np.ndarray, lo: np.ndarray, hi: np.ndarray, least: float, begin: int, merges: list[tuple]) -> tuple:
+    """What is left (ids, n, x, next step) of the clusters of a box when all pairs are merged for which no cluster outside, of size ``least`` or more,
+    can be cheaper. Halves come first, each with a wall between them; so few are compared with few."""
+    step = begin
+    wall = parted(x) if len(ids) > LEAF else None
+    if wall is not None:
+        axis, place = wall
+        left, low, high = x[:, axis] < place, hi.copy(), lo.copy()
+        low[axis] = high[axis] = place
+        below = merge_inside(ids[left], n[left], x[left], lo, low, least, begin, merges)
+        above = merge_inside(ids[~left], n[~left], x[~left], high, hi, least, begin, merges)
+        ids, n, x = (np.concatenate(pair) for pair in zip(below[:3], above[:3]))
+        step = max(below[3], above[3])
+    if not 1 < len(ids) <= COMPARED:
+        return ids, n, x, step
+    order = np.argsort(ids)
+    ids, n, x = ids[order], n[order], x[order]
+    other, price = cheapest(ids, n, x, ids, n, x)
+    while True:
+        gap = np.minimum(x - lo, hi - x).min(axis=1).clip(0.0)
+        sure = price < n * least / (n + least) * gap * gap * (1 - 1e-9)
+        at = np.searchsorted(ids, other).clip(0, len(ids) - 1)
+        a = np.flatnonzero(sure & sure[at] & (other[at] == ids) & (ids < other))
+        if not len(a):
+            return ids, n, x, step
+        b = at[a]
+        merges += zip(ids[a].tolist(), ids[b].tolist(), price[a].tolist(), [step] * len(a))
+        step += 1
+        total = n[a] + n[b]
+        x[a] = (n[a, None] * x[a] + n[b, None] * x[b]) / total[:, None]
+        n[a] = total
+        # Merging brings no one closer, so only the merged and those whose partner merged look again.
+        stale = np.zeros(len(ids), bool)
+        stale[a] = stale[b] = True
+        stale |= stale[at]
+        keep = np.ones(len(ids), bool)
+        keep[b] = False
+        ids, n, x, other, price, stale = ids[keep], n[keep], x[keep], other[keep], price[keep], stale[keep]
+        other[stale], price[stale] = cheapest(ids[stale], n[stale], x[stale], ids, n, x)
+
+
+def merge_in_boxes(clusters: DataFrame, rows: int, least: float, turn: int, box: int = BOX) -> DataFrame:
+    """The clusters left (id, n, x) and the merges (a, b, height, round) of one round in boxes, in one table."""
+    boxes = -(-rows // max(1, min(box, max(2_000, rows // 64))))
+    drawn = clusters.orderBy(hash_share("id", seed=100 + turn), "id").limit(min(WALL_SAMPLE, 64 * boxes)).select("x").collect()
+    tree, sides = box_walls(np.array([r["x"] for r in drawn], float), boxes, turn)
+
+    def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for d in batches:
+            if len(d):
+                yield d.assign(g=box_of(np.stack(d["x"].to_numpy()), tree))
+
+    def inside(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        d = pd.concat(batches)
+        merges: list[tuple] = []
+        lo, hi = sides[int(d["g"].iloc[0])]
+        ids, n, x, _ = merge_inside(d["id"].to_numpy(), d["n"].to_numpy().copy(), np.stack(d["x"].to_numpy()), lo, hi, least, turn, merges)
+        yield pd.DataFrame({"id": ids, "n": n, "x": list(x), "a": None, "b": None, "height": None, "round": None})
+        if merges:
+            yield pd.DataFrame(merges, columns=["a", "b", "height", "round"]).assign(id=None, n=None, x=None)[["id", "n", "x", "a", "b", "height", "round"]]
+
+    placed = clusters.select("id", "n", "x").mapInPandas(assign, "id bigint, n double, x array<double>, g int")
+    # The number of tasks is given: the bytes are few, the work is not.
+    return cut_lineage(placed.repartition(min(len(sides), 2_000), "g").groupBy("g").applyInPandas(inside, f"id bigint, n double, x array<double>, {MERGE}"))
+
+
 def nearest_clusters(clusters: DataFrame, rows: int, pivots: int = PIVOTS, block: int = BLOCK) -> DataFrame:
     """(id, other, height): the cheapest partner of every cluster (id, n, x)."""
     many = int(min(pivots, max(1, math.isqrt(rows))))
@@ -82,7 +205,8 @@ def nearest_clusters(clusters: DataFrame, rows: int, pivots: int = PIVOTS, block
         other, height = cheapest(ids, n, x, ids, n, x)
         return d.assign(other=other, height=height)[["id", "n", "x", "g", "b", "other", "height"]]
 
-    own = cut_lineage(dealt.groupBy("g", "b").applyInPandas(inside, "id bigint, n double, x array<double>, g int, b int, other bigint, height double"))
+    tasks = int(min(2_000, max(1, rows // 1_000)))  # given, as the bytes are few and the work is not
+    own = cut_lineage(dealt.repartition(tasks, "g", "b").groupBy("g", "b").applyInPandas(inside, "id bigint, n double, x array<double>, g int, b int, other bigint, height double"))
 
     def elsewhere(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for d in batches:
@@ -111,7 +235,7 @@ def nearest_clusters(clusters: DataFrame, rows: int, pivots: int = PIVOTS, block
 
     crowds = asked.withColumn("c", F.pmod(F.xxhash64("qid"), F.lit(8)).cast("int"))  # many queries at one block are dealt over copies of it
     copies = dealt.select("g", "b", "id", "n", "x").withColumn("c", F.explode(F.sequence(F.lit(0), F.lit(7))))
-    found = crowds.groupBy("g", "b", "c").cogroup(copies.groupBy("g", "b", "c")).applyInPandas(meet, "id bigint, other bigint, height double")
+    found = crowds.repartition(tasks, "g", "b", "c").groupBy("g", "b", "c").cogroup(copies.repartition(tasks, "g", "b", "c").groupBy("g", "b", "c")).applyInPandas(meet, "id bigint, other bigint, height double")
     every = own.select("id", "other", "height").unionByName(found).where("other >= 0")
     return every.groupBy("id").agg(F.min(F.struct("height", "other")).alias("m")).select("id", "m.other", "m.height")
 
@@ -143,14 +267,23 @@ def merge_in_driver(rows: list, begin: int) -> list[tuple[int, int, float, int]]
     return out
 
 
-def ward_merges(points: DataFrame, driver_clusters: int = DRIVER_CLUSTERS, pivots: int = PIVOTS, block: int = BLOCK) -> DataFrame:
+def ward_merges(points: DataFrame, driver_clusters: int = DRIVER_CLUSTERS, pivots: int = PIVOTS, block: int = BLOCK, box: int = BOX) -> DataFrame:
     """(a, b, height, round) of all merges of the clusters (id bigint, n double, x array<double>): b goes into a."""
-    clusters, turn, merges = cut_lineage(points.select("id", "n", "x")), 0, None
+    clusters, turn, merges, boxed = cut_lineage(points.select("id", "n", "x")), 0, None, True
     while True:
-        rows = clusters.count()
+        rows, least = clusters.agg(F.count(F.lit(1)), F.min("n")).first()
         if rows <= driver_clusters:
             last = points.sparkSession.createDataFrame(merge_in_driver(clusters.collect(), turn), MERGE)
             return last if merges is None else merges.unionByName(last)
+        if boxed:
+            both = merge_in_boxes(clusters, rows, least, turn, box)
+            pairs, clusters = both.where("a is not null").select("a", "b", "height", "round"), both.where("id is not null").select("id", "n", "x")
+            done, last_step = pairs.agg(F.count(F.lit(1)), F.max("round")).first()
+            merges = pairs if merges is None else merges.unionByName(pairs)
+            turn = turn + 1 if last_step is None else last_step + 1
+            boxed = done >= WORTH * rows
+            continue
+        boxed = True
         near = cut_lineage(nearest_clusters(clusters, rows, pivots, block))
         back = near.select(F.col("id").alias("other"), F.col("other").alias("id"), F.lit(True).alias("mutual"))
         pairs = cut_lineage(near.join(back, ["id", "other"]).where("id < other").select(F.col("id").alias("a"), F.col("other").alias("b"), "height", F.lit(turn).alias("round")))
