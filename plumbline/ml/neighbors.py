@@ -26,19 +26,41 @@ from plumbline.plans.sampling import mark_per_class
 
 QUERY_BLOCK = 10_000
 DONOR_BLOCK = 50_000
-MAX_PIVOTS = 512
-
-
-def _distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Squared distances of the rows of x from the rows of y over the coordinates that x has."""
-    here = ~np.isnan(x)
-    z = np.where(here, x, 0.0)
-    out = np.empty((len(x), len(y)))
-    step = max(1, 20_000_000 // max(1, y.size))
-    for at in range(0, len(x), step):
-        gap = (z[at : at + step, None, :] - y[None, :, :]) * here[at : at + step, None, :]
-        out[at : at + step] = (gap * gap).sum(axis=2)
-    return out
+MAX_PIVOTS = 2_048
+#: Sets of missing columns that are looked up apart, each among the columns it has.
+PATTERNS = 8
+
+
+def _rough(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Squared distances of the rows of x from the rows of y over the coordinates that x has, by matrix products, and per row of x how far off
+    they may be."""
+    here = (~np.isnan(x)).astype(float)
+    middle = y.mean(axis=0)
+    z, y = np.where(here > 0, x - middle, 0.0), y - middle
+    own, other = (z * z).sum(axis=1), y * y
+    out = own[:, None] - 2.0 * (z @ y.T) + here @ other.T
+    return out, 2e-15 * (y.shape[1] + 16) * (own + other.sum(axis=1).max(initial=0.0))
+
+
+def closest(x: np.ndarray, y: np.ndarray, keep: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row of x, row of y, squared distance) of the ``keep`` nearest rows of y for each row of x, equal ones in the order of y.
+
+    Matrix products tell which rows may be among them; only those are measured and sorted.
+    """
+    rough, off = _rough(x, y)
+    keep = min(keep, len(y))
+    limit = np.partition(rough, keep - 1, axis=1)[:, keep - 1] + 2 * off
+    row, at = np.nonzero(rough <= limit[:, None])
+    del rough
+    exact, step = np.empty(len(row)), max(1, 4_000_000 // max(1, y.shape[1]))
+    for i in range(0, len(row), step):
+        gap = np.nan_to_num(x[row[i : i + step]] - y[at[i : i + step]], nan=0.0)
+        exact[i : i + step] = (gap * gap).sum(axis=1)
+    order = np.lexsort((at, exact, row))
+    row, at, exact = row[order], at[order], exact[order]
+    first = np.searchsorted(row, np.arange(len(x)))
+    best = np.arange(len(row)) - first[row] < keep
+    return row[best], at[best], exact[best]
 
 
 def nearest(queries: DataFrame, donors: DataFrame, k: int, exclude_self: bool = False, donor_rows: int | None = None,
@@ -58,16 +80,13 @@ def nearest(queries: DataFrame, donors: DataFrame, k: int, exclude_self: bool =
         d = d.sort_values("did")
         qx, dx = np.stack(q["qx"].to_numpy()).astype(float), np.stack(d["dx"].to_numpy()).astype(float)
         qid, did = q["qid"].to_numpy(), d["did"].to_numpy()
-        keep = min(k + exclude_self, len(d))
         parts = []
         step = max(1, 4_000_000 // max(1, len(dx)))
         for at in range(0, len(qx), step):
             block = qx[at : at + step]
-            dist = _distances(block, dx) * (dx.shape[1] / np.maximum((~np.isnan(block)).sum(axis=1), 1))[:, None]
-            order = np.argsort(dist, axis=1, kind="stable")[:, :keep]
-            parts.append(pd.DataFrame({
-                "qid": np.repeat(qid[at : at + step], keep), "did": did[order].ravel(),
-                "distance": np.sqrt(np.take_along_axis(dist, order, axis=1)).ravel()}))
+            row, donor, gap = closest(block, dx, k + exclude_self)
+            share = dx.shape[1] / np.maximum((~np.isnan(block)).sum(axis=1), 1)
+            parts.append(pd.DataFrame({"qid": qid[at + row], "did": did[donor], "distance": np.sqrt(gap * share[row])}))
         out = pd.concat(parts)
         return out[out["qid"] != out["did"]] if exclude_self else out
 
@@ -75,8 +94,10 @@ def nearest(queries: DataFrame, donors: DataFrame, k: int, exclude_self: bool =
     crowds = pairs.groupBy("g", "b").agg(F.ceil(F.count(F.lit(1)) / query_block).cast("int").alias("crowd"))
     asked = pairs.join(crowds, ["g", "b"]).withColumn("c", F.pmod(F.xxhash64("qid"), F.col("crowd")).cast("int"))
     given = groups.join(crowds, ["g", "b"]).withColumn("c", F.explode(F.sequence(F.lit(0), F.col("crowd") - 1)))
-    found = asked.select("g", "b", "c", "qid", "qx").groupBy("g", "b", "c").cogroup(
-        given.select("g", "b", "c", "did", "dx").groupBy("g", "b", "c")).applyInPandas(meet, "qid string, did string, distance double")
+    # The number of tasks is given: short vectors are few bytes, and the work is not.
+    tasks = int(min(2_000, max(1, pairs.count() // 5_000)))
+    found = asked.select("g", "b", "c", "qid", "qx").repartition(tasks, "g", "b", "c").groupBy("g", "b", "c").cogroup(
+        given.select("g", "b", "c", "did", "dx").repartition(tasks, "g", "b", "c").groupBy("g", "b", "c")).applyInPandas(meet, "qid string, did string, distance double")
     w = W.partitionBy("qid").orderBy("distance", "did")
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
@@ -94,9 +115,9 @@ def visits(queries: DataFrame, donors: DataFrame, k: int, donor_rows: int | None
     def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for d in batches:
             if len(d):
-                dist = _distances(np.stack(d["x"].to_numpy()).astype(float), centres)
-                g = dist.argmin(axis=1)
-                yield pd.DataFrame({"g": g, "did": d["id"].to_numpy(), "dx": d["x"].to_numpy(), "far": np.sqrt(dist[np.arange(len(d)), g])})
+                x = np.stack(d["x"].to_numpy()).astype(float)
+                g = _rough(x, centres)[0].argmin(axis=1)  # any group will do, its reach is exact
+                yield pd.DataFrame({"g": g, "did": d["id"].to_numpy(), "dx": d["x"].to_numpy(), "far": np.sqrt(((x - centres[g]) ** 2).sum(axis=1))})
 
     placed = cut_lineage(donors.select("id", "x").mapInPandas(assign, "g int, did string, dx array<double>, far double"))
     sizes = placed.groupBy("g").agg(F.count(F.lit(1)).alias("n"), F.max("far").alias("far")).collect()
@@ -110,11 +131,14 @@ def visits(queries: DataFrame, donors: DataFrame, k: int, donor_rows: int | None
             if not len(q):
                 continue
             x = np.stack(q["x"].to_numpy()).astype(float)
-            away = np.sqrt(_distances(x, centres))
-            most = np.where(count > 0, away + reach, np.inf)
-            order = np.argsort(most, axis=1)
-            enough = (np.cumsum(count[order], axis=1) >= min(k, int(count.sum()))).argmax(axis=1)
-            bound = most[np.arange(len(x)), order[np.arange(len(x)), enough]]
+            rough, off = _rough(x, centres)
+            away = np.sqrt(np.maximum(rough - off[:, None], 0.0))
+            most = np.where(count > 0, np.sqrt(np.maximum(rough, 0.0) + off[:, None]) + reach, np.inf)
+            # A group that is not empty has a donor, so the nearest k groups hold enough.
+            few = np.argpartition(most, min(k, most.shape[1]) - 1, axis=1)[:, :k]
+            few = np.take_along_axis(few, np.argsort(np.take_along_axis(most, few, axis=1), axis=1), axis=1)
+            enough = (np.cumsum(count[few], axis=1) >= min(k, int(count.sum()))).argmax(axis=1)
+            bound = most[np.arange(len(x)), few[np.arange(len(x)), enough]]
             row, g = np.nonzero((away - reach <= bound[:, None] * (1 + 1e-9) + 1e-12) & (count > 0))
             times = blocks[g]
             b = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
@@ -137,7 +161,7 @@ def impute_knn(df: DataFrame, cols: list[str], id_col: str, k: int = 5, donors_f
     queries = df.where(gappy).select(C.quoted(id_col).cast("string").alias("id"), F.transform(x, lambda v: F.coalesce(v, F.lit(float("nan")))).alias("x"))
     donors = source.select(C.quoted(id_col).cast("string").alias("id"), *[C.as_number(source, c).alias(f"_d{i}") for i, c in enumerate(cols)]).dropna()
     vectors = donors.select("id", F.array(*[F.col(f"_d{i}") for i in range(len(cols))]).alias("x"))
-    near = nearest(queries, vectors, k)
+    near = _nearest_by_pattern(queries, vectors, k, len(cols))
     means = near.join(donors, near["did"] == donors["id"]).groupBy("qid").agg(
         *[F.avg(f"_d{i}").alias(f"_m{i}") for i in range(len(cols))])
     joined = df.join(means, C.quoted(id_col).cast("string") == F.col("qid"), "left")
@@ -145,6 +169,30 @@ def impute_knn(df: DataFrame, cols: list[str], id_col: str, k: int = 5, donors_f
         F.coalesce(C.as_number(df, c), F.col(f"_m{cols.index(c)}")).alias(c) if c in cols else C.quoted(c) for c in df.columns])
 
 
+def _nearest_by_pattern(queries: DataFrame, donors: DataFrame, k: int, width: int) -> DataFrame:
+    """(qid, did) of the k nearest donors, looked up among the columns that a query has.
+
+    Distances know nothing else, so donors alike there are as near as each other and the k smallest ids
+    of them are enough; queries alike there are looked up once. With more than ``PATTERNS`` sets of missing columns all go through one search.
+    """
+    queries = cut_lineage(queries)
+    gaps = queries.select(F.transform("x", F.isnan).alias("p"))
+    patterns = [r["p"] for r in gaps.distinct().limit(PATTERNS + 1).collect()]
+    if not 0 < len(patterns) <= PATTERNS:
+        return nearest(queries, donors, k).select("qid", "did")
+    out = None
+    for p in patterns:
+        at = [i for i in range(width) if not p[i]]
+        seen = F.array(*[F.col("x")[i] for i in at]) if at else F.array(F.lit(0.0))
+        asked = queries.where(F.transform("x", F.isnan) == F.array(*[F.lit(v) for v in p])).select("id", seen.alias("x"))
+        once = cut_lineage(asked.groupBy("x").agg(F.min("id").alias("id")))
+        first = donors.select("id", seen.alias("x")).withColumn("rn", F.row_number().over(W.partitionBy("x").orderBy("id"))).where(F.col("rn") <= k)
+        near = nearest(once.select("id", "x"), cut_lineage(first.select("id", "x")), k)
+        found = asked.join(once.select("x", F.col("id").alias("qid")), "x").join(near.select("qid", "did"), "qid").select(F.col("id").alias("qid"), "did")
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
 def smote(df: DataFrame, target: str, cols: list[str], id_col: str, ratio: float = 1.0, k: int = 5, seed: int = 42) -> DataFrame:
     """Original rows and synthetic minority rows up to ``ratio`` times the majority.
 
