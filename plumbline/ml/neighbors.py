@@ -188,9 +188,12 @@ def _nearest_by_pattern(queries: DataFrame, donors: DataFrame, k: int, width: in
         once = cut_lineage(asked.groupBy("x").agg(F.min("id").alias("id")))
         first = donors.select("id", seen.alias("x")).withColumn("rn", F.row_number().over(W.partitionBy("x").orderBy("id"))).where(F.col("rn") <= k)
         near = nearest(once.select("id", "x"), cut_lineage(first.select("id", "x")), k)
-        found = asked.join(once.select("x", F.col("id").alias("qid")), "x").join(near.select("qid", "did"), "qid").select(F.col("id").alias("qid"), "did")
+        apart = (F.col("distance") * math.sqrt(width / max(len(at), 1))).alias("distance")
+        found = asked.join(once.select("x", F.col("id").alias("qid")), "x").join(near.select("qid", "did", apart), "qid").select(F.col("id").alias("qid"), "did", "distance")
         out = found if out is None else out.unionByName(found)
-    return out
+    # Rows that share an id share k neighbours, as in one search.
+    w = W.partitionBy("qid").orderBy("distance", "did")
+    return out.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("qid", "did")
 
 
 def smote(df: DataFrame, target: str, cols: list[str], id_col: str, ratio: float = 1.0, k: int = 5, seed: int = 42) -> DataFrame:
