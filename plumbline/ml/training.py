@@ -24,6 +24,8 @@ from plumbline.plans.sampling import mark_per_class
 log = logging.getLogger(__name__)
 
 HASH_WIDTH = 4096
+#: Rows and vector slots that a partition of a prepared table holds at most.
+PART_ROWS, PART_CELLS = 50_000, 4_000_000
 
 
 # ---- task, split, features ----------------------------------------------------------------
@@ -161,6 +163,11 @@ class Prepared:
         self.prep = feature_pipeline(train, self.features, fill, encode, centre=centre).fit(train)
         vectors = self.prep.transform(marked)
         self.slots = feature_names(vectors, self.features)
+        # A small file unfolds into wide vectors; fits take as many tasks as those need, not as many as the file has.
+        rows = labelled.count()
+        parts = max(-(-rows // PART_ROWS), -(-rows * len(self.slots) // PART_CELLS))
+        if parts > marked.rdd.getNumPartitions():
+            vectors = self.prep.transform(marked.repartition(parts))
         self.vectors = vectors.select("_row_id", "label", "features", "is_test").persist()
         self.train = self.vectors.where(~F.col("is_test")).drop("is_test")
         self.test = self.vectors.where("is_test").drop("is_test")
