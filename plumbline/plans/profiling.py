@@ -109,7 +109,8 @@ class Profile:
 
     @cached_property
     def quartiles(self) -> dict[str, tuple[float, float, float]]:
-        got = exact_quantiles(self.df, self.filled, [0.25, 0.5, 0.75], rows=self.rows)
+        known = {c: (m["n"], float(m["min"]), float(m["max"])) for c, m in self.moments.items() if m["n"]}
+        got = exact_quantiles(self.df, self.filled, [0.25, 0.5, 0.75], rows=self.rows, known=known)
         return {c: tuple(q) for c, q in got.items()}
 
     @cached_property

@@ -30,13 +30,15 @@ SAMPLE_ROWS = 100_000
 def exact_quantiles(
     df: DataFrame, cols: list[str], probs: list[float], rows: int | None = None,
     small_values: int = SMALL_VALUES, bracket_rows: int = BRACKET_ROWS, sample_rows: int = SAMPLE_ROWS,
+    known: dict[str, tuple] | None = None,
 ) -> dict[str, list[float | None]]:
-    """Linear-interpolation quantiles of numeric columns, nulls and NaN left out."""
+    """Linear-interpolation quantiles of numeric columns, nulls and NaN left out. ``known``: rows, least and greatest value of each
+    column where they have been counted."""
     if not cols:
         return {}
     rows = df.count() if rows is None else rows
     if rows * len(cols) > small_values:
-        return _by_brackets(df, {c: as_number(df, c) for c in cols}, probs, rows, bracket_rows, sample_rows)
+        return _by_brackets(df, {c: as_number(df, c) for c in cols}, probs, rows, bracket_rows, sample_rows, known)
     array = F.array(*[F.lit(float(p)) for p in probs])
     row = df.agg(*[F.percentile(as_number(df, c), array).alias(f"q{i}") for i, c in enumerate(cols)]).first()
     return {c: list(row[i]) if row[i] is not None else [None] * len(probs) for i, c in enumerate(cols)}
@@ -74,10 +76,9 @@ class Bracket:
     inside: int
 
 
-def _by_brackets(df: DataFrame, exprs: dict[str, Column], probs: list[float], rows: int, bracket_rows: int, sample_rows: int) -> dict:
-    sizes: dict[str, tuple] = {}
-    for b in _tally(df, exprs, [Bracket(c, 0, 0, -math.inf, math.inf, 0, rows) for c in exprs], [(-math.inf, math.inf)] * len(exprs), whole=True):
-        sizes[b.name] = (b.inside, b.lo, b.hi)
+def _by_brackets(df: DataFrame, exprs: dict[str, Column], probs: list[float], rows: int, bracket_rows: int, sample_rows: int,
+                 known: dict[str, tuple] | None = None) -> dict:
+    sizes = known if known is not None else _extent(df, exprs)
     wanted: dict[tuple[str, int], float] = {}
     todo = []
     for c, (n, least, most) in sizes.items():
@@ -117,6 +118,16 @@ def _by_brackets(df: DataFrame, exprs: dict[str, Column], probs: list[float], ro
     return out
 
 
+def _extent(df: DataFrame, exprs: dict[str, Column]) -> dict[str, tuple]:
+    """Rows, least and greatest value of each column without nulls and NaN, counted by Spark itself."""
+    out: dict[str, tuple] = {}
+    for part in chunks(list(exprs), 20):
+        xs = [F.nanvl(exprs[c].cast("double"), F.lit(None).cast("double")) for c in part]
+        row = df.agg(*[a.alias(f"{kind}{i}") for i, x in enumerate(xs) for kind, a in (("n", F.count(x)), ("lo", F.min(x)), ("hi", F.max(x)))]).first()
+        out.update({c: (row[f"n{i}"], row[f"lo{i}"], row[f"hi{i}"]) for i, c in enumerate(part)})
+    return out
+
+
 def _guess(df: DataFrame, exprs: dict[str, Column], todo: list[Bracket], bracket_rows: int, sample_rows: int) -> dict[int, tuple]:
     """A span around each rank from sample quantiles of its bracket; six deviations wide each way."""
     spans: dict[int, tuple] = {}
@@ -166,48 +177,47 @@ def _present(column: pa.Array) -> np.ndarray:
     return np.sort(x[~np.isnan(x)])
 
 
-def _tally(df: DataFrame, exprs: dict[str, Column], part: list[Bracket], spans: list[tuple], whole: bool = False) -> list[Bracket]:
+def _tally(df: DataFrame, exprs: dict[str, Column], part: list[Bracket], spans: list[tuple]) -> list[Bracket]:
     """The piece of each bracket that holds its ranks: the span, or what lies on one side of it.
 
-    One scan counts for all brackets of all columns. With ``whole`` every bracket comes back as found.
+    One scan counts for all brackets of all columns.
     """
     plain, of = _columns(df, exprs, part)
-    edges = [np.array([(part[i].lo, *spans[i]) for i in own]) for own in of]
+    edges = [np.array([(part[i].lo, *spans[i], part[i].hi) for i in own]) for own in of]
+    # Below the span, in it and above it: rows, least and greatest value.
+    names = [f"{kind}{k}" for k in range(3) for kind in ("n", "least", "most")]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        before, inside = np.zeros(len(part), np.int64), np.zeros(len(part), np.int64)
-        least, most = np.full(len(part), np.inf), np.full(len(part), -np.inf)
+        rows = np.zeros((3, len(part)), np.int64)
+        least, most = np.full((3, len(part)), np.inf), np.full((3, len(part)), -np.inf)
         for batch in batches:
             for column, own, edge in zip(batch.columns, of, edges):
                 x = _present(column)
                 if not len(x):
                     continue
-                start, lo = np.searchsorted(x, edge[:, 0], "left"), np.searchsorted(x, edge[:, 1], "left")
-                hi = np.searchsorted(x, edge[:, 2], "right")
-                before[own] += np.maximum(lo - start, 0)
-                inside[own] += np.maximum(hi - lo, 0)
-                some = hi > lo
-                at = np.array(own)[some]
-                least[at], most[at] = np.minimum(least[at], x[lo[some]]), np.maximum(most[at], x[hi[some] - 1])
-        yield pa.RecordBatch.from_arrays([pa.array(range(len(part)), pa.int32()), *map(pa.array, (before, inside, least, most))], names=["id", "before", "inside", "least", "most"])
-
-    counted = plain.mapInArrow(work, "id int, before bigint, inside bigint, least double, most double").groupBy("id").agg(
-        F.sum("before").alias("before"), F.sum("inside").alias("inside"), F.min("least").alias("least"), F.max("most").alias("most"))
+                own = np.array(own)
+                ends = [np.searchsorted(x, edge[:, i], side) for i, side in enumerate(("left", "left", "right", "right"))]
+                for k, (start, end) in enumerate(zip(ends, ends[1:])):
+                    some = end > start
+                    at = own[some]
+                    rows[k, at] += (end - start)[some]
+                    least[k, at], most[k, at] = np.minimum(least[k, at], x[start[some]]), np.maximum(most[k, at], x[end[some] - 1])
+        columns = [pa.array(v) for k in range(3) for v in (rows[k], least[k], most[k])]
+        yield pa.RecordBatch.from_arrays([pa.array(range(len(part)), pa.int32()), *columns], names=["id", *names])
+
+    kinds = {"n": ("bigint", F.sum), "least": ("double", F.min), "most": ("double", F.max)}
+    counted = plain.mapInArrow(work, "id int, " + ", ".join(f"{c} {kinds[c[:-1]][0]}" for c in names)).groupBy("id").agg(
+        *[kinds[c[:-1]][1](c).alias(c) for c in names])
     got = {r["id"]: r for r in counted.collect()}
     out = []
-    for i, (b, (lo, hi)) in enumerate(zip(part, spans)):
+    for i, b in enumerate(part):
         if i not in got:
-            out += [Bracket(b.name, 0, 0, b.lo, b.hi, 0, 0)] if whole else []
-            continue
-        _, before, n, least, most = got[i]
-        if whole:
-            out.append(Bracket(b.name, 0, 0, least, most, 0, n))
             continue
-        start = b.below + before
-        pieces = [
-            (b.lo, math.nextafter(lo, -math.inf), b.below, before), (least, most, start, n),
-            (math.nextafter(hi, math.inf), b.hi, start + n, b.inside - before - n),
-        ]
+        # Every piece ends at values that occur, so a piece of one value is known to be one.
+        pieces, start = [], b.below
+        for k in range(3):
+            pieces.append((got[i][f"least{k}"], got[i][f"most{k}"], start, got[i][f"n{k}"]))
+            start += got[i][f"n{k}"]
         together = any(p[2] <= b.first and b.last < p[2] + p[3] for p in pieces)
         # Two neighbouring ranks may fall into different pieces: each then goes on alone.
         for first, last in {(b.first, b.last)} if together else {(b.first, b.first), (b.last, b.last)}:
