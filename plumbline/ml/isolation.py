@@ -11,8 +11,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from plumbline.functions import columns as C
-from plumbline.plans.frames import hash_share
-from plumbline.plans.quantiles import exact_quantiles
+from plumbline.plans.frames import cut_lineage, hash_share
+from plumbline.plans.quantiles import SMALL_VALUES, exact_quantiles
 
 SAMPLE = 256
 
@@ -24,6 +24,17 @@ def _path(n: float) -> float:
     return 2.0 * (math.log(n - 1) + 0.5772156649015329) - 2.0 * (n - 1) / n if n > 2 else 1.0
 
 
+def _walkable(feature: np.ndarray, cut: np.ndarray, left: np.ndarray, right: np.ndarray, length: np.ndarray) -> tuple:
+    """Levels, and of every node the column, cut, next nodes (not below the cut, below it) and length. A leaf leads to itself,
+    so all rows take the same number of steps."""
+    inner, nodes = feature >= 0, np.arange(len(feature))
+    after = np.column_stack([np.where(inner, right, nodes), np.where(inner, left, nodes)]).astype(np.intp)
+    levels, reached = 0, nodes[:1]
+    while inner[reached].any():
+        levels, reached = levels + 1, np.unique(after[reached[inner[reached]]])
+    return levels, np.where(inner, feature, 0).astype(np.intp), cut, after.ravel(), length
+
+
 class IsolationForest:
     def __init__(self, trees: list[tuple], cols: list[str], fill: dict[str, float], size: int):
         self.trees, self.cols, self.fill, self.size = trees, cols, fill, size
@@ -31,23 +42,20 @@ class IsolationForest:
 
     def score(self, df: DataFrame, into: str = "anomaly_score") -> DataFrame:
         """Score in (0, 1]; larger is more isolated."""
-        trees, norm = self.trees, _path(self.size)
+        trees, count, norm = [_walkable(*t) for t in self.trees], len(self.trees), _path(self.size)
 
         @F.pandas_udf("double")
         def rate(*columns: pd.Series) -> pd.Series:
-            x = np.column_stack([c.to_numpy(dtype=float) for c in columns])
-            depth = np.zeros(len(x))
-            for feature, cut, left, right, length in trees:
-                node = np.zeros(len(x), dtype=int)
-                while True:
-                    inner = feature[node] >= 0
-                    if not inner.any():
-                        break
-                    at = node[inner]
-                    low = x[inner, feature[at]] < cut[at]
-                    node[inner] = np.where(low, left[at], right[at])
-                depth += length[node]
-            return pd.Series(np.power(2.0, -depth / (len(trees) * norm)))
+            x = np.concatenate([c.to_numpy(dtype=float) for c in columns])
+            rows = len(x) // len(columns)
+            own, depth = np.arange(rows), np.zeros(rows)
+            for levels, offset, cut, after, length in trees:
+                node = np.zeros(rows, dtype=np.intp)
+                for _ in range(levels):
+                    low = x.take(offset.take(node) * rows + own) < cut.take(node)
+                    node = after.take(2 * node + low)
+                depth += length.take(node)
+            return pd.Series(np.power(2.0, -depth / (count * norm)))
 
         return df.withColumn(into, rate(*[F.coalesce(C.as_number(df, c), F.lit(self.fill[c])) for c in self.cols]))
 
@@ -69,10 +77,10 @@ def fit_isolation_forest(df: DataFrame, cols: list[str], id_col: str, contaminat
     share = min(1.0, 2.0 * size / max(rows, 1) + 1e-9)
     base = df.select(C.quoted(id_col).alias("_id"), *[F.coalesce(C.as_number(df, c), F.lit(fill[c])).alias(f"x{i}") for i, c in enumerate(cols)])
     # Every tree draws for itself at any table size; a row may be in the sample of several trees.
-    draws = F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.struct(t.alias("tree"), hash_share("_id", t, seed=seed).alias("h")))
-    drawn = base.withColumn("s", F.explode(F.filter(draws, lambda d: d["h"] < share)))
-    w = W.partitionBy("s.tree").orderBy("s.h", "_id")
-    sample = drawn.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= size).select(F.col("s.tree").alias("tree"), "_id", *[f"x{i}" for i in range(len(cols))])
+    draws = base.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))))
+    drawn = draws.withColumn("h", hash_share("_id", "tree", seed=seed)).where(F.col("h") < share)
+    w = W.partitionBy("tree").orderBy("h", "_id")
+    sample = drawn.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= size).select("tree", "_id", *[f"x{i}" for i in range(len(cols))])
     limit = math.ceil(math.log2(max(size, 2)))
 
     def grow(g: pd.DataFrame) -> pd.DataFrame:
@@ -104,5 +112,7 @@ def fit_isolation_forest(df: DataFrame, cols: list[str], id_col: str, contaminat
     forest = IsolationForest([(np.array(r["feature"]), np.array(r["cut"]), np.array(r["lo"]), np.array(r["hi"]), np.array(r["len"]))
                               for r in grown], cols, fill, size)
     scores = forest.score(df).select("anomaly_score")
+    if rows > SMALL_VALUES:  # the quantile then takes several scans, which must not score again
+        scores = cut_lineage(scores)
     forest.threshold = exact_quantiles(scores, ["anomaly_score"], [1 - contamination], rows=rows)["anomaly_score"][0]
     return forest
