@@ -15,7 +15,7 @@ from __future__ import annotations
 import hashlib
 import json
 from collections.abc import Iterator
-from itertools import permutations
+from itertools import chain, permutations
 
 import numpy as np
 import pyarrow as pa
@@ -23,13 +23,14 @@ import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.group_ops import PandasCogroupedOps
 
 from plumbline.llm.common import salted_lookup, shared_table, worker_cache
 
 #: Words after which a shard is closed; a document is never cut, so a shard holds at most one beyond it.
 SHARD_WORDS = 6_000_000
 SALTS = 256
-WORDS_AT_ONCE, NUMBERS_HELD = 50_000, 1_000_000
+WORDS_AT_ONCE, NUMBERS_HELD, TEXTS_AT_ONCE = 50_000, 1_000_000, 256
 FILTERS = "ABCDE"
 MARKS = np.frombuffer(b"#$%&*|", np.uint8)
 #: Of a document: id, part, SHA-256 of the text, code points, letters A-Z, whether any of ``MARKS`` occurs.
@@ -57,6 +58,15 @@ def wide(counts: bytes, entries: int) -> np.ndarray:
     return np.frombuffer(counts, f"<u{len(counts) // entries}" if entries else "u1").astype(np.int64)
 
 
+def one_binary(values: np.ndarray) -> pa.Array:
+    """The bytes of an array as the only value of a binary column."""
+    return pa.Array.from_buffers(pa.binary(), 1, [None, pa.py_buffer(np.array([0, values.nbytes], np.int32)), pa.py_buffer(values)])
+
+
+def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    return (batch.slice(i, TEXTS_AT_ONCE) for i in range(0, batch.num_rows, TEXTS_AT_ONCE))
+
+
 def build_shards(words_at_most: int):
     """From (doc_id, part, text as binary): per shard one row with its matrix (``number``: how many words), and one for each of its words."""
 
@@ -67,26 +77,29 @@ def build_shards(words_at_most: int):
 
         def flush() -> Iterator[pa.RecordBatch]:
             nonlocal made, number, rows, indices, counts, held
-            shard, entries = task << 32 | made, [len(i) for i in indices]
-            matrix = (np.cumsum([0, *entries]), np.concatenate(indices), narrow(np.concatenate(counts)))
-            yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip((shard, len(number), None, rows, *[m.tobytes() for m in matrix]), SHARD_TYPES)], names=SHARD_NAMES)
-            words = list(number)
+            # The matrix is handed on without copies, and gone before the words are.
+            shard, words, entries = task << 32 | made, list(number), [len(i) for i in indices]
+            known = [pa.array([v], t) for v, t in zip((shard, len(number), None, rows), SHARD_TYPES)]
+            number, rows = Numbered(), []
+            indices, counts = np.concatenate(indices), np.concatenate(counts)
+            yield pa.RecordBatch.from_arrays([*known, *map(one_binary, (np.cumsum([0, *entries]), indices, counts))], names=SHARD_NAMES)
+            known, indices, counts = [], [], []
             for at in range(0, len(words), WORDS_AT_ONCE):
                 part = words[at:at + WORDS_AT_ONCE]
                 n = len(part)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.full(n, shard)), pa.array(np.arange(at, at + n, dtype=np.int32)), pa.array(part, pa.binary()), *[pa.nulls(n, t) for t in SHARD_TYPES[3:]]],
                     names=SHARD_NAMES)
-            made, number, rows, indices, counts, held = made + 1, Numbered(), [], [], [], 0
+            made, held = made + 1, 0
 
-        for batch in batches:
+        for batch in chain.from_iterable(map(slices, batches)):
             for ident, part, text in zip(*(c.to_pylist() for c in batch.columns)):
                 text = text or b""
                 bytes_ = np.bincount(np.frombuffer(text, np.uint8), minlength=256)
                 words = text.split()
                 own, often = np.unique(np.fromiter(map(number.__getitem__, words), np.int32, len(words)), return_counts=True)
                 indices.append(own)
-                counts.append(often.astype(np.int32))
+                counts.append(narrow(often))  # joined, they are as wide as the widest
                 rows.append({
                     "doc_id": ident, "part": part, "digest": hashlib.sha256(text).digest(), "points": len(text) - int(bytes_[128:192].sum()),
                     "capitals": int(bytes_[65:91].sum()), "marked": bool(bytes_[MARKS].any())})
@@ -147,13 +160,8 @@ def encode_shard(shards: pa.Table, numbers: pa.Table) -> pa.Table:
     return pa.table({"shard": shards.column("shard"), "rows": shards.column("rows"), "indptr": [row["indptr"]], "indices": [indices[order].tobytes()], "counts": [narrow(counts[order]).tobytes()]})
 
 
-def document_term_matrix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", part_col: str = "lang", words_at_most: int = SHARD_WORDS) -> DataFrame:
-    """One row per CSR shard: shard, rows (one struct a document, as in ``ROW``), indptr and indices (little-endian 64-bit
-    integers; indices are dense numbers of a dictionary of all words of the table), counts (the smallest unsigned integers that fit).
-
-    Words are cut at ASCII white space. Null texts and parts count as empty. A task closes a shard at ``words_at_most`` words, so
-    neither a shard nor its list of words grows with the table.
-    """
+def _numbered_shards(docs: DataFrame, id_col: str, text_col: str, part_col: str, words_at_most: int) -> PandasCogroupedOps:
+    """The shards of the table, each with the global numbers of its words."""
     plain = docs.select(docs[id_col].cast("bigint").alias("doc_id"), F.coalesce(docs[part_col].cast("string"), F.lit("")).alias("part"), docs[text_col].cast("string").cast("binary").alias("text"))
     made = shared_table(plain.mapInArrow(build_shards(words_at_most), SHARD), "shards")
     lists = made.where("word is not null").select("word", "shard", "number")
@@ -166,7 +174,18 @@ def document_term_matrix(docs: DataFrame, id_col: str = "doc_id", text_col: str
     offsets = F.from_json(F.lit(json.dumps([begins.get(p, 0) for p in range(max(begins, default=0) + 1)])), "array<bigint>")
     numbers = coded.select("shard", "numbers", "codes", F.get(offsets, F.col("slice")).alias("begin"))
     matrices = made.where("rows is not null").select("shard", F.col("number").alias("words"), "rows", "indptr", "indices", "counts")
-    return matrices.groupBy("shard").cogroup(numbers.groupBy("shard")).applyInArrow(encode_shard, f"shard bigint, rows array<{ROW}>, indptr binary, indices binary, counts binary")
+    return matrices.groupBy("shard").cogroup(numbers.groupBy("shard"))
+
+
+def document_term_matrix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", part_col: str = "lang", words_at_most: int = SHARD_WORDS) -> DataFrame:
+    """One row per CSR shard: shard, rows (one struct a document, as in ``ROW``), indptr and indices (little-endian 64-bit
+    integers; indices are dense numbers of a dictionary of all words of the table), counts (the smallest unsigned integers that fit).
+
+    Words are cut at ASCII white space. Null texts and parts count as empty. A task closes a shard at ``words_at_most`` words, so
+    neither a shard nor its list of words grows with the table.
+    """
+    numbered = _numbered_shards(docs, id_col, text_col, part_col, words_at_most)
+    return numbered.applyInArrow(encode_shard, f"shard bigint, rows array<{ROW}>, indptr binary, indices binary, counts binary")
 
 
 def row_statistics(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -182,6 +201,12 @@ def row_statistics(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
                 names=["shard", "row", *[f.name for f in ROW_TYPE], "words", "distinct_words"])
 
 
+def shard_statistics(shards: pa.Table, numbers: pa.Table) -> pa.Table:
+    """``row_statistics`` of a shard in the worker that encodes it, so that neither a second worker nor Spark holds the matrix."""
+    matrix = encode_shard(shards, numbers).select(["shard", "rows", "indptr", "counts"])
+    return pa.Table.from_batches(row_statistics(iter(matrix.to_batches())))
+
+
 def document_flags(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", part_col: str = "lang", words_at_most: int = SHARD_WORDS) -> DataFrame:
     """Per document: doc_id, part, words, distinct_words and ``fails``, a sum of 1, 2, 4, 8, 16 for each of A to E that it fails.
 
@@ -189,9 +214,8 @@ def document_flags(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     ``#$%&*|``; E: the text is that of a smaller id. A document without words passes B and C. Rows without an id pass E and let
     others pass; of rows with one id and one text none fails E for the other.
     """
-    matrix = document_term_matrix(docs, id_col, text_col, part_col, words_at_most).select("shard", "rows", "indptr", "counts")
     schema = "shard bigint, row bigint, doc_id bigint, part string, digest binary, points bigint, capitals bigint, marked boolean, words bigint, distinct_words bigint"
-    rows = shared_table(matrix.mapInArrow(row_statistics, schema), "documents")
+    rows = shared_table(_numbered_shards(docs, id_col, text_col, part_col, words_at_most).applyInArrow(shard_statistics, schema), "documents")
     told = salted_lookup(rows, rows.groupBy("digest").agg(F.min("doc_id").alias("first")), ["digest"], F.struct("shard", "row"), SALTS)
     fails = ["words < 100", "100 * distinct_words < 80 * words", "100 * capitals > 10 * points", "marked", "coalesce(first < doc_id, false)"]
     return told.select("doc_id", "part", "words", "distinct_words", sum((F.expr(f).cast("int") * (1 << i) for i, f in enumerate(fails)), F.lit(0)).alias("fails"))
