@@ -28,9 +28,11 @@ from pyspark.sql.pandas.group_ops import PandasCogroupedOps
 from plumbline.llm.common import salted_lookup, shared_table, worker_cache
 
 #: Words after which a shard is closed; a document is never cut, so a shard holds at most one beyond it.
-SHARD_WORDS = 6_000_000
+SHARD_WORDS = 3_000_000
 SALTS = 256
 WORDS_AT_ONCE, NUMBERS_HELD, TEXTS_AT_ONCE = 50_000, 1_000_000, 256
+#: Entries of a shard that are put into order together; a document is not cut.
+ENTRIES_AT_ONCE = 100_000
 FILTERS = "ABCDE"
 MARKS = np.frombuffer(b"#$%&*|", np.uint8)
 #: Of a document: id, part, SHA-256 of the text, code points, letters A-Z, whether any of ``MARKS`` occurs.
@@ -153,11 +155,18 @@ def encode_shard(shards: pa.Table, numbers: pa.Table) -> pa.Table:
     told = np.empty(row["words"], np.int64)
     for own, codes, begin in zip(*(numbers.column(c).to_pylist() for c in ("numbers", "codes", "begin"))):
         told[np.frombuffer(own, np.int32)] = np.frombuffer(codes, np.int64) + begin
-    indptr = np.frombuffer(row["indptr"], np.int64)
-    indices = told[np.frombuffer(row["indices"], np.int32)]
-    counts = wide(row["counts"], len(indices))
-    order = np.lexsort((indices, np.repeat(np.arange(len(indptr) - 1), np.diff(indptr))))
-    return pa.table({"shard": shards.column("shard"), "rows": shards.column("rows"), "indptr": [row["indptr"]], "indices": [indices[order].tobytes()], "counts": [narrow(counts[order]).tobytes()]})
+    indptr, own = np.frombuffer(row["indptr"], np.int64), np.frombuffer(row["indices"], np.int32)
+    indices, counts = np.empty(len(own), np.int64), np.frombuffer(row["counts"], f"<u{len(row['counts']) // len(own)}" if len(own) else "u1").copy()
+    # Some documents at a time, so that the keys and places of a sort are never as many as the shard's entries.
+    first = 0
+    while first < len(indptr) - 1:
+        end = max(first + 1, int(np.searchsorted(indptr, indptr[first] + ENTRIES_AT_ONCE, "right")) - 1)
+        at = slice(int(indptr[first]), int(indptr[end]))
+        codes = told[own[at]]
+        order = np.lexsort((codes, np.repeat(np.arange(end - first), np.diff(indptr[first:end + 1]))))
+        indices[at], counts[at] = codes[order], counts[at][order]
+        first = end
+    return pa.table({"shard": shards.column("shard"), "rows": shards.column("rows"), "indptr": [row["indptr"]], "indices": one_binary(indices), "counts": one_binary(counts)})
 
 
 def _numbered_shards(docs: DataFrame, id_col: str, text_col: str, part_col: str, words_at_most: int) -> PandasCogroupedOps:
