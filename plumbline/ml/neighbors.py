@@ -1,8 +1,9 @@
 """Exact nearest neighbours by pivots: imputation, oversampling and a neighbour model.
 
 Donors are dealt to the nearest of some sampled pivots. How far a group reaches from its pivot
-bounds, by the triangle inequality, the distance of all its members from a query, so a query visits only the groups
-that may hold one of its k nearest. Large groups and crowds of queries are cut into blocks; a
+bounds, by the triangle inequality, the distance of all its members from a query, so a query meets only the groups
+that may hold one of its k nearest. Groups near each other form a region, to which a query is sent once, however many of its groups
+it needs. Large regions and crowds of queries are cut into blocks; a
 pair of blocks is one task that returns the k nearest donors per query and nothing else, and the
 block results are merged by query.
 """
@@ -13,7 +14,8 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -27,6 +29,8 @@ from plumbline.plans.sampling import mark_per_class
 QUERY_BLOCK = 10_000
 DONOR_BLOCK = 50_000
 MAX_PIVOTS = 2_048
+#: Regions that donors are dealt over at least, if they have so many rows; queries whose distances from pivots are held together.
+REGIONS, REGION_ROWS, QUERIES_AT_ONCE = 64, 1_000, 1_000
 #: Sets of missing columns that are looked up apart, each among the columns it has.
 PATTERNS = 8
 
@@ -34,14 +38,28 @@ PATTERNS = 8
 def _rough(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Squared distances of the rows of x from the rows of y over the coordinates that x has, by matrix products, and per row of x how far off
     they may be."""
-    here = (~np.isnan(x)).astype(float)
+    gone = np.isnan(x)
     middle = y.mean(axis=0)
-    z, y = np.where(here > 0, x - middle, 0.0), y - middle
+    z, y = np.where(gone, 0.0, x - middle), y - middle
     own, other = (z * z).sum(axis=1), y * y
-    out = own[:, None] - 2.0 * (z @ y.T) + here @ other.T
+    out = z @ (-2.0 * y.T)
+    out += own[:, None]
+    out += (~gone).astype(float) @ other.T if gone.any() else other.sum(axis=1)
     return out, 2e-15 * (y.shape[1] + 16) * (own + other.sum(axis=1).max(initial=0.0))
 
 
+def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
+    """Lists of one length as the rows of a matrix."""
+    if column.null_count:
+        raise ValueError("a row has no vector")
+    flat = np.asarray(pc.list_flatten(column), float)
+    return flat.reshape(len(column), -1) if len(column) else flat.reshape(0, 0)
+
+
+def _vectors(x: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * x.shape[1]), pa.array(np.ascontiguousarray(x).ravel()))
+
+
 def closest(x: np.ndarray, y: np.ndarray, keep: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row of x, row of y, squared distance) of the ``keep`` nearest rows of y for each row of x, equal ones in the order of y.
 
@@ -70,85 +88,165 @@ def nearest(queries: DataFrame, donors: DataFrame, k: int, exclude_self: bool =
     Both inputs are (id string, x array<double>). A missing query coordinate is left out
     and the squared distance scaled up by the share of present ones.
     """
-    pairs, groups = visits(queries, donors, k + exclude_self, donor_rows, donor_block, pivots)
+    keep = k + exclude_self
+    rows = donors.count() if donor_rows is None else donor_rows
+    found = _Groups.of(donors, rows, pivots, together=min(donor_block, max(REGION_ROWS, -(-rows // REGIONS))))
+    pairs, placed = found.visited(queries, keep, donor_block), found.blocks(donor_block)
 
-    def meet(q: pd.DataFrame, d: pd.DataFrame) -> pd.DataFrame:
-        empty = pd.DataFrame({"qid": pd.Series(dtype=str), "did": pd.Series(dtype=str), "distance": pd.Series(dtype=float)})
-        if not len(q) or not len(d):
-            return empty
+    def meet(q: pa.Table, d: pa.Table) -> pa.Table:
         # id order makes equal distances resolve the same way everywhere
-        d = d.sort_values("did")
-        qx, dx = np.stack(q["qx"].to_numpy()).astype(float), np.stack(d["dx"].to_numpy()).astype(float)
-        qid, did = q["qid"].to_numpy(), d["did"].to_numpy()
-        parts = []
-        step = max(1, 4_000_000 // max(1, len(dx)))
-        for at in range(0, len(qx), step):
-            block = qx[at : at + step]
-            row, donor, gap = closest(block, dx, k + exclude_self)
-            share = dx.shape[1] / np.maximum((~np.isnan(block)).sum(axis=1), 1)
-            parts.append(pd.DataFrame({"qid": qid[at + row], "did": did[donor], "distance": np.sqrt(gap * share[row])}))
-        out = pd.concat(parts)
-        return out[out["qid"] != out["did"]] if exclude_self else out
+        d = d.take(pc.sort_indices(d["did"]))
+        x, y, own = _matrix(q["qx"]), _matrix(d["dx"]), d["own"].to_numpy()
+        row, donor, gap = found.closest(x, y, own, q["bound"].to_numpy(), keep)
+        share = x.shape[1] / np.maximum((~np.isnan(x)).sum(axis=1), 1) if len(x) else np.empty(0)
+        out = pa.table({"qid": q["qid"].take(pa.array(row)), "did": d["did"].take(pa.array(donor)), "distance": np.sqrt(gap * share[row])})
+        return out.filter(pc.fill_null(pc.not_equal(out["qid"], out["did"]), True)) if exclude_self else out
 
     # A crowd of queries at one block of donors is dealt over copies of that block.
     crowds = pairs.groupBy("g", "b").agg(F.ceil(F.count(F.lit(1)) / query_block).cast("int").alias("crowd"))
     asked = pairs.join(crowds, ["g", "b"]).withColumn("c", F.pmod(F.xxhash64("qid"), F.col("crowd")).cast("int"))
-    given = groups.join(crowds, ["g", "b"]).withColumn("c", F.explode(F.sequence(F.lit(0), F.col("crowd") - 1)))
+    given = placed.join(crowds, ["g", "b"]).withColumn("c", F.explode(F.sequence(F.lit(0), F.col("crowd") - 1)))
     # The number of tasks is given: short vectors are few bytes, and the work is not.
-    tasks = int(min(2_000, max(1, pairs.count() // 5_000)))
-    found = asked.select("g", "b", "c", "qid", "qx").repartition(tasks, "g", "b", "c").groupBy("g", "b", "c").cogroup(
-        given.select("g", "b", "c", "did", "dx").repartition(tasks, "g", "b", "c").groupBy("g", "b", "c")).applyInPandas(meet, "qid string, did string, distance double")
+    tasks = int(min(2_000, max(2 * found.blocks_in_all(donor_block), pairs.count() // 5_000)))
+    met = asked.select("g", "b", "c", "qid", "qx", "bound").repartition(tasks, "g", "b", "c").groupBy("g", "b", "c").cogroup(
+        given.select("g", "b", "c", "own", "did", "dx").repartition(tasks, "g", "b", "c").groupBy("g", "b", "c")).applyInArrow(meet, "qid string, did string, distance double")
     w = W.partitionBy("qid").orderBy("distance", "did")
-    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return met.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
 def visits(queries: DataFrame, donors: DataFrame, k: int, donor_rows: int | None = None, donor_block: int = DONOR_BLOCK,
            pivots: int | None = None) -> tuple[DataFrame, DataFrame]:
     """(g, b, qid, qx): the groups and blocks a query must visit; (g, b, did, dx): their donors."""
-    rows = donors.count() if donor_rows is None else donor_rows
-    many = pivots or int(min(MAX_PIVOTS, max(1, math.isqrt(rows))))
-    spread = hash_share("id", seed=31)
-    centres = np.array([r["x"] for r in donors.orderBy(spread, "id").limit(many).select("x").collect()], dtype=float)
-    if not len(centres):
-        centres = np.zeros((1, 1))
-
-    def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for d in batches:
-            if len(d):
-                x = np.stack(d["x"].to_numpy()).astype(float)
-                g = _rough(x, centres)[0].argmin(axis=1)  # any group will do, its reach is exact
-                yield pd.DataFrame({"g": g, "did": d["id"].to_numpy(), "dx": d["x"].to_numpy(), "far": np.sqrt(((x - centres[g]) ** 2).sum(axis=1))})
-
-    placed = cut_lineage(donors.select("id", "x").mapInPandas(assign, "g int, did string, dx array<double>, far double"))
-    sizes = placed.groupBy("g").agg(F.count(F.lit(1)).alias("n"), F.max("far").alias("far")).collect()
-    count, reach = np.zeros(len(centres), np.int64), np.zeros(len(centres))
-    for r in sizes:
-        count[r["g"]], reach[r["g"]] = r["n"], r["far"]
-    blocks = -(-count // donor_block)
-
-    def plan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for q in batches:
-            if not len(q):
-                continue
-            x = np.stack(q["x"].to_numpy()).astype(float)
-            rough, off = _rough(x, centres)
-            away = np.sqrt(np.maximum(rough - off[:, None], 0.0))
-            most = np.where(count > 0, np.sqrt(np.maximum(rough, 0.0) + off[:, None]) + reach, np.inf)
-            # A group that is not empty has a donor, so the nearest k groups hold enough.
-            few = np.argpartition(most, min(k, most.shape[1]) - 1, axis=1)[:, :k]
-            few = np.take_along_axis(few, np.argsort(np.take_along_axis(most, few, axis=1), axis=1), axis=1)
-            enough = (np.cumsum(count[few], axis=1) >= min(k, int(count.sum()))).argmax(axis=1)
-            bound = most[np.arange(len(x)), few[np.arange(len(x)), enough]]
-            row, g = np.nonzero((away - reach <= bound[:, None] * (1 + 1e-9) + 1e-12) & (count > 0))
-            times = blocks[g]
-            b = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
-            row, g = np.repeat(row, times), np.repeat(g, times)
-            yield pd.DataFrame({"g": g, "b": b, "qid": q["id"].to_numpy()[row], "qx": q["x"].to_numpy()[row]})
-
-    pairs = cut_lineage(queries.select("id", "x").mapInPandas(plan, "g int, b int, qid string, qx array<double>"))
-    # Donors of a group are dealt over its blocks by a hash.
-    wide = F.element_at(F.array(*[F.lit(int(n)) for n in np.maximum(blocks, 1)]), F.col("g") + 1)
-    return pairs, placed.select("g", F.pmod(F.xxhash64("did"), wide).cast("int").alias("b"), "did", "dx")
+    found = _Groups.of(donors, donors.count() if donor_rows is None else donor_rows, pivots)
+    return found.visited(queries, k, donor_block).drop("bound"), found.blocks(donor_block).drop("own")
+
+
+def regions(centres: np.ndarray, count: np.ndarray, together: int) -> np.ndarray:
+    """The region of each group: groups are halved by walls across a long axis of their pivots until a region holds at most ``together`` donors or one group."""
+    region, todo, n = np.zeros(len(centres), np.int64), [np.arange(len(centres))], 0
+    rng = np.random.default_rng(31)
+    while todo:
+        at = todo.pop()
+        if len(at) > 1 and count[at].sum() > together:
+            x = centres[at] - centres[at].mean(axis=0)
+            axis = rng.normal(size=x.shape[1])
+            for _ in range(3):
+                axis = x.T @ (x @ axis)
+                axis /= max(float(np.abs(axis).max()), 1e-300)
+            order = at[np.argsort(x @ axis, kind="stable")]
+            held = np.cumsum(count[order])
+            half = min(max(int(np.searchsorted(held, held[-1] / 2)), 1), len(at) - 1)
+            todo += [order[:half], order[half:]]
+        else:
+            region[at] = n
+            n += 1
+    return region
+
+
+class _Groups:
+    """Donors dealt to their nearest pivots, and how far each group reaches; groups near each other form a region, which is one task."""
+
+    def __init__(self, placed: DataFrame, centres: np.ndarray, count: np.ndarray, reach: np.ndarray, region: np.ndarray):
+        self.placed, self.centres, self.count, self.reach, self.region = placed, centres, count, reach, region
+
+    @classmethod
+    def of(cls, donors: DataFrame, rows: int, pivots: int | None, together: int = 0) -> _Groups:
+        many = pivots or int(min(MAX_PIVOTS, max(1, math.isqrt(rows))))
+        centres = np.array([r["x"] for r in donors.orderBy(hash_share("id", seed=31), "id").limit(many).select("x").collect()], dtype=float)
+        if not len(centres):
+            centres = np.zeros((1, 1))
+
+        def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for d in batches:
+                if d.num_rows:
+                    x = _matrix(d.column(1))
+                    g = _rough(x, centres)[0].argmin(axis=1)  # any group will do, its reach is exact
+                    yield pa.RecordBatch.from_arrays([pa.array(g, pa.int32()), d.column(0), d.column(1), pa.array(np.sqrt(((x - centres[g]) ** 2).sum(axis=1)))], names=["own", "did", "dx", "far"])
+
+        placed = cut_lineage(donors.select(F.col("id").cast("string"), F.col("x").cast("array<double>")).mapInArrow(assign, "own int, did string, dx array<double>, far double"))
+        count, reach = np.zeros(len(centres), np.int64), np.zeros(len(centres))
+        for r in placed.groupBy("own").agg(F.count(F.lit(1)).alias("n"), F.max("far").alias("far")).collect():
+            count[r["own"]], reach[r["own"]] = r["n"], r["far"]
+        return cls(placed, centres, count, reach, regions(centres, count, together))
+
+    def __getstate__(self) -> dict:
+        return {**vars(self), "placed": None}  # tasks need the pivots only
+
+    def _blocks(self, donor_block: int) -> np.ndarray:
+        return -(-np.bincount(self.region, self.count).astype(np.int64) // donor_block)
+
+    def blocks_in_all(self, donor_block: int) -> int:
+        return max(1, int(self._blocks(donor_block).sum()))
+
+    def blocks(self, donor_block: int) -> DataFrame:
+        """(g, b, own, did, dx): region, block of the region, group; donors of a region are dealt over its blocks by a hash."""
+        wide, region = (F.array(*[F.lit(int(n)) for n in v]) for v in (np.maximum(self._blocks(donor_block), 1), self.region))
+        put = self.placed.withColumn("g", F.element_at(region, F.col("own") + 1))
+        return put.select("g", F.pmod(F.xxhash64("did"), F.element_at(wide, F.col("g") + 1)).cast("int").alias("b"), "own", "did", "dx")
+
+    def away(self, x: np.ndarray, own: np.ndarray) -> np.ndarray:
+        """How far rows are, at least, from any donor of the groups ``own``."""
+        rough, off = _rough(x, self.centres[own])
+        return np.sqrt(np.maximum(rough - off[:, None], 0.0)) - self.reach[own]
+
+    def visited(self, queries: DataFrame, k: int, donor_block: int) -> DataFrame:
+        """(g, b, qid, qx, bound): the regions and blocks a query must visit; its k nearest donors are not beyond ``bound``."""
+        blocks, count, region = self._blocks(donor_block), self.count, self.region
+
+        def plan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for q in (batch.slice(i, QUERIES_AT_ONCE) for batch in batches for i in range(0, batch.num_rows, QUERIES_AT_ONCE)):
+                x = _matrix(q.column(1))
+                rough, off = _rough(x, self.centres)
+                away = np.sqrt(np.maximum(rough - off[:, None], 0.0)) - self.reach
+                most = np.where(count > 0, np.sqrt(np.maximum(rough, 0.0) + off[:, None]) + self.reach, np.inf)
+                # A group that is not empty has a donor, so the nearest k groups hold enough.
+                few = np.argpartition(most, min(k, most.shape[1]) - 1, axis=1)[:, :k]
+                few = np.take_along_axis(few, np.argsort(np.take_along_axis(most, few, axis=1), axis=1), axis=1)
+                enough = (np.cumsum(count[few], axis=1) >= min(k, int(count.sum()))).argmax(axis=1)
+                bound = most[np.arange(len(x)), few[np.arange(len(x)), enough]]
+                row, g = np.nonzero((away <= _beyond(bound)[:, None]) & (count > 0))
+                row, g = np.divmod(np.unique(row * len(blocks) + region[g]), len(blocks))
+                times = blocks[g]
+                b = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+                row, g = np.repeat(row, times), np.repeat(g, times)
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(g, pa.int32()), pa.array(b, pa.int32()), q.column(0).take(pa.array(row)), _vectors(x[row]), pa.array(bound[row])], names=["g", "b", "qid", "qx", "bound"])
+
+        return cut_lineage(queries.select(F.col("id").cast("string"), F.col("x").cast("array<double>")).mapInArrow(
+            plan, "g int, b int, qid string, qx array<double>, bound double"))
+
+    def closest(self, x: np.ndarray, y: np.ndarray, own: np.ndarray, bound: np.ndarray, keep: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """``closest`` of donors whose groups are ``own``, for queries whose nearest donors are not beyond ``bound``. The donors of a query's nearest
+        group are measured first, and then only groups that may hold nearer ones."""
+        held = np.unique(own)
+        members = {j: np.flatnonzero(own == j) for j in held.tolist()}
+        found: list[tuple[np.ndarray, ...]] = []
+        for start in range(0, len(x) if len(held) else 0, QUERIES_AT_ONCE):
+            part, limit = x[start:start + QUERIES_AT_ONCE], bound[start:start + QUERIES_AT_ONCE].copy()
+            away = self.away(part, held)
+            first = away.argmin(axis=1)
+            for again in (False, True):
+                for at, j in enumerate(held.tolist()):
+                    mine = np.flatnonzero((away[:, at] <= _beyond(limit)) & ((first == at) != again))
+                    step = max(1, 4_000_000 // len(members[j]))
+                    for i in range(0, len(mine), step):
+                        rows = mine[i:i + step]
+                        row, donor, gap = closest(part[rows], y[members[j]], keep)
+                        found.append((start + rows[row], members[j][donor], gap))
+                        if len(members[j]) >= keep:  # the last of each row is its k-th nearest so far
+                            limit[rows] = np.minimum(limit[rows], np.sqrt(gap[keep - 1::keep]))
+        if not found:
+            return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
+        row, donor, gap = (np.concatenate(v) for v in zip(*found))
+        order = np.lexsort((donor, gap, row))
+        row, donor, gap = row[order], donor[order], gap[order]
+        best = np.arange(len(row)) - np.searchsorted(row, row, "left") < keep
+        return row[best], donor[best], gap[best]
+
+
+def _beyond(bound: np.ndarray) -> np.ndarray:
+    """A little more than the bound, for what rounding may add."""
+    return bound * (1 + 1e-9) + 1e-12
 
 
 def impute_knn(df: DataFrame, cols: list[str], id_col: str, k: int = 5, donors_from: DataFrame | None = None) -> DataFrame:
