@@ -13,6 +13,9 @@ from plumbline.operators.profile import Table, pct
 from plumbline.plans.frames import rows_frame
 from plumbline.plans.profiling import Profile, profiled
 
+#: Distinct texts of a column that are counted before they are parsed.
+FEW_VALUES = 10_000
+
 # Component weights of the reliability index.
 DRI_WEIGHTS = {
     "missingness": 0.20,
@@ -63,17 +66,28 @@ def outliers_score(data: Table) -> float:
 
 
 def _text_parses(p: Profile) -> dict[str, dict]:
-    """Per text column: values, values that parse as a number, values that parse as a time."""
+    """Per text column: values, values that parse as a number, values that parse as a time.
+
+    Of a column with few values each is parsed once, however many rows have it.
+    """
     if not hasattr(p, "_parses"):
+        few = [c for c in p.text if p.distinct[c] <= FEW_VALUES]
+        many = [c for c in p.text if c not in few]
+        p._parses = {c: {"n": 0, "numbers": 0, "times": 0} for c in few}
+        value, n = F.col("value"), F.col("n")
+        for r in p.value_counts(few).groupBy("column").agg(
+                F.sum(n).alias("n"), F.sum(F.when(C.parse_double(value).isNotNull(), n).otherwise(0)).alias("numbers"),
+                F.sum(F.when(C.strip(value).try_cast("timestamp").isNotNull(), n).otherwise(0)).alias("times")).collect() if few else []:
+            p._parses[r["column"]] = {k: r[k] for k in ("n", "numbers", "times")}
         aggs = []
-        for i, c in enumerate(p.text):
+        for i, c in enumerate(many):
             v = C.quoted(c)
             aggs.append(F.struct(
                 F.count(v).alias("n"), F.count(C.parse_double(v)).alias("numbers"),
                 F.count(C.strip(v).try_cast("timestamp")).alias("times"),
             ).alias(f"p{i}"))
         row = p.df.agg(*aggs).first() if aggs else []
-        p._parses = {c: row[i].asDict() for i, c in enumerate(p.text)}
+        p._parses |= {c: row[i].asDict() for i, c in enumerate(many)}
     return p._parses
 
 
