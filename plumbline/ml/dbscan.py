@@ -15,10 +15,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.plans.frames import cut_lineage
+from plumbline.plans.lookups import lookup_join
 from plumbline.plans.ranks import cumulative
 
 DRIVER_EDGES = 200_000
 SUB = 4
+#: Helper columns, named so that no table has them.
+CELL, CLUSTER = "__plumb_cell", "__plumb_cluster"
 
 
 def _key(cols: list[str], side: float) -> Column:
@@ -48,21 +51,19 @@ def _prefixed(df: DataFrame, prefix: str) -> DataFrame:
     return df.select(*[F.col(c).alias(prefix + c) for c in df.columns])
 
 
-def _near_cells(cells: DataFrame, cols: list[str], eps: float) -> DataFrame:
-    """(acell, bcell, whole) of different cells whose boxes come within eps.
+def _near_cells(left: DataFrame, right: DataFrame, cols: list[str], eps: float) -> DataFrame:
+    """(acell, bcell, whole) of different cells, one of either table, whose boxes come within eps.
 
     Candidates share or neighbour a coarse square of side eps over the first three
     columns; the boxes decide. ``whole``: every point pair is within eps.
     """
     lead = cols[:3]
     coarse = [F.floor(F.col("lo")[i] / eps).cast("long") for i in range(len(lead))]
-    placed = cells.select("cell", "n", "lo", "hi", *[c.alias(f"g{i}") for i, c in enumerate(coarse)])
+    left, right = (_prefixed(cells.select("cell", "n", "lo", "hi", *[c.alias(f"g{i}") for i, c in enumerate(coarse)]), side) for cells, side in ((left, "a"), (right, "b")))
     # A cell is smaller than a coarse square but may lie across two: one more step on each side.
     reach = F.array(*[F.lit(v).cast("long") for v in (-2, -1, 0, 1, 2)])
-    left = _prefixed(placed, "a")
     for i in range(len(lead)):
         left = left.withColumn("_s", F.explode(reach)).withColumn(f"k{i}", F.col(f"ag{i}") + F.col("_s")).drop("_s")
-    right = _prefixed(placed, "b")
     match = F.lit(True)
     for i in range(len(lead)):
         match = match & (F.col(f"k{i}") == F.col(f"bg{i}"))
@@ -91,14 +92,15 @@ def core_points(df: DataFrame, cols: list[str], eps: float, min_samples: int = 5
     side = cell_side(cols, eps)
     folded = df.groupBy(*cols).agg(F.count(F.lit(1)).alias("w")).withColumn("cell", _key(cols, side))
     points = cut_lineage(folded)
-    cells = _boxes(points, ["cell"], cols)
-    near = cut_lineage(_near_cells(cells, cols, eps))
+    cells = cut_lineage(_boxes(points, ["cell"], cols))
+    # Points of dense cells are core points as they are: only sparse cells look around.
+    near = cut_lineage(_near_cells(cells.where(F.col("n") < min_samples), cells, cols, eps))
     dense = cells.where(F.col("n") >= min_samples).select("cell")
     sparse_points = points.join(cells.where(F.col("n") < min_samples).select("cell", F.col("n").alias("own")), "cell")
 
     # Neighbour counts of the points in sparse cells: own cell, whole cells, then point by point.
     whole = near.where("whole").groupBy("acell").agg(F.sum("bn").alias("around"))
-    partly = near.where(~F.col("whole")).where(F.col("an") < min_samples).select("acell", "bcell")
+    partly = near.where(~F.col("whole")).select("acell", "bcell")
     other = _prefixed(points, "b")
     mine = _prefixed(sparse_points, "a")
     touching = mine.join(partly, "acell").join(other, "bcell").where(_gap2(cols, "a", "b") <= e2)
@@ -118,21 +120,23 @@ def core_points(df: DataFrame, cols: list[str], eps: float, min_samples: int = 5
 def assign(df: DataFrame, core: DataFrame, cols: list[str], eps: float) -> DataFrame:
     """Add ``cluster`` to rows of any table: that of a core point in their own cell, all of which are within reach, else the smallest one of the
     core points in near cells that are within ``eps``, else -1."""
-    points = cut_lineage(df.groupBy(*cols).agg(F.count(F.lit(1)).alias("w")).withColumn("cell", _key(cols, cell_side(cols, eps))))
-    own = core.groupBy("cell").agg(F.first("cluster").alias("cluster"))  # a cell's core points are one cluster
-    here = points.join(own, "cell").select(*cols, "cluster")
-    there = points.join(own.select("cell"), "cell", "left_anti")
-    # Cells of the points and of the core points, kept apart by a sign before their keys.
-    boxes = _boxes(there.select(F.concat(F.lit("?"), "cell").alias("cell"), *cols, "w").unionByName(
-        core.select(F.concat(F.lit("!"), "cell").alias("cell"), *cols, F.lit(1).cast("bigint").alias("w"))), ["cell"], cols)
-    near = _near_cells(boxes, cols, eps).where("acell like '?%' and bcell like '!%'").select(F.substring("acell", 2, 1 << 30).alias("acell"), F.substring("bcell", 2, 1 << 30).alias("bcell"))
+    own = cut_lineage(core.groupBy("cell").agg(F.first("cluster").alias(CLUSTER), F.count(F.lit(1)).alias("n")))  # a cell's core points are one cluster
+    known = F.lit(True)
+    for c in cols:
+        known = known & F.col(c).isNotNull()
+    # Rows of those cells are done; the others alone are folded, paired and looked up by their coordinates.
+    placed = cut_lineage(lookup_join(df.withColumn(CELL, F.when(known, _key(cols, cell_side(cols, eps)))), own.withColumnRenamed("cell", CELL), CELL, [CLUSTER]))
+    rest = placed.where(F.col(CLUSTER).isNull())
+    there = cut_lineage(rest.where(F.col(CELL).isNotNull()).select(F.col(CELL).alias("cell"), *cols).groupBy("cell", *cols).agg(F.count(F.lit(1)).alias("w")))
+    boxes = _boxes(core.select("cell", *cols, F.lit(1).cast("bigint").alias("w")), ["cell"], cols)
+    near = cut_lineage(_near_cells(_boxes(there, ["cell"], cols), boxes, cols, eps).select("acell", "bcell"))
     reach = _prefixed(there, "a").join(near, "acell").join(_prefixed(core, "b"), "bcell").where(_gap2(cols, "a", "b") <= eps * eps)
     border = reach.groupBy(*[f"a{c}" for c in cols]).agg(F.min("bcluster").alias("cluster")).select(*[F.col(f"a{c}").alias(c) for c in cols], "cluster")
-    done = here.unionByName(border)
     same = F.lit(True)
     for c in cols:
         same = same & (F.col(f"p.{c}") == F.col(f"q.{c}"))
-    return df.alias("p").join(done.alias("q"), same, "left").select("p.*", F.coalesce("q.cluster", F.lit(-1)).alias("cluster"))
+    found = rest.drop(CELL, CLUSTER).alias("p").join(border.alias("q"), same, "left").select("p.*", F.coalesce("q.cluster", F.lit(-1)).alias("cluster"))
+    return placed.where(F.col(CLUSTER).isNotNull()).drop(CELL).withColumnRenamed(CLUSTER, "cluster").unionByName(found)
 
 
 def _core_labels(core: DataFrame, cols: list[str], eps: float, min_samples: int, driver_edges: int) -> DataFrame:
@@ -142,21 +146,22 @@ def _core_labels(core: DataFrame, cols: list[str], eps: float, min_samples: int,
     only between cells those edges have not connected already.
     """
     e2 = eps * eps
-    pairs = cut_lineage(_near_cells(_boxes(core, ["cell"], cols), cols, eps).where("acell < bcell"))
+    boxes = cut_lineage(_boxes(core, ["cell"], cols))
+    pairs = cut_lineage(_near_cells(boxes, boxes, cols, eps).where("acell < bcell"))
     sure = pairs.where("whole").select("acell", "bcell")
     open_pairs = pairs.where(~F.col("whole")).select("acell", "bcell", ((F.col("an") >= min_samples) & (F.col("bn") >= min_samples)).alias("heavy"))
 
     # Sub-cells of a quarter of the side: at most SUB^d boxes per cell over the first three columns.
     fine = [F.floor(F.col(c) / (eps / math.sqrt(len(cols)) / SUB)).cast("string") for c in cols[:3]]
     parted = core.withColumn("sub", F.concat_ws(",", *fine))
-    subs = _boxes(parted, ["cell", "sub"], cols)
+    subs = cut_lineage(_boxes(parted, ["cell", "sub"], cols))
 
     def sub_pairs(which: DataFrame) -> DataFrame:
         joined = which.join(_prefixed(subs, "a"), "acell").join(_prefixed(subs, "b"), "bcell")
         return joined.where(_box_gap(cols, "a", "b", far=False) <= e2)
 
     decided = sub_pairs(open_pairs.where("heavy").drop("heavy")).where(_box_gap(cols, "a", "b", far=True) <= e2).select("acell", "bcell").distinct()
-    nodes = core.select("cell").distinct()
+    nodes = boxes.select("cell")
     known = cut_lineage(sure.unionByName(decided))
     labels = cut_lineage(_components(nodes, known, driver_edges))
     apart = open_pairs.join(labels.select(F.col("cell").alias("acell"), F.col("label").alias("la")), "acell").join(
