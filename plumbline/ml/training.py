@@ -389,11 +389,11 @@ def forest_importance(df: DataFrame, target: str, features: list[str] | None = N
     rows = df.withColumn("label", C.as_number(df, target)).where("label is not null")
     prep = pipeline.fit(rows)
     vectors = prep.transform(rows)
-    from pyspark.ml.regression import RandomForestRegressor
+    from plumbline.ml.histogram_forest import forest_gains
 
-    forest = RandomForestRegressor(numTrees=trees, maxDepth=depth, seed=seed).fit(vectors)
+    shares = forest_gains(vectors, C.quoted(id_col) if id_col in df.columns else F.lit(0), trees, depth, seed)
     slots = feature_names(vectors, names)
-    out = [{"feature": n, "importance": float(v)} for n, v in zip(slots, forest.featureImportances.toArray())]
+    out = [{"feature": n, "importance": float(v)} for n, v in zip(slots, shares)]
     return rows_frame(df.sparkSession, sorted(out, key=lambda r: -r["importance"]), "feature string, importance double")
 
 
