@@ -21,8 +21,8 @@ from plumbline.ml.histogram_boosting import BLOCK_ROWS, feature_cuts
 from plumbline.plans.frames import cut_lineage
 
 BINS = 32
-#: Sums that a task holds for a group of trees.
-TABLE_CELLS = 4_000_000
+#: Sums that a task holds for a group of trees, and bytes of blocks in a partition.
+TABLE_CELLS, PART_BYTES = 4_000_000, 20_000_000
 ODD = np.uint64(0x9E3779B97F4A7C15)
 FOUND = "tree int, slot int, feature int, bin int, gain double, n double, ln double"
 #: The number of draws of a row for each of 65 536 equal shares of chance.
@@ -104,7 +104,10 @@ def forest_gains(df: DataFrame, ident: Column, trees: int = 100, depth: int = 5,
             yield pd.DataFrame(found, columns=[c.split()[0] for c in FOUND.split(", ")])
         return work
 
-    packed = cut_lineage(rows.mapInArrow(pack, "x binary, y binary, h binary"))
+    packed = rows.mapInArrow(pack, "x binary, y binary, h binary")
+    # A partition is read as one batch, so large tables take as many as bounded batches need.
+    parts = -(-size["n"] * (width + 16) // PART_BYTES)
+    packed = cut_lineage(packed.repartition(parts) if parts > packed.rdd.getNumPartitions() else packed)
     nodes = 2 ** (depth + 1)
     # Of a node that is not split all rows go to the left, where nothing is open.
     split_feature, split_bin = np.zeros((trees, nodes), np.int64), np.full((trees, nodes), 255, np.int64)
