@@ -143,6 +143,21 @@ def regions(centres: np.ndarray, count: np.ndarray, together: int) -> np.ndarray
     return region
 
 
+def _sampled(donors: DataFrame, rows: int, many: int) -> np.ndarray:
+    """The vectors of the ``many`` donors of the smallest hashes, from about ``rows``.
+
+    Only rows that may be among them are gathered, and one task picks them, so that the driver gets ``many``, and not as many from every task.
+    """
+    share = hash_share("id", seed=31)
+    upto = (many + 8 * math.sqrt(many)) / max(rows, 1)
+    while True:
+        low = donors if upto >= 1 else donors.where(share <= upto)
+        found = low.repartition(1).orderBy(share, "id").limit(many).select("x").collect()
+        if upto >= 1 or len(found) == many:
+            return np.array([r["x"] for r in found], dtype=float)
+        upto *= 8
+
+
 class _Groups:
     """Donors dealt to their nearest pivots, and how far each group reaches; groups near each other form a region, which is one task."""
 
@@ -152,7 +167,7 @@ class _Groups:
     @classmethod
     def of(cls, donors: DataFrame, rows: int, pivots: int | None, together: int = 0) -> _Groups:
         many = pivots or int(min(MAX_PIVOTS, max(1, math.isqrt(rows))))
-        centres = np.array([r["x"] for r in donors.orderBy(hash_share("id", seed=31), "id").limit(many).select("x").collect()], dtype=float)
+        centres = _sampled(donors, rows, many)
         if not len(centres):
             centres = np.zeros((1, 1))
 
@@ -336,7 +351,8 @@ class NeighborModel:
         queries = marked.select(F.col("_id").alias("id"), vector_to_array("features").alias("x"))
         donors = self.train.select(F.col("_row_id").cast("string").alias("id"), vector_to_array("features").alias("x"), F.col("label").alias("_y"))
         near = nearest(queries, donors.select("id", "x"), self.k)
-        voted = near.join(donors.select(F.col("id").alias("did"), "_y"), "did")
+        # All rows are on both sides of these joins; sizes are taken from files, which may be far smaller than the rows, so broadcasts are ruled out.
+        voted = near.join(donors.select(F.col("id").alias("did"), "_y").hint("merge"), "did")
         if self.classes is None:
             result = voted.groupBy("qid").agg(F.avg("_y").alias("prediction"))
         else:
@@ -345,4 +361,4 @@ class NeighborModel:
             result = voted.groupBy("qid").agg(*shares).withColumn("probability", F.array(*names))
             at = F.array_position(F.col("probability"), F.array_max("probability")).cast("int") - 1
             result = result.withColumn("prediction", F.array(*[F.lit(c) for c in self.classes])[at]).select("qid", "prediction", "probability")
-        return marked.join(result, F.col("_id") == F.col("qid")).drop("_id", "qid")
+        return marked.join(result.hint("merge"), F.col("_id") == F.col("qid")).drop("_id", "qid")
